@@ -68,6 +68,20 @@ def thresholds(rows: DataFrame, quotas: DataFrame) -> DataFrame:
     return bound.select("source", F.col("bucket").alias("threshold"))
 
 
+def aims(slim: DataFrame, budget: float, most: int) -> DataFrame:
+    """(source, source_size, target, whole, threshold) from (source, size, place).
+
+    The table has a row a source and is stored, so its readers see its size.
+    """
+    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
+    table = targets(cycling_weights(sizes), budget, most)
+    copies = F.floor(F.try_divide("target", "source_size"))
+    table = stored(table.withColumn("whole", F.coalesce(copies, F.lit(0)).cast("long")).withColumn("quota", F.col("target") - F.col("whole") * F.col("source_size")))
+    left = thresholds(slim, table.select("source", "quota")).withColumnRenamed("source", "s")
+    found = table.join(left, F.col("source").eqNullSafe(F.col("s")), "left")
+    return stored(found.select("source", "source_size", "target", "whole", "threshold"))
+
+
 def mix(df: DataFrame, key: str, size: Column, source: str = "source", budget: float = 1.0, most: int = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, source, size, source_size, target, copies, taken, *carry) for each row.
 
@@ -82,14 +96,25 @@ def mix(df: DataFrame, key: str, size: Column, source: str = "source", budget: f
     only as sums of 4096 buckets.
     """
     slim = stored(df.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size"), place(F.col(key)).alias("place"), *carry))
-    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    aims = targets(cycling_weights(sizes), budget, most)
-    copies = F.floor(F.try_divide("target", "source_size"))
-    aims = stored(aims.withColumn("whole", F.coalesce(copies, F.lit(0)).cast("long")).withColumn("quota", F.col("target") - F.col("whole") * F.col("source_size")))
-    found = aims.join(thresholds(slim, aims.select("source", "quota")).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    # a source without a row in thresholds() has nothing left over
-    found = found.select(F.col("source").alias("s"), "source_size", "target", "whole", "threshold")
+    found = aims(slim, budget, most).withColumnRenamed("source", "s")
     extra = F.when(F.col("place") < F.col("threshold"), 1).otherwise(0)
     joined = slim.join(found, F.col("source").eqNullSafe(F.col("s")))
     out = joined.withColumn("copies", F.col("whole") + extra)
     return out.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *carry)
+
+
+def take(df: DataFrame, key: str, size: Column, source: str = "source", budget: float = 1.0, most: int = MOST) -> DataFrame:
+    """The rows that a mix takes, each as often as it takes them, with the
+    columns of ``df``.
+
+    Sizes are measured in a first, narrow pass; the chosen copies depend on a
+    row's key, source and the table of sources alone, so the second pass needs
+    no join by row and moves no text.
+    """
+    slim = stored(df.select(F.col(source).alias("source"), size.alias("size"), place(F.col(key)).alias("place")))
+    found = aims(slim, budget, most)
+    extra = F.when(place(F.col(key)) < F.col("__threshold"), 1).otherwise(0)
+    found = found.select(F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("threshold").alias("__threshold"))
+    joined = df.join(found, F.col(source).eqNullSafe(F.col("__source")))
+    copies = F.array_repeat(F.lit(1), (F.col("__whole") + extra).cast("int"))
+    return joined.withColumn("__copy", F.explode(copies)).select(*[F.col(f"`{c}`") for c in df.columns])

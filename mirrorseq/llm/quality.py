@@ -166,4 +166,7 @@ def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
     kept = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
     measured = measures(df.select(kept, F.col(text).alias("__text")), "__text")
     posteriors = fit(pattern_counts(measured))
-    return judged(measured, posteriors).filter("kept").select("__row.*")
+    verdict = judged(measured, posteriors).select("__row", F.explode(F.array("kept")).alias("kept"))
+    # a filter on the exploded verdict stays above the measures, which would
+    # otherwise be copied into it and computed anew for each word
+    return verdict.filter("kept").select("__row.*")

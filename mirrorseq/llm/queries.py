@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
+from . import mixing, packing, pii, quality, sharding, simhash
 from .common import as_key, n_words, read, stored
 
 _WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -76,6 +77,27 @@ SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN running <=
 """
 
 
+#: The vocabulary's place; a parameter of the operator.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms for their personal data."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.protect(docs, count="n_private")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     measured = stored(quality.measures(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
@@ -84,7 +106,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_mixing, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_mixing, op4_packing, op6_pii, op8_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
