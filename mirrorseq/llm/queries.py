@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, sharding, simhash
+from . import fingerprint, html, html_pages, mixing, packing, pii, quality, sharding, simhash, toxicity
 from .common import as_key, n_words, read, stored
 
 _WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -77,6 +77,13 @@ SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN running <=
 """
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    model = html.train(spark.createDataFrame([(p,) for p in html_pages.labelled_pages()], "html string"))
+    found = html.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"), model)
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 #: The vocabulary's place; a parameter of the operator.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -86,12 +93,25 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return fingerprint.fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms for their personal data."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.protect(docs, count="n_private")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -106,7 +126,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_mixing, op4_packing, op6_pii, op8_simhash, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_mixing, op3_html, op4_packing, op5_fingerprints, op6_pii, op7_toxicity, op8_simhash, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
