@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, html, html_pages, mixing, packing, pii, quality, sharding, simhash, toxicity
+from . import fingerprint, html, html_pages, mixing, packing, paragraphs, pii, quality, sharding, simhash, toxicity
 from .common import as_key, n_words, read, stored
 
 _WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -118,6 +118,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of every document."""
+    return paragraphs.repeated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     measured = stored(quality.measures(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
@@ -126,7 +131,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_mixing, op3_html, op4_packing, op5_fingerprints, op6_pii, op7_toxicity, op8_simhash, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_mixing, op3_html, op4_packing, op5_fingerprints, op6_pii, op7_toxicity, op8_simhash, op9_paragraphs, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
