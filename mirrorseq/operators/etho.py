@@ -10,12 +10,15 @@ from ..functions.stats import bin_of, correlation, from_distance, norm, symmetri
 from ..plans.align import SEQ, TIME, sides
 
 _TINY = 1e-12
-_TRACK = Window.partitionBy("side", SEQ).orderBy(TIME)
+
+
+def _track():
+    return Window.partitionBy("side", SEQ).orderBy(TIME)
 
 
 def _step(c: str, order: int = 1) -> Column:
-    one = F.col(c) - F.lag(c, 1).over(_TRACK)
-    return one if order == 1 else one - (F.lag(c, 1).over(_TRACK) - F.lag(c, 2).over(_TRACK))
+    one = F.col(c) - F.lag(c, 1).over(_track())
+    return one if order == 1 else one - (F.lag(c, 1).over(_track()) - F.lag(c, 2).over(_track()))
 
 
 def steps(paired: DataFrame, center: str = "CENTER", order: int = 1, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -130,7 +133,7 @@ def path_features(paired: DataFrame, center: str = "CENTER") -> DataFrame:
     x, y = f"{center}_X", f"{center}_Y"
     ends = sides(paired, [x, y]).groupBy("side", SEQ).agg(*[f(c, TIME).alias(f"{n}_{c[-1]}") for c in (x, y) for f, n in ((F.min_by, "first"), (F.max_by, "last"))], F.count("*").alias("rows"))
     moved = steps(paired, center)
-    before = lambda c: F.lag(c, 1).over(_TRACK)
+    before = lambda c: F.lag(c, 1).over(_track())
     dot = (F.col("dx") * before("dx") + F.col("dy") * before("dy")) / ((F.col("size") + 1e-8) * (before("size") + 1e-8))
     turned = moved.withColumn("turn", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
     sums = turned.groupBy("side", SEQ).agg(F.sum("size").alias("path"), F.avg("size").alias("speed"), F.avg("turn").alias("turn"))
