@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats
-from ..operators import etho, neuro, rollup
+from ..operators import etho, groupwise, linear, neuro, rollup
 from . import align, frames
 from .align import SEQ, TIME
 
@@ -371,6 +371,62 @@ def weighted_mean_available(spark, sf_dir):
     return _rounded(rows.groupBy(SEQ).agg(stats.weighted_mean(F.col("v"), F.col("w")).alias("mean")))
 
 
+@query()
+def dtw_similarity(spark, sf_dir):
+    return _rounded(groupwise.dtw_similarity(_posed(spark, sf_dir)))
+
+
+@query()
+def ksg_mi(spark, sf_dir):
+    return _rounded(groupwise.ksg_mi(frames.paired(spark, sf_dir), R))
+
+
+@query()
+def mi_score(spark, sf_dir):
+    return _rounded(groupwise.mi_score(frames.paired(spark, sf_dir), R))
+
+
+@query()
+def bandpower(spark, sf_dir):
+    return _rounded(groupwise.band_power_score(frames.paired(spark, sf_dir), R))
+
+
+@query()
+def subspace_angle(spark, sf_dir):
+    return _rounded(linear.subspace_angle(frames.paired(spark, sf_dir), R))
+
+
+@query()
+def lagged_covariance(spark, sf_dir):
+    return _rounded(linear.lagged_covariance(frames.paired(spark, sf_dir), R))
+
+
+@query()
+def var1_impulse(spark, sf_dir):
+    return _rounded(linear.impulse_response(frames.paired(spark, sf_dir), R))
+
+
+@query()
+def procrustes(spark, sf_dir):
+    return _rounded(linear.procrustes(_posed(spark, sf_dir), ["CENTER_X", "CENTER_Y", "NOSE_X"]))
+
+
+@query()
+def cca(spark, sf_dir):
+    """Mean canonical correlation of two pairs of regions on either side."""
+    rows = frames.paired(spark, sf_dir)
+    both = {s: linear.canonical_correlation(rows, [f"r1_{s}", f"r2_{s}"], [f"r3_{s}", f"r4_{s}"]) for s in ("gt", "inf")}
+    return _rounded(linear._row(spark, gt=both["gt"], inf=both["inf"], score=1 - min(1, abs(both["gt"] - both["inf"]))))
+
+
+@query()
+def predictive_r2(spark, sf_dir):
+    rows = frames.paired(spark, sf_dir)
+    both = {s: linear.predictive_r2(rows, [f"r1_{s}", f"r2_{s}"], [f"r3_{s}", f"r4_{s}"]) for s in ("gt", "inf")}
+    score = None if None in both.values() else 1 / (1 + abs(both["gt"] - both["inf"]))
+    return _rounded(linear._row(spark, gt=both["gt"], inf=both["inf"], score=score))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
