@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats
-from ..operators import etho, groupwise, linear, neuro, rollup
+from ..operators import clusters, etho, groupwise, linear, neuro, rollup
 from . import align, frames
 from .align import SEQ, TIME
 
@@ -371,6 +371,21 @@ def weighted_mean_available(spark, sf_dir):
     return _rounded(rows.groupBy(SEQ).agg(stats.weighted_mean(F.col("v"), F.col("w")).alias("mean")))
 
 
+@query()
+def syllable(spark, sf_dir):
+    return _rounded(clusters.syllables(_posed(spark, sf_dir)))
+
+
+@query()
+def trajectory_shape(spark, sf_dir):
+    return _rounded(clusters.trajectory_shapes(_posed(spark, sf_dir)))
+
+
+@query()
+def latent_states(spark, sf_dir):
+    return _rounded(clusters.latent_states(frames.paired(spark, sf_dir), R))
+
+
 @query()
 def dtw_similarity(spark, sf_dir):
     return _rounded(groupwise.dtw_similarity(_posed(spark, sf_dir)))
