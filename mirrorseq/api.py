@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -48,8 +49,8 @@ def _gathered(tables: list[DataFrame]) -> DataFrame:
 def compute_neuro_scores(predictions: DataFrame, ground_truth: DataFrame, config: Config = Config()) -> DataFrame:
     """Metrics, families and composite of region traces.
 
-    Topology, trajectory and pairwise information metrics are not built yet;
-    the composite gives their weight to the others of their family.
+    Topology and trajectory metrics are not built yet; the composite gives
+    their weight to the others.
     """
     paired = truncated(aligned(ground_truth, predictions, config)).cache()
     values = _values(paired, config)
@@ -57,7 +58,7 @@ def compute_neuro_scores(predictions: DataFrame, ground_truth: DataFrame, config
         raise DataValidationError("at least two regions are needed")
     metrics = _gathered([
         _named(neuro.kl(paired, values), "KL_or_JSD_score"), _named(neuro.quantile_shift(paired, values), "QNT_score"), _named(neuro.moments(paired, values), "MOM_score"), _named(neuro.mean_shift(paired, values), "Mean_score"),
-        _named(neuro.graph(paired, values), "GRAPH_score"), _named(linear.lagged_covariance(paired, values), "LaggedCovariance_score"), _named(linear.impulse_response(paired, values), "ImpulseResponse_score"),
+        _named(neuro.graph(paired, values), "GRAPH_score"), _named(neuro.matrix_similarity(groupwise.cross_region_mi(paired, values)), "CrossRegionMI_score"), _named(linear.lagged_covariance(paired, values), "LaggedCovariance_score"), _named(linear.impulse_response(paired, values), "ImpulseResponse_score"),
         _named(linear.subspace_angle(paired, values), "SubspaceAngle_score"), clusters.latent_states(paired, values),
     ])
     return metrics.unionByName(rollup.families(metrics))
@@ -92,8 +93,9 @@ def compute_etho_scores(ground_truth: DataFrame, predictions: DataFrame, config:
     whole = rows.filter(F.col(SEQ).isNull()).select("metric", F.col("score").alias("value"))
     composite = whole.agg(rollup.geometric_mean(F.col("value")).alias("value"))
     dtw = groupwise.dtw_similarity(paired, config.center_part)
+    mmd = groupwise.mmd_similarity(paired, [f"{config.center_part}_X", f"{config.center_part}_Y"])
     each = rows.filter(F.col(SEQ).isNotNull()).unionByName(dtw.select(F.lit("dtw_similarity_score").alias("metric"), F.col(SEQ).cast("string").alias(SEQ), "score", F.lit(1).cast("long").alias("weight")))
-    total = _gathered([whole, _named(dtw.agg(F.avg("score").alias("score")), "dtw_similarity_score"), _named(composite, "composite_score", "value")])
+    total = _gathered([whole, _named(dtw.agg(F.avg("score").alias("score")), "dtw_similarity_score"), _named(mmd, "mmd_similarity"), _named(composite, "composite_score", "value")])
     return total, each, etho.across_sequences(each)
 
 
@@ -114,4 +116,8 @@ def compute_cross_scores(predictions: DataFrame, ground_truth: DataFrame, config
     got["cca_alignment_score"] = None if cca is None else 1 - min(1.0, cca)
     got["neural_to_behavior_similarity"] = None if forth is None else 1 / (1 + forth)
     got["behavior_to_neural_similarity"] = None if back is None else 1 / (1 + back)
+    lag = groupwise.lead_lag_score(groupwise.lead_lag(paired, values, c, config.LEAD_LAG_DEFAULT_MAX_LAG)).first()
+    got |= {"lead_lag_gt": None if lag["gt"] is None else float(lag["gt"]), "lead_lag_pred": None if lag["inf"] is None else float(lag["inf"]), "lead_lag_score": lag["score"]}
+    parts = [got[k] for k in ("cca_alignment_score", "neural_to_behavior_similarity", "behavior_to_neural_similarity", "lead_lag_score")]
+    got["cross_composite"] = None if None in parts else 0.0 if 0.0 in parts else math.prod(parts) ** 0.25
     return paired.sparkSession.createDataFrame(list(got.items()), "metric string, value double")

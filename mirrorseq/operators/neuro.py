@@ -131,9 +131,11 @@ def matrix_similarity(pairs: DataFrame) -> DataFrame:
 
 def states(df: DataFrame, columns: list[str], centres: list[list[float]], out: str = "state") -> DataFrame:
     """Nearest of the given centres; the first of equally near ones."""
-    distance = lambda c: sum(((F.col(x) - F.lit(v)) * (F.col(x) - F.lit(v)) for x, v in zip(columns, c, strict=True)), F.lit(0.0))
-    d = F.array(*[distance(c) for c in centres])
-    return df.withColumn(out, (F.array_position(d, F.array_min(d)) - 1).cast("int"))
+    given = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
+    square = lambda a, b: (a - b) * (a - b)
+    near = df.withColumn("__p", F.array(*columns))
+    near = near.withColumn("__d", F.transform(given, lambda c: F.aggregate(F.zip_with("__p", c, square), F.lit(0.0), lambda x, y: x + y)))
+    return near.withColumn(out, (F.array_position("__d", F.array_min("__d")) - 1).cast("int")).drop("__p", "__d")
 
 
 def occupancy(assigned: DataFrame, n_states: int) -> DataFrame:

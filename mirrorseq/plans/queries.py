@@ -406,6 +406,23 @@ def bandpower(spark, sf_dir):
     return _rounded(groupwise.band_power_score(frames.paired(spark, sf_dir), R))
 
 
+@query()
+def lead_lag(spark, sf_dir):
+    rows = frames.paired(spark, sf_dir)
+    both = rows.join(frames.pose(rows).select(SEQ, TIME, *[f"CENTER_{a}_{s}" for a in "XY" for s in ("gt", "inf")]), [SEQ, TIME])
+    return _rounded(groupwise.lead_lag_score(groupwise.lead_lag(both, ["r3", "r4"])))
+
+
+@query()
+def mmd(spark, sf_dir):
+    return _rounded(groupwise.mmd_similarity(_posed(spark, sf_dir), ["CENTER_X", "CENTER_Y"]))
+
+
+@query()
+def cross_region_mi(spark, sf_dir):
+    return _rounded(groupwise.cross_region_mi(frames.paired(spark, sf_dir), R))
+
+
 @query()
 def subspace_angle(spark, sf_dir):
     return _rounded(linear.subspace_angle(frames.paired(spark, sf_dir), R))

@@ -66,3 +66,22 @@ def test_regression_and_canonical_correlation(spark):
     df = spark.createDataFrame(rows)
     assert linear.predictive_r2(df, ["x", "z"], ["y"]) == pytest.approx(1.0)
     assert linear.canonical_correlation(df, ["x", "z"], ["y"]) == pytest.approx(1.0)
+
+
+def test_lead_lag_of_a_shifted_sine(spark):
+    t = np.arange(200)
+    steps = 2 + np.sin(2 * np.pi * t / 40)
+    x = np.cumsum(np.concatenate([[0.0], steps[1:]]))
+    rows = pd.DataFrame({SEQ: 1, TIME: t, "a_gt": np.sin(2 * np.pi * (t - 2) / 40), "b_gt": 0.01 * t % 3, "CENTER_X_gt": x, "CENTER_Y_gt": 0.0})
+    for c in ("a", "b", "CENTER_X", "CENTER_Y"):
+        rows[f"{c}_inf"] = rows[f"{c}_gt"]
+    got = groupwise.lead_lag_score(groupwise.lead_lag(spark.createDataFrame(rows), ["a", "b"], most=10)).first()
+    assert got["gt"] == got["inf"] == 2 and got["score"] == 1.0
+
+
+def test_discrepancy_tells_clouds_apart(spark):
+    rng = np.random.default_rng(5)
+    rows = pd.DataFrame({SEQ: 1, TIME: range(300), "x_gt": rng.normal(size=300), "x_inf": rng.normal(size=300)})
+    near = groupwise.mmd_similarity(spark.createDataFrame(rows), ["x"]).first()["score"]
+    far = groupwise.mmd_similarity(spark.createDataFrame(rows.assign(x_inf=rows["x_inf"] + 3)), ["x"]).first()["score"]
+    assert near > 0.98 > 0.8 > far
