@@ -8,35 +8,15 @@ from pyspark.sql.window import Window
 
 from .common import stored, words
 
-SAMPLES = 32
+SAMPLES = 24
 #: Identity bits of a sample; the rest of a positive long orders the samples.
 _ID_BITS = 23
 _COARSE, _FINE, _ROWS = 256, 8, 2000
 
 
-def _uniform(bits: Column, high: bool) -> Column:
-    part = F.shiftrightunsigned(bits, 32) if high else bits.bitwiseAND(F.lit(0xFFFFFFFF))
-    return (part + 0.5) / float(1 << 32)
-
-
-def sample(term: Column, weight: Column, j: int) -> Column:
-    """Order and identity of a weighted term's sample j as one long.
-
-    Improved consistent weighted sampling (Ioffe, 2010): r and c are
-    Gamma(2, 1) and b uniform, all drawn from the hash of the term and j;
-    t = floor(ln w / r + b), ln a = ln c - r (t - b + 1).  The term with the
-    least a is the sample and (term, t) its identity; two weighted sets share it
-    with probability sum of min(w) / sum of max(w), their generalised Jaccard
-    similarity.
-    """
-    first, second = F.xxhash64(term, F.lit(2 * j)), F.xxhash64(term, F.lit(2 * j + 1))
-    r = -F.log(_uniform(first, True) * _uniform(first, False))
-    log_c = F.log(-F.log(_uniform(second, True) * _uniform(second, False)))
-    b = _uniform(F.xxhash64(first, second), True)
-    t = F.floor(F.log(weight) / r + b)
-    order = F.greatest(F.lit(0.0), F.least(F.lit(255.0), log_c - r * (t - b + 1) + 128.0)) * float(1 << 32)
-    identity = F.xxhash64(term, t).bitwiseAND(F.lit((1 << _ID_BITS) - 1))
-    return F.shiftleft(order.cast("long"), _ID_BITS).bitwiseOR(identity)
+def _uniform(bits: Column, shift: int, width: int) -> Column:
+    part = F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1))
+    return (part + 0.5) / float(1 << width)
 
 
 def signatures(terms: DataFrame, by: list[str], weights: list[str], samples: int = SAMPLES, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -45,11 +25,34 @@ def signatures(terms: DataFrame, by: list[str], weights: list[str], samples: int
     terms: (*by, term long, *weights); a term with weight 0 isn't in the set,
     and the signature of an empty set is all null.  Equal sets have equal
     signatures, and the share of equal entries estimates the similarity.
+
+    Improved consistent weighted sampling (Ioffe, 2010): for each term and
+    sample j, r and c are Gamma(2, 1) and b uniform, all drawn from the hash of
+    the term and j; t = floor(ln w / r + b), ln a = ln c - r (t - b + 1).  The
+    term with the least a is the sample and (term, t) its identity; two weighted
+    sets share it with probability sum of min(w) / sum of max(w), their
+    generalised Jaccard similarity.  Order and identity are packed into one
+    long, so that a sample is a minimum.  The draws serve all weight columns.
     """
-    best = [F.min(F.when(F.col(w) > 0, sample(F.col("term"), F.col(w), j))).alias(f"{w}_{j}") for w in weights for j in range(samples)]
-    found = terms.groupBy(*by).agg(*[F.max(c).alias(c) for c in carry], *best)
-    identity = lambda c: F.col(c).bitwiseAND(F.lit((1 << _ID_BITS) - 1)).cast("int")
-    return found.select(*by, *carry, *[F.array(*[identity(f"{w}_{j}") for j in range(samples)]).alias(w) for w in weights])
+    logs = [F.log(F.when(F.col(w) > 0, F.col(w))).alias(f"__log_{w}") for w in weights]
+    each = terms.select(*by, "term", *carry, *logs, F.explode(F.array(*map(F.lit, range(samples)))).alias("__j"))
+    each = each.withColumn("__u", F.xxhash64("term", 2 * F.col("__j"))).withColumn("__v", F.xxhash64("term", 2 * F.col("__j") + 1))
+    r = -F.log(_uniform(F.col("__u"), 0, 21) * _uniform(F.col("__u"), 21, 21))
+    log_c = F.log(-F.log(_uniform(F.col("__v"), 0, 32) * _uniform(F.col("__v"), 32, 32)))
+    each = each.withColumn("__r", r).withColumn("__b", _uniform(F.col("__u"), 42, 21)).withColumn("__c", log_c)
+    for w in weights:
+        each = each.withColumn(f"__t_{w}", F.floor(F.col(f"__log_{w}") / F.col("__r") + F.col("__b")))
+
+    def packed(w: str) -> Column:
+        t = F.col(f"__t_{w}")
+        order = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("__c") - F.col("__r") * (t - F.col("__b") + 1) + 128.0)) * float(1 << 32)
+        identity = F.shiftrightunsigned(F.col("term"), 7).bitwiseXOR(t * 40503).bitwiseAND(F.lit((1 << _ID_BITS) - 1))
+        return F.when(F.col(f"__log_{w}").isNotNull(), F.shiftleft(order.cast("long"), _ID_BITS).bitwiseOR(identity))
+
+    best = each.groupBy(*by, "__j").agg(*[F.max(c).alias(c) for c in carry], *[F.min(packed(w)).alias(w) for w in weights])
+    found = best.groupBy(*by).agg(*[F.max(c).alias(c) for c in carry], F.sort_array(F.collect_list(F.struct("__j", *weights))).alias("__s"))
+    identity = lambda w: F.transform("__s", lambda x: x[w].bitwiseAND(F.lit((1 << _ID_BITS) - 1)).cast("int")).alias(w)
+    return found.select(*by, *carry, *map(identity, weights))
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
