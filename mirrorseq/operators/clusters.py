@@ -23,7 +23,7 @@ def centres(df: DataFrame, columns: list[str], k: int, seed: int = 0) -> list[li
 
 def _shares(features: DataFrame, columns: list[str], k: int) -> DataFrame:
     """Score of the shares of clusters, of each sequence and of all."""
-    features = features.dropna(subset=columns)
+    features = features.dropna(subset=columns).persist()
     empty = T.StructType([features.schema[SEQ], T.StructField("score", T.DoubleType()), T.StructField("weight", T.LongType())])
     if features.limit(2 * k).count() < 2 * k:
         return features.sparkSession.createDataFrame([], empty)
@@ -61,7 +61,7 @@ def latent_states(paired: DataFrame, values: list[str], occupancies: tuple[int,
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), range(vectors.shape[1])])
     names = [f"z{j}" for j in range(vectors.shape[1])]
     project = lambda j: sum(((F.col(v) - F.lit(float(m))) * F.lit(float(vectors[i, j])) for i, (v, m) in enumerate(zip(values, mean, strict=True))), F.lit(0.0))
-    latent = scaled.dropna(subset=values).select("side", SEQ, TIME, *[project(j).alias(z) for j, z in enumerate(names)])
+    latent = scaled.dropna(subset=values).select("side", SEQ, TIME, *[project(j).alias(z) for j, z in enumerate(names)]).persist()
     scores = []
     name = lambda df, metric: df.select(F.lit(metric).alias("metric"), F.col("score").alias("value"))
     for k in sorted({*occupancies, moving}):

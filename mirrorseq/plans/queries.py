@@ -56,6 +56,11 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def _whole(scores: DataFrame) -> DataFrame:
+    """Rounded, with sequence -1 for the score of all sequences."""
+    return _rounded(scores.withColumn(SEQ, F.coalesce(SEQ, F.lit(-1).cast("long"))))
+
+
 def _posed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.pose(frames.paired(spark, sf_dir))
 
@@ -130,32 +135,32 @@ def _distribution_sql(x: str, y: str) -> str:
 ), every AS (SELECT * FROM counts UNION ALL SELECT side, NULL, bin, sum(n) FROM counts GROUP BY ALL
 ), wide AS (SELECT seq, bin, coalesce(sum(n) FILTER (side = 'gt'), 0) AS g, coalesce(sum(n) FILTER (side = 'inf'), 0) AS i FROM every GROUP BY ALL
 ), dense AS (SELECT seq, g / sum(g) OVER (PARTITION BY seq) + 1e-12 * (hi - lo) / 59 AS p, i / sum(i) OVER (PARTITION BY seq) + 1e-12 * (hi - lo) / 59 AS q, g FROM wide, edges)
-SELECT seq AS "sequenceId", round(1 / (1 + 0.5 * (sum(p * ln(p / q)) + sum(q * ln(q / p)))), 6) AS score, sum(g)::BIGINT AS weight FROM dense GROUP BY seq"""
+SELECT coalesce(seq, -1) AS "sequenceId", round(1 / (1 + 0.5 * (sum(p * ln(p / q)) + sum(q * ln(q / p)))), 6) AS score, sum(g)::BIGINT AS weight FROM dense GROUP BY seq"""
 
 
 @query(_distribution_sql("dx", "dy"))
 def velocity_kl(spark, sf_dir):
-    return _rounded(etho.distribution(_posed(spark, sf_dir), 1))
+    return _whole(etho.distribution(_posed(spark, sf_dir), 1))
 
 
 @query(_distribution_sql("ax", "ay"))
 def acceleration_kl(spark, sf_dir):
-    return _rounded(etho.distribution(_posed(spark, sf_dir), 2))
+    return _whole(etho.distribution(_posed(spark, sf_dir), 2))
 
 
 @query("""+ sizes AS (SELECT side, seq, sqrt(dx * dx + dy * dy) AS v FROM moves WHERE dx IS NOT NULL
 ), cap AS (SELECT quantile_cont(v, 0.1) AS c FROM sizes WHERE side = 'gt'
 ), gaps AS (SELECT seq, abs(avg(CASE WHEN side = 'gt' THEN (v <= c)::INT END) - avg(CASE WHEN side = 'inf' THEN (v <= c)::INT END)) AS gap, count(*) FILTER (side = 'gt') AS weight FROM sizes, cap GROUP BY seq)
-SELECT seq AS "sequenceId", round(1 - least(1, gap), 6) AS score, weight FROM gaps UNION ALL SELECT NULL, round(1 - least(1, avg(gap)), 6), sum(weight)::BIGINT FROM gaps""")
+SELECT seq AS "sequenceId", round(1 - least(1, gap), 6) AS score, weight FROM gaps UNION ALL SELECT -1, round(1 - least(1, avg(gap)), 6), sum(weight)::BIGINT FROM gaps""")
 def stationary(spark, sf_dir):
-    return _rounded(etho.stationary(_posed(spark, sf_dir)))
+    return _whole(etho.stationary(_posed(spark, sf_dir)))
 
 
 @query("""+ cosines AS (SELECT side, seq, t, (dx * (r1 + r3 - (r1 - r4)) + dy * (r2 + r4 - (r2 - r3))) / ((sqrt(dx * dx + dy * dy) + 1e-8) * (sqrt((r1 + r3 - (r1 - r4)) ** 2 + (r2 + r4 - (r2 - r3)) ** 2) + 1e-8)) AS c FROM moves WHERE dx IS NOT NULL
 ), gaps AS (SELECT seq, avg(abs(g - i)) AS gap, count(g) AS weight FROM (SELECT seq, t, max(c) FILTER (side = 'gt') AS g, max(c) FILTER (side = 'inf') AS i FROM cosines GROUP BY ALL) GROUP BY seq)
-SELECT seq AS "sequenceId", round(1 - least(1, gap / 2), 6) AS score, weight FROM gaps UNION ALL SELECT NULL, round(1 - least(1, avg(gap) / 2), 6), sum(weight)::BIGINT FROM gaps""")
+SELECT seq AS "sequenceId", round(1 - least(1, gap / 2), 6) AS score, weight FROM gaps UNION ALL SELECT -1, round(1 - least(1, avg(gap) / 2), 6), sum(weight)::BIGINT FROM gaps""")
 def direction(spark, sf_dir):
-    return _rounded(etho.direction(_posed(spark, sf_dir)))
+    return _whole(etho.direction(_posed(spark, sf_dir)))
 
 
 def _share_sql(cell: str, edges: str, width: str) -> str:
@@ -164,17 +169,17 @@ def _share_sql(cell: str, edges: str, width: str) -> str:
 ), every AS (SELECT * FROM counts UNION ALL SELECT side, NULL, bin, sum(n) FROM counts GROUP BY ALL
 ), wide AS (SELECT seq, bin, coalesce(sum(n) FILTER (side = 'gt'), 0) AS g, coalesce(sum(n) FILTER (side = 'inf'), 0) AS i FROM every GROUP BY ALL
 ), dense AS (SELECT seq, g / sum(g) OVER (PARTITION BY seq) + 1e-12 * {width} AS p, i / sum(i) OVER (PARTITION BY seq) + 1e-12 * {width} AS q, g FROM wide, edges)
-SELECT seq AS "sequenceId", round(1 / (1 + 0.5 * (sum(p * ln(p / q)) + sum(q * ln(q / p)))), 6) AS score, sum(g)::BIGINT AS weight FROM dense GROUP BY seq"""
+SELECT coalesce(seq, -1) AS "sequenceId", round(1 / (1 + 0.5 * (sum(p * ln(p / q)) + sum(q * ln(q / p)))), 6) AS score, sum(g)::BIGINT AS weight FROM dense GROUP BY seq"""
 
 
 @query(_share_sql("2 * (r1 > mx)::INT + (r2 > my)::INT", "(min(r1) + max(r1)) / 2 AS mx, (min(r2) + max(r2)) / 2 AS my", "1"))
 def quadrant_kl(spark, sf_dir):
-    return _rounded(etho.quadrant(_posed(spark, sf_dir)))
+    return _whole(etho.quadrant(_posed(spark, sf_dir)))
 
 
 @query(_share_sql("least(floor((r1 - x0) / (x1 - x0) * 60), 59)::INT * 60 + least(floor((r2 - y0) / (y1 - y0) * 60), 59)::INT", "min(r1) AS x0, max(r1) AS x1, min(r2) AS y0, max(r2) AS y1", "((x1 - x0) / 60 * ((y1 - y0) / 60))"))
 def position_kl(spark, sf_dir):
-    return _rounded(etho.position(_posed(spark, sf_dir)))
+    return _whole(etho.position(_posed(spark, sf_dir)))
 
 
 @query("""+ parts AS (
@@ -373,12 +378,12 @@ def weighted_mean_available(spark, sf_dir):
 
 @query()
 def syllable(spark, sf_dir):
-    return _rounded(clusters.syllables(_posed(spark, sf_dir)))
+    return _whole(clusters.syllables(_posed(spark, sf_dir)))
 
 
 @query()
 def trajectory_shape(spark, sf_dir):
-    return _rounded(clusters.trajectory_shapes(_posed(spark, sf_dir)))
+    return _whole(clusters.trajectory_shapes(_posed(spark, sf_dir)))
 
 
 @query()
