@@ -166,8 +166,8 @@ KINDS: list[tuple[str, str, Callable[[str, bytes], str | None]]] = [
     ("card", r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])", _card),
 ]
 _FINDER = re.compile("|".join(f"(?P<{kind}>{pattern.replace(chr(92) + '1', '(?P=mark)').replace('([./-])', '(?P<mark>[./-])')})" for kind, pattern, _ in KINDS))
-#: No kind does without one of these characters, and none spans lines.
-_HINT = re.compile(r"[0-9@=:]")
+#: No kind does without one of these, and none spans lines.
+_HINT = re.compile(r"[0-9@=:]|AKIA")
 _FUNCTIONS = {kind: function for kind, _, function in KINDS}
 
 

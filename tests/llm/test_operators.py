@@ -233,6 +233,12 @@ def test_pii_formats_and_links():
     assert pii.pseudonymise("1234567890123456 and 999.1.1.1 and 31/02/2000")[1] == 0
 
 
+def test_pii_key_without_digits():
+    key = "AKIA" + "QWERTYUIOPASDFGH"
+    out, n = pii.pseudonymise(f"plain words\nthe key {key} is here")
+    assert n == 1 and key not in out and re.search(r"AKIA[A-Z2-7]{16} is here", out)
+
+
 def test_pii_awkward(awkward, empty, docs):
     out = pii.protect(awkward, count="found")
     assert out.columns == [*awkward.columns, "found"] and {r.doc_id: r.text for r in out.collect()}[1] is None
