@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template title head svg iframe object".split())
 RAW = frozenset("script style title textarea noscript template svg iframe object".split())
+#: Elements that may close themselves or hold others of their kind.
+FOREIGN = frozenset("svg iframe object".split())
 BLOCKS = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select button textarea summary table tbody td tfoot th thead tr ul center".split())
 CLOSES_ITSELF = frozenset("li dt dd tr td th option thead tbody tfoot".split())
 CHROME = frozenset("header footer nav aside form".split())
@@ -76,6 +78,10 @@ class Page:
                             break
             if name == "br":
                 self._text(" ", open_tags[-1][1], links)
+            if name in FOREIGN:
+                at = self._past(name, m, source)
+                matches = _TAG.scanner(source, at)
+                continue
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>|\Z", re.I).search(source, at)
                 at = end.end()
@@ -93,6 +99,19 @@ class Page:
         if at < len(source):
             self._text(source[at:], open_tags[-1][1], links)
 
+    @staticmethod
+    def _past(name: str, opened: re.Match, source: str) -> int:
+        """Where a foreign element ends; elements of its kind may lie within."""
+        if opened[3].endswith("/"):
+            return opened.end()
+        depth = 1
+        for m in _TAG.finditer(source, opened.end()):
+            if (m[2] or "").lower() == name:
+                depth += -1 if m[1] else not m[3].endswith("/")
+                if not depth:
+                    return m.end()
+        return len(source)
+
     def _text(self, raw: str, node: int, links: int) -> None:
         self.runs.append((node, self.block, html.unescape(raw) if "&" in raw else raw, links > 0))
 

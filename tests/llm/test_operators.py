@@ -137,6 +137,12 @@ def test_html_awkward(html_model, source):
     assert isinstance(html.main_text(source, html_model), str)
 
 
+@pytest.mark.parametrize("inner", ['<svg class="i" />', "<svg><svg/><svg><path/></svg><text>no</text></svg>", '<iframe src="x"/>', "<object><object>no</object>no</object>"])
+def test_html_foreign_elements(inner):
+    page = html.Page(f"<article><p>before</p>{inner}<p>between</p><svg><text>no</text></svg><p>after</p></article>")
+    assert [t for _, _, t, _ in page.runs] == ["before", "between", "after"]
+
+
 def test_html_on_pages(spark, sf, html_model):
     rows = html.extract(read(spark, sf, "pages"), html_model).collect()
     for r in rows:
