@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 from .common import stored
 from .components import components
+from .paragraphs import SIMILAR
+from .similar import links, shared_bands, shingle_array, sketch
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Buckets up to this size are compared pair by pair, larger ones by bit.
@@ -117,20 +119,33 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", r
     return slim.join(of_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id", *carry)
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """The rows of ``df`` without near duplicates: of each component the row
-    with the component's id stays.
-
-    Of repeated rows with that id one stays, and of rows whose ids are all
-    null one.  Only ids and fingerprints are compared; texts move once, to meet
-    the chosen rows, whose place in ``df`` is kept by a hash of the row.
+    with the least id stays, nulls last, then the least hash of the row.
+
+    Two texts are near duplicates if the sets of their shingles of five words
+    have Jaccard similarity 0.8.  Pairs that share one of 20 bands of four
+    MinHashes are verified by their exact similarity; no fingerprint of 64 bits
+    tells such pairs from others within a radius that masks can cover.  Texts
+    with equal sets count once, texts without words are equal to each other,
+    and of rows that are repeated in full one stays.  Texts move once for the
+    verified pairs and once to meet the chosen rows, whose place in ``df`` is
+    kept by a hash of the row.
     """
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    hashed = df.withColumn("__row", row)
-    found = near_components(hashed, id_col, text, radius, ("__row",))
-    own = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component_id", "__row").agg(F.count("*").alias("n"))
-    stay = stored(own.groupBy("component_id").agg(F.min(F.struct("__row", "n")).alias("m")).select("component_id", "m.*"))
-    mine = stay.select(F.col("component_id").alias("__id"), F.col("__row").alias("__stay"))
+    hashed = df.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    slim = stored(hashed.select(F.col(f"`{id_col}`").alias("id"), "__row", sketch(F.col(text)).alias("s")).select("id", "__row", "s.*"))
+    distinct = slim.groupBy("h").agg(F.min("__row").alias("__row"))
+    bands = slim.join(distinct, ["h", "__row"]).dropDuplicates(["h"]).select("h", F.explode("bands").alias("key"))
+    members = stored(shared_bands(bands))
+    wanted = distinct.join(members.select("h").distinct(), "h", "left_semi")
+    sets = stored(hashed.select("__row", text).join(wanted, "__row").dropDuplicates(["h"]).select("h", shingle_array(F.col(text)).alias("grams")))
+    roots = components(links(members, sets, similar)).withColumnRenamed("node", "h")
+
+    rows = slim.groupBy("h", "id", "__row").agg(F.count("*").alias("n"))
+    of_set = rows.groupBy("h").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "__row", "n")).alias("m"))
+    of_root = of_set.join(roots, "h", "left").groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("m").alias("m"))
+    stay = stored(of_root.select("m.id", "m.__row", "m.n"))
+    mine = stay.select(F.col("id").alias("__id"), F.col("__row").alias("__stay"))
     kept = hashed.join(mine, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__stay")), "left_semi")
     if not stay.filter("n > 1").isEmpty():  # only rows repeated in full need another pass
         kept = kept.dropDuplicates([id_col, "__row"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from mirrorseq.llm import fingerprint, html, html_pages, mixing, packing, paragraphs, pii, quality, queries, sharding, simhash, toxicity
+from mirrorseq.llm import fingerprint, html, html_pages, mixing, packing, paragraphs, pii, quality, queries, sharding, simhash, similar, toxicity
 from mirrorseq.llm.common import as_key, n_words, read
 from mirrorseq.llm.components import components
 
@@ -328,6 +329,62 @@ def test_simhash_awkward(awkward, empty):
     assert simhash.near_components(empty).count() == 0 == simhash.keep_one(empty).count()
 
 
+def _five(text):
+    w = words(text.lower())
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def _jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def _least_roots(sets, alike):
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if find(a) != find(b) and alike(sets[a], sets[b]):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    return {k: find(k) for k in sets}
+
+
+def test_keep_one_recall_against_brute_force(spark):
+    rng = random.Random(8)
+    fresh = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    rows = []
+    for base in (fresh(rng.randint(60, 300)) for _ in range(60)):
+        rows.append((len(rows), " ".join(base)))
+        for edits in (1, len(base) // 60, len(base) // 40, len(base) // 20):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), edits):
+                copy[at] = fresh(1)[0]
+            rows.append((len(rows), " ".join(copy)))
+    roots = _least_roots({i: _five(t) for i, t in rows}, lambda a, b: _jaccard(a, b) >= 0.8)
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(roots.values()) and 60 < len(kept) < 250
+
+
+@pytest.mark.parametrize("hot", ["unlike", "copies"])
+def test_links_of_a_large_band_against_brute_force(spark, hot):
+    rng = random.Random(9)
+    fresh = lambda n: rng.sample(range(10**9), n)
+    common = fresh(10)
+    sets = {}
+    for _ in range(100 if hot == "unlike" else 3):
+        base = [*common, *fresh(30)]
+        for _ in range(3 if hot == "unlike" else 100):
+            sets[rng.randrange(10**12)] = set(base[:-2] + fresh(2))
+    df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "h long, grams array<long>")
+    members = similar.shared_bands(df.select(F.lit(5).cast("long").alias("key"), "h"))
+    got = {r.node: r.root for r in components(similar.links(members, df)).collect()}
+    expected = _least_roots(sets, lambda a, b: _jaccard(a, b) >= 0.8)
+    assert {k: got.get(k, k) for k in sets} == expected and len(set(expected.values())) == (100 if hot == "unlike" else 3)
+
+
 def test_simhash_fingerprint():
     import xxhash
 
