@@ -368,6 +368,14 @@ def test_keep_one_recall_against_brute_force(spark):
     assert kept == set(roots.values()) and 60 < len(kept) < 250
 
 
+def test_keep_one_null_and_shared_ids(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2] + " x"), (1, texts[3]), (1, texts[4]), (2, texts[4]), (None, texts[5]), (3, texts[5])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((str(r.doc_id), r.text[0]) for r in kept)
+    assert got == [("1", "d"), ("1", "e"), ("3", "f"), ("None", "a"), ("None", "b"), ("None", "c")]
+
+
 @pytest.mark.parametrize("hot", ["unlike", "copies"])
 def test_links_of_a_large_band_against_brute_force(spark, hot):
     rng = random.Random(9)
