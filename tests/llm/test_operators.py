@@ -428,6 +428,25 @@ def test_paragraphs_link_near_copies(spark):
     assert near == pytest.approx(25 / 27) and far == 0 and rows
 
 
+def test_paragraphs_of_a_large_band_against_brute_force(spark):
+    rng = random.Random(11)
+    fresh = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    common, texts = fresh(12), {}
+    for _ in range(150):
+        base = fresh(40)
+        texts[len(texts)] = " ".join([*common, *base])
+        texts[len(texts)] = " ".join([*common, *base[:-1], "other"])
+    rows = [(h, 7, h, t) for h, t in texts.items()]
+    df = spark.createDataFrame(rows, "h long, m0 long, m1 long, words string")
+    members = paragraphs.band_members(df)
+    assert members.count() == 300
+    found = similar.links(members, df.select("h", F.transform(paragraphs._grams("words"), lambda g: F.xxhash64(g)).alias("grams")))
+    got = {(r.a, r.b) for r in found.collect()}
+    assert got == {(k, k + 1) for k in range(0, 300, 2)}
+    sets = {k: _five(t) for k, t in texts.items()}
+    assert got == {(a, b) for a, b in itertools.combinations(sets, 2) if _jaccard(sets[a], sets[b]) >= 0.8}
+
+
 def test_paragraphs_awkward(awkward, empty):
     out = paragraphs.repeated(awkward).collect()
     assert len(out) >= len(ROWS) and all(r.n_removed == 0 for r in out if r.doc_id in (1, 2, 3))
