@@ -428,6 +428,27 @@ def test_paragraphs_link_near_copies(spark):
     assert near == pytest.approx(25 / 27) and far == 0 and rows
 
 
+def test_paragraphs_short_passages_against_brute_force(spark):
+    rng = random.Random(12)
+    fresh = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    rows = []
+    for size in range(49, 61):
+        for _ in range(5):
+            passage = fresh(size)
+            for part in (passage[5:45], passage, passage):  # the first holds too little of it
+                rows.append((len(rows), [*fresh(rng.randint(0, 60)), *part, *fresh(rng.randint(0, 60))]))
+    found = paragraphs.repeated(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    got = {r.doc_id: {x for s in r.spans or [] for x in range(s["at"], s["at"] + s["n"])} for r in found}
+    seen, covered = set(), 0
+    for i, w in rows:
+        grams = [tuple(w[k : k + 51]) for k in range(len(w) - 50)]
+        expected = {k + x for k, g in enumerate(grams) if g in seen for x in range(51)}
+        assert expected <= got[i], i
+        covered += len(expected)
+        seen.update(grams)
+    assert covered == 5 * sum(range(51, 61))
+
+
 def test_paragraphs_of_a_large_band_against_brute_force(spark):
     rng = random.Random(11)
     fresh = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
