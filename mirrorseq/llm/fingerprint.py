@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from .common import stored, words
 
-SAMPLES = 24
+SAMPLES = 64
 #: Identity bits of a sample; the rest of a positive long orders the samples.
 _ID_BITS = 23
 _COARSE, _FINE, _ROWS = 256, 8, 2000

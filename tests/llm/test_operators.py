@@ -216,6 +216,20 @@ def test_fingerprints_against_brute_force(docs):
     assert abs(sum(errors) / len(errors)) < 0.03 and (sum(e * e for e in errors) / len(errors)) ** 0.5 < 0.12
 
 
+def test_fingerprints_tell_the_threshold(spark):
+    rows = []
+    for k in range(60):
+        common = [f"c{k}x{i}" for i in range(80)]
+        rows.append((2 * k, [*common, *[f"a{k}x{i}" for i in range(10)]]))
+        rows.append((2 * k + 1, [*common, *[f"b{k}x{i}" for i in range(10)]]))
+    terms = spark.createDataFrame(rows, "id long, words array<string>").select("id", F.explode("words").alias("word"))
+    found = fingerprint.signatures(terms.select("id", F.xxhash64("word").alias("term"), F.lit(1).alias("w")), ["id"], ["w"])
+    got = {r.id: r.w for r in found.collect()}
+    assert all(len(v) >= 64 for v in got.values())
+    errors = [sum(x == y for x, y in zip(got[2 * k], got[2 * k + 1], strict=True)) / len(got[0]) - 0.8 for k in range(60)]
+    assert (sum(e * e for e in errors) / 60) ** 0.5 < 0.065
+
+
 def test_fingerprints_awkward(awkward, empty):
     out = fingerprint.fingerprints(awkward).collect()
     assert len(out) == len(ROWS)
