@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql.window import Window
 #: A word is a run of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Folder of this process's stored results.
+RUN = f"mirrorseq-{uuid.uuid4().hex}"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,13 +22,31 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see.
+    """A new folder that the driver and all executors see, below
+    ``spark.checkpoint.dir``.
 
-    It lies below ``spark.checkpoint.dir``; only a session without that
-    setting (local tests) gets a folder of its own.
+    A session without that setting gets a temporary folder if it runs in one
+    process (``local[...]``, as tests do); on a cluster executors would write
+    to disks of their own, so that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/mirrorseq-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="mirrorseq-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{RUN}/{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all files that :func:`stored` has written for this process.
+
+    To be called once the results that were built on them have been written.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{RUN}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -59,16 +80,16 @@ def as_key(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit("null"))
 
 
-def number_within(df: DataFrame, group: list[str], key: Column, order: list[str], out: str) -> DataFrame:
+def number_within(df: DataFrame, group: list[str], key: Column, order: list[str], out: str, digits: int = 2) -> DataFrame:
     """Adds ``out``: a gapless number from 0 within each group.
 
-    Each group is split into 256 parts by the hash of ``key``; parts are
-    numbered on their own and shifted by the rows of the parts before them,
-    so no group has to fit into one task.  The counts are a second, narrow
-    read of ``df`` with at most 256 rows a group.
+    Each group is split into 16 ** ``digits`` parts by the hash of ``key``;
+    parts are numbered on their own and shifted by the rows of the parts before
+    them, so no group has to fit into one task.  The counts are a second, narrow
+    read of ``df`` with a row a part.
     """
     part = f"__part_{out}"
-    keyed = df.withColumn(part, md5_prefix(key, 2))
+    keyed = df.withColumn(part, md5_prefix(key, digits))
     by = [*group, part]
     counts = keyed.groupBy(*by).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
@@ -80,3 +101,12 @@ def number_within(df: DataFrame, group: list[str], key: Column, order: list[str]
         .withColumn(out, (F.col("__before") + F.col("__rank") - 1).cast("long"))
         .drop(part, "__rank", "__before")
     )
+
+
+def part_digits(rows: int, most: int = 1_000_000) -> int:
+    """Digits for :func:`number_within` that keep parts of a group of ``rows``
+    rows near ``most`` or less; 2 (256 parts) at least, 5 at most."""
+    digits = 2
+    while digits < 5 and rows > most * 16**digits:
+        digits += 1
+    return digits

@@ -43,7 +43,7 @@ d AS (
   SELECT id, arg_min(k, cost) FILTER (k < 40)::INT AS shard, arg_min(k, cost)::INT AS grown_shard FROM draws GROUP BY id
 )
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
-  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(id), 1, 2), doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
+  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(id || ':' || text_crc32 || ':' || size), 1, 2), doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
 FROM sized JOIN placed USING (id)
 """
 

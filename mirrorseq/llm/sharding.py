@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_key, md5_prefix, number_within
+from .common import as_key, md5_prefix, number_within, stored
 
 #: 13 hexadecimal digits fill 52 bits, which a double holds exactly.
 _DIGITS, _RANGE = 13, float(16**13)
@@ -17,7 +17,6 @@ def _cost(key: Column, shard: int, weight: float) -> Column:
     return -F.log(u) / F.lit(float(weight))
 
 
-
 def rendezvous(df: DataFrame, key: Column, weights: list[float], shard: str = "shard", grown: str | None = None, grown_weight: float = 1.0) -> DataFrame:
     """Adds the shard of each row; with ``grown`` also its shard among one more.
 
@@ -45,8 +44,15 @@ def rendezvous(df: DataFrame, key: Column, weights: list[float], shard: str = "s
 
 def numbered(df: DataFrame, key: str, order: list[str], shard: str = "shard", out: str = "slot") -> DataFrame:
     """Adds ``out``, a gapless place from 0 in each shard, without ever
-    gathering a shard in one task (see :func:`.common.number_within`)."""
-    return number_within(df, [shard], as_key(F.col(key)), [key, *order], out)
+    gathering a shard in one task (see :func:`.common.number_within`).
+
+    Rows are written once, so ``df`` should be narrow; the draws of
+    :func:`rendezvous` aren't repeated.  Rows with one key are dealt to parts by
+    the columns of ``order`` as well, so that a key that very many rows share is
+    split; only rows that are equal in all of them stay together.
+    """
+    part = F.concat_ws(":", *[as_key(F.col(c)) for c in (key, *order)])
+    return number_within(stored(df), [shard], part, [key, *order], out)
 
 
 def write_shards(df: DataFrame, path: str, key: str, weights: list[float], files_per_shard: int = 64) -> None:
