@@ -7,7 +7,7 @@ import functools
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_key, number_within, stored
+from .common import as_key, number_within, part_digits, stored
 
 CAPACITY, END = 1024, 2
 #: Fixed value: the pattern by which byte-level BPE splits a text.
@@ -23,22 +23,42 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 GROUPS, SMALL = 64, CAPACITY // 8
 
 
+#: Runs of white space from here on go to the file's own engine, as the other
+#: one backtracks over them on a stack of bounded depth.
+LONG_RUN = 10_000
+
+
 @functools.cache
-def encoder(path: str):
-    """The byte-level BPE of a tokenizers file, in tiktoken's faster engine.
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """The byte-level BPE of a tokenizers file, without special tokens at the ends.
 
-    Ids of the vocabulary are the ranks of its merges, so both engines give
-    the same ids; strings of special tokens are ordinary text.
+    Ids of the vocabulary are the ranks of its merges, so tiktoken, which is
+    five times as fast, gives the same ids.  The file's added tokens are ids of
+    their own wherever their strings occur in a text, as the file has it.
     """
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+        content = json.load(file)
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in printable]
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if all(c in byte_of for c in token) and not re.fullmatch(r"<\|.*\|>", token)}
-    return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {t["content"]: t["id"] for t in content["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in content["model"]["vocab"].items() if token not in added and all(c in byte_of for c in token)}
+    fast = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    own = Tokenizer.from_file(path)
+    blank = re.compile(rf"\s{{{LONG_RUN}}}")
+    names = set(added)
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= LONG_RUN and blank.search(text):
+            return own.encode(text, add_special_tokens=False).ids
+        if any(name in text for name in names):
+            return fast.encode(text, allowed_special=names)
+        return fast.encode_ordinary(text)
+
+    return encode
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> Iterator[tuple[int, int]]:
@@ -58,7 +78,7 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
 
     @F.pandas_udf(T.ArrayType(_PIECE_IDS if with_ids else _PIECE))
     def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(path)
         for texts in parts:
             rows = []
             for t in texts:
@@ -237,7 +257,8 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", c
     Defined results: null and empty texts give one piece with the end token;
     documents of more than ``capacity`` tokens are cut, the first piece being
     the shorter; repeated rows and ids are packed as often as they occur; an
-    empty table gives no rows.
+    empty table gives no rows.  Runs of any length, of white space or of
+    letters, are encoded whole.
     """
     spark = df.sparkSession
     cut = stored(pieces(df, path, id_col, text, capacity=capacity))
@@ -245,7 +266,8 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", c
     schema = "plan_length long, lo long, hi long, first long, offset long"
     placed = spark.createDataFrame(pd.DataFrame(plan(counts, capacity), columns=["plan_length", "lo", "hi", "first", "offset"], dtype="int64"), schema)
     key = F.concat_ws(":", as_key(F.col(id_col)), F.col("piece").cast("string"))
-    ranked = number_within(cut, ["length"], key, [id_col, "piece", "ids_crc32"], "rank")
+    digits = part_digits(max(counts.values(), default=0))
+    ranked = number_within(cut, ["length"], key, [id_col, "piece", "ids_crc32"], "rank", digits)
     fits = (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     out = ranked.join(F.broadcast(placed), fits)
     return out.select(id_col, "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
