@@ -9,50 +9,71 @@ from pyspark.sql.window import Window
 from .common import stored, words
 
 SAMPLES = 64
+#: Samples that one row draws; more make the generated code too long to compile.
+_BLOCK = 2
 #: Identity bits of a sample; the rest of a positive long orders the samples.
 _ID_BITS = 23
-_COARSE, _FINE, _ROWS = 256, 8, 2000
+#: Least draws are kept in steps of 2 ** -34 up to 64.
+_MOST, _STEPS = 63.999, float(1 << 34)
+#: Quantiles of the ids, rows that a bucket aims at, and most buckets a quantile.
+_COARSE, _ROWS, _FINE = 256, 32, 1024
+#: Bits by which rows that share one very frequent id are dealt on.
+_SUB_BITS = 10
 
 
-def _uniform(bits: Column, shift: int, width: int) -> Column:
-    part = F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1))
-    return (part + 0.5) / float(1 << width)
+def _bits(value: Column, shift: int, width: int) -> Column:
+    """A number in (0, 2 ** width) from some bits of a hash."""
+    return F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(0.5)
 
 
-def signatures(terms: DataFrame, by: list[str], weights: list[str], samples: int = SAMPLES, carry: tuple[str, ...] = ()) -> DataFrame:
+def signatures(terms: DataFrame, by: list[str], weights: list[str], samples: int = SAMPLES) -> DataFrame:
     """One row for each group with an array of sample identities a weight column.
 
     terms: (*by, term long, *weights); a term with weight 0 isn't in the set,
     and the signature of an empty set is all null.  Equal sets have equal
     signatures, and the share of equal entries estimates the similarity.
+    ``samples`` is a multiple of 2.
 
     Improved consistent weighted sampling (Ioffe, 2010): for each term and
-    sample j, r and c are Gamma(2, 1) and b uniform, all drawn from the hash of
-    the term and j; t = floor(ln w / r + b), ln a = ln c - r (t - b + 1).  The
-    term with the least a is the sample and (term, t) its identity; two weighted
-    sets share it with probability sum of min(w) / sum of max(w), their
-    generalised Jaccard similarity.  Order and identity are packed into one
-    long, so that a sample is a minimum.  The draws serve all weight columns.
+    sample, r and c are Gamma(2, 1) and b uniform, all drawn from the hash of
+    the term and the sample's number; t = floor(ln w / r + b) and
+    a = c exp(-r (t - b + 1)).  The term with the least a is the sample and
+    (term, t) its identity; two weighted sets share it with probability sum of
+    min(w) / sum of max(w), their generalised Jaccard similarity.  Order and
+    identity are packed into one long, so that a sample is a minimum.  The draws
+    serve all weight columns, and a term whose weights are equal is drawn once.
     """
-    logs = [F.log(F.when(F.col(w) > 0, F.col(w))).alias(f"__log_{w}") for w in weights]
-    each = terms.select(*by, "term", *carry, *logs, F.explode(F.array(*map(F.lit, range(samples)))).alias("__j"))
-    each = each.withColumn("__u", F.xxhash64("term", 2 * F.col("__j"))).withColumn("__v", F.xxhash64("term", 2 * F.col("__j") + 1))
-    r = -F.log(_uniform(F.col("__u"), 0, 21) * _uniform(F.col("__u"), 21, 21))
-    log_c = F.log(-F.log(_uniform(F.col("__v"), 0, 32) * _uniform(F.col("__v"), 32, 32)))
-    each = each.withColumn("__r", r).withColumn("__b", _uniform(F.col("__u"), 42, 21)).withColumn("__c", log_c)
-    for w in weights:
-        each = each.withColumn(f"__t_{w}", F.floor(F.col(f"__log_{w}") / F.col("__r") + F.col("__b")))
-
-    def packed(w: str) -> Column:
-        t = F.col(f"__t_{w}")
-        order = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("__c") - F.col("__r") * (t - F.col("__b") + 1) + 128.0)) * float(1 << 32)
+    log = lambda w: F.log(F.when(F.col(w) > 0, F.col(w)).cast("double")).alias(f"__log_{w}")
+    each = terms.select(*by, "term", *weights, *map(log, weights), F.explode(F.array(*map(F.lit, range(samples // _BLOCK)))).alias("__j"))
+    each = each.select("*", *[F.xxhash64("term", F.col("__j") * _BLOCK + k).alias(f"__u{k}") for k in range(_BLOCK)])
+    draws = []
+    for k in range(_BLOCK):
+        u = F.col(f"__u{k}")
+        draws += [
+            (-F.log(_bits(u, 0, 11) * _bits(u, 11, 11) * 2.0**-22)).alias(f"__r{k}"),
+            (_bits(u, 22, 14) * 2.0**-14).alias(f"__b{k}"),
+            (-F.log(_bits(u, 36, 14) * _bits(u, 50, 14) * 2.0**-28)).alias(f"__c{k}"),
+        ]
+    each = each.select("*", *draws)
+    step = lambda k, w: F.when(F.col(f"__log_{w}") == 0.0, F.lit(0).cast("long")).otherwise(F.floor(F.col(f"__log_{w}") / F.col(f"__r{k}") + F.col(f"__b{k}")))
+    each = each.select("*", *[step(k, w).alias(f"__t{k}_{w}") for k in range(_BLOCK) for w in weights])
+
+    def packed(k: int, w: str) -> Column:
+        t = F.col(f"__t{k}_{w}")
+        order = F.least(F.col(f"__c{k}") * F.exp(F.col(f"__r{k}") * (F.col(f"__b{k}") - t - 1.0)), F.lit(_MOST)) * _STEPS
         identity = F.shiftrightunsigned(F.col("term"), 7).bitwiseXOR(t * 40503).bitwiseAND(F.lit((1 << _ID_BITS) - 1))
-        return F.when(F.col(f"__log_{w}").isNotNull(), F.shiftleft(order.cast("long"), _ID_BITS).bitwiseOR(identity))
+        return F.shiftleft(order.cast("long"), _ID_BITS).bitwiseOR(identity)
 
-    best = each.groupBy(*by, "__j").agg(*[F.max(c).alias(c) for c in carry], *[F.min(packed(w)).alias(w) for w in weights])
-    found = best.groupBy(*by).agg(*[F.max(c).alias(c) for c in carry], F.sort_array(F.collect_list(F.struct("__j", *weights))).alias("__s"))
-    identity = lambda w: F.transform("__s", lambda x: x[w].bitwiseAND(F.lit((1 << _ID_BITS) - 1)).cast("int")).alias(w)
-    return found.select(*by, *carry, *map(identity, weights))
+    first, *others = weights
+    each = each.select("*", *[packed(k, first).alias(f"__p{k}") for k in range(_BLOCK)])
+    least = [F.min(F.when(F.col(first) > 0, F.col(f"__p{k}"))).alias(f"{first}_{k}") for k in range(_BLOCK)]
+    least += [F.min(F.when(F.col(w) == F.col(first), F.when(F.col(w) > 0, F.col(f"__p{k}"))).when(F.col(w) > 0, packed(k, w))).alias(f"{w}_{k}") for w in others for k in range(_BLOCK)]
+    best = each.groupBy(*by, "__j").agg(*least)
+    drawn = F.struct("__j", *[F.array(*[f"{w}_{k}" for k in range(_BLOCK)]).alias(w) for w in weights])
+    found = best.groupBy(*by).agg(F.sort_array(F.collect_list(drawn)).alias("__s"))
+    identity = lambda x: x.bitwiseAND(F.lit((1 << _ID_BITS) - 1)).cast("int")
+    entries = lambda w: F.transform(F.flatten(F.transform("__s", lambda s: s[w])), identity).alias(w)
+    return found.select(*by, *map(entries, weights))
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
@@ -68,28 +89,39 @@ def as_text(signature: str) -> Column:
     return F.concat(*[F.coalesce(F.lower(F.lpad(F.hex(F.get(signature, F.lit(j))), 6, "0")), F.lit("------")) for j in range(SAMPLES)])
 
 
-def in_order(df: DataFrame, id_col: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows dealt to buckets that follow the order of ids, and which bucket is
-    next: (bucket, *columns) and (bucket, next_bucket).
+def in_order(df: DataFrame, id_col: str, tie: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt to buckets that follow the order of (id, tie), and which
+    bucket is next: (bucket, *columns) and (bucket, next_bucket).
 
-    256 quantiles of the ids are split evenly further, as often as the number
-    of rows asks for, so a bucket has some thousand rows at any size.  Null ids
-    come first.  The last bucket is followed by the first.
+    The ids are cut at 256 quantiles, and each part at further quantiles of its
+    own, as many as the number of rows asks for up to 1024, so a bucket has some
+    rows at small size and a 262144th of them at any size, however the ids lie.
+    An id at which a cut falls has buckets of its own, dealt on by ``tie``
+    (a long >= 0), so that one id of very many rows is split.  Null ids come
+    first.  The last bucket is followed by the first.
     """
-    stats = df.agg(F.count("*").alias("n"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), F.percentile_approx(id_col, [k / _COARSE for k in range(1, _COARSE)]).alias("q")).first()
-    edges = [stats["lo"] or 0, *(stats["q"] or []), (stats["hi"] or 0) + 1]
-    fine = max(_FINE, -(-stats["n"] // (_COARSE * _ROWS)))
-    inner = F.array(*[F.lit(int(x)) for x in edges[1:-1]]) if len(edges) > 2 else F.array().cast("array<bigint>")
-    every = F.array(*[F.lit(float(x)) for x in edges])
-    out = df.withColumn("__c", F.size(F.filter(inner, lambda x: x <= F.col(id_col))))
-    low, high = F.get(every, F.col("__c")), F.get(every, F.col("__c") + 1)
-    inside = F.least(F.lit(fine - 1), F.floor((F.col(id_col) - low) / F.greatest(high - low, F.lit(1.0)) * fine))
-    bucket = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(F.col("__c") * fine + F.greatest(F.lit(0), inside)).cast("long")
+    stats = df.agg(F.count("*").alias("n"), F.percentile_approx(id_col, [k / _COARSE for k in range(1, _COARSE)]).alias("q")).first()
+    fine = min(_FINE, max(2, -(-stats["n"] // (_COARSE * _ROWS))))
+    edges = sorted(set(stats["q"] or []))
+    outer = F.array(*[F.lit(int(x)) for x in edges]).cast("array<bigint>")
+    coarse = F.when(F.col(id_col).isNull(), 0).otherwise(F.size(F.filter(outer, lambda x: x <= F.col(id_col))) + 1)
+    out = df.withColumn("__c", coarse)
+    # at most 257 rows of 1024 ids
+    cuts = out.filter(F.col(id_col).isNotNull()).groupBy("__c").agg(F.array_distinct(F.percentile_approx(id_col, [k / fine for k in range(fine)])).alias("__q"))
+    out = out.join(F.broadcast(cuts), "__c", "left")
+    at = F.coalesce(F.array_contains("__q", F.col(id_col)), F.lit(True))
+    inside = F.coalesce(F.size(F.filter("__q", lambda x: x < F.col(id_col))), F.lit(0)) * 2 + at.cast("int")
+    sub = F.when(at, F.shiftright(tie, 63 - _SUB_BITS)).otherwise(0)
+    bucket = (F.col("__c").cast("long") * (4 * _FINE) + inside) * (1 << _SUB_BITS) + sub
     dealt = out.withColumn("bucket", bucket).select("bucket", *columns)
-    used = dealt.select("bucket").distinct()
-    every_bucket = Window.orderBy("bucket")
-    first = F.first("bucket").over(every_bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    follows = used.select("bucket", F.coalesce(F.lead("bucket").over(every_bucket), first).alias("next_bucket"))
+    used = dealt.select("bucket").distinct().withColumn("__c", F.floor(F.col("bucket") / (4 * _FINE << _SUB_BITS)))
+    used = stored(used)
+    parts = used.groupBy("__c").agg(F.min("bucket").alias("__first"))
+    every = Window.orderBy("__c")  # at most 257 rows
+    first = F.first("__first").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    parts = parts.select("__c", F.coalesce(F.lead("__first").over(every), first).alias("__next"))
+    ahead = F.lead("bucket").over(Window.partitionBy("__c").orderBy("bucket"))
+    follows = used.withColumn("__ahead", ahead).join(F.broadcast(parts), "__c").select("bucket", F.coalesce("__ahead", "__next").alias("next_bucket"))
     return dealt, stored(follows)
 
 
@@ -122,8 +154,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     other; a single row is its own next one; an empty table gives no rows.
     """
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt, follows = in_order(docs, "id", ["id", "text"])
-    dealt = dealt.withColumn("tie", F.xxhash64("text"))
+    docs = docs.withColumn("tie", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    dealt, follows = in_order(docs, "id", "tie", ["id", "text", "tie"])
     by_id = Window.partitionBy("bucket").orderBy("id", "tie")
     least = dealt.groupBy("bucket").agg(F.min(F.struct("id", "tie")).alias("m")).select("bucket", "m.*")
     same = (F.col("d.bucket") == F.col("l.bucket")) & F.col("d.id").eqNullSafe(F.col("l.id")) & (F.col("d.tie") == F.col("l.tie"))
@@ -133,21 +165,18 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
 
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
-    rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", edited).withColumn("sha", F.sha2("edited", 256))
-    # the digest travels as five longs, which aggregate in place
-    digest = [F.conv(F.substring("sha", 13 * k + 1, 13), 16, 10).cast("long").alias(f"sha_{k}") for k in range(5)]
-    carry = ("id", "n_chars", *(f"sha_{k}" for k in range(5)))
-    rows = rows.withColumn("own", words(F.col("text"))).select("bucket", "rank", "id", "n_chars", *digest, F.size("own").alias("n_own"), F.concat("own", words(F.col("edited"))).alias("all"))
-    each = rows.select("bucket", "rank", *carry, "n_own", F.posexplode_outer("all").alias("at", "word"))
-    term = F.xxhash64("word").alias("term")
+    rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
+    about = rows.select("bucket", "rank", "id", "n_chars", F.sha2("edited", 256).alias("sha"))
+    split = rows.select("bucket", "rank", words(F.col("text")).alias("own"), words(F.col("edited")).alias("changed"))
+    split = split.select("bucket", "rank", F.size("own").alias("n_own"), F.concat("own", "changed").alias("all"))
+    each = split.select("bucket", "rank", "n_own", F.posexplode_outer("all").alias("at", "word"))
     here = F.col("word").isNotNull()
-    counts = each.groupBy("bucket", "rank", term).agg(*[F.max(c).alias(c) for c in carry], F.sum((here & (F.col("at") < F.col("n_own"))).cast("int")).alias("own"), F.sum((here & (F.col("at") >= F.col("n_own"))).cast("int")).alias("edited"))
-    found = stored(signatures(counts, ["bucket", "rank"], ["own", "edited"], carry=carry))
+    counts = each.groupBy("bucket", "rank", F.xxhash64("word").alias("term")).agg(F.sum((here & (F.col("at") < F.col("n_own"))).cast("int")).alias("own"), F.sum((here & (F.col("at") >= F.col("n_own"))).cast("int")).alias("edited"))
+    found = stored(signatures(counts, ["bucket", "rank"], ["own", "edited"]).join(about, ["bucket", "rank"]))
 
     heads = found.filter("rank = 1").select("bucket", "own")
     found = next_value(found, follows, heads, "own", "next")
-    sha = F.lower(F.concat(*[F.lpad(F.hex(f"sha_{k}"), 13 if k < 4 else 12, "0") for k in range(5)]))
     return found.select(
-        F.col("id").alias(id_col), "n_chars", sha.alias("edited_sha256"), as_text("own").alias("fingerprint"), as_text("edited").alias("edited_fingerprint"),
+        F.col("id").alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"), as_text("own").alias("fingerprint"), as_text("edited").alias("edited_fingerprint"),
         likeness("own", "edited").alias("near_edited"), likeness("own", "next").alias("near_next"),
     )
