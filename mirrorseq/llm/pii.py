@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import calendar
 import datetime
+import functools
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROUNDS = 8
-KEY = b"mirrorseq pseudonyms"
-_FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: Session setting that holds the secret key as hexadecimal digits.
+KEY_SETTING = "spark.mirrorseq.pseudonymKey"
+_YEARS = range(1900, 2100)
+_FIRST, _LAST = datetime.date(_YEARS[0], 1, 1).toordinal(), datetime.date(_YEARS[-1], 12, 31).toordinal()
+# Country calling codes of one and two digits; others have three.
+CALLING_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -110,34 +117,63 @@ def _ssn(found: str, key: bytes) -> str | None:
     return f"{areas[a]:03}-{b + 1:02}-{c + 1:04}"
 
 
+def _pairs(leap: bool, widths: tuple[int, int], month_first: bool | None) -> list[tuple[int, int]]:
+    """The two numbers before a year, in one way of writing a date.
+
+    month_first: whether only that order of month and day is possible; None
+    for numbers that may be read both ways.  A number of one digit is below 10.
+    """
+    days = [31, 29 if leap else 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
+    if month_first is None:
+        found = [(x, y) for x in range(1, 13) for y in range(1, 13)]
+    else:
+        found = [(m, d) if month_first else (d, m) for m in range(1, 13) for d in range(13, days[m - 1] + 1)]
+    return [(x, y) for x, y in found if (widths[0] == 2 or x < 10) and (widths[1] == 2 or y < 10)]
+
+
+@functools.cache
+def _domain(widths: tuple[int, int], month_first: bool | None) -> tuple[list[tuple[int, int, int]], dict[tuple[int, int, int], int]]:
+    """All dates of one way of writing, and the place of each."""
+    dates = [(x, y, year) for year in _YEARS for x, y in _pairs(calendar.isleap(year), widths, month_first)]
+    return dates, {d: i for i, d in enumerate(dates)}
+
+
 def _date(found: str, key: bytes) -> str | None:
+    """Dates stay in their way of writing: year first, day first, month first,
+    or readable both ways, with their widths and separators; each is a domain
+    of its own, so different dates never meet."""
     numbers = re.split(r"[-./]", found)
-    year_first = len(numbers[0]) == 4
-    y, m, d = map(int, numbers if year_first else numbers[::-1])
-    month_first = not year_first and m > 12  # mm/dd/yyyy
-    if month_first:
-        m, d = d, m
-    try:
-        day = datetime.date(y, m, d).toordinal()
-    except ValueError:
-        return None
-    if not _FIRST <= day <= _LAST:
+    if len(numbers[0]) == 4:
+        try:
+            day = datetime.date(*map(int, numbers)).toordinal()
+        except ValueError:
+            return None
+        if not _FIRST <= day <= _LAST:
+            return None
+        new = datetime.date.fromordinal(_FIRST + permute(day - _FIRST, _LAST - _FIRST + 1, key, "date"))
+        return f"{new.year:04}{found[4]}{new.month:02}{found[4]}{new.day:02}"
+    x, y, year = map(int, numbers)
+    widths = (len(numbers[0]), len(numbers[1]))
+    month_first = None if max(x, y) <= 12 else y > 12
+    dates, places = _domain(widths, month_first)
+    if (x, y, year) not in places:
         return None
-    new = datetime.date.fromordinal(_FIRST + permute(day - _FIRST, _LAST - _FIRST + 1, key, "date"))
-    order = [new.year, new.month, new.day] if year_first else [new.month, new.day, new.year] if month_first else [new.day, new.month, new.year]
-    if month_first and new.day <= 12:  # else it would read as another date
-        return f"{order[0]:02}{found[len(numbers[0])]}{order[1]:02}{found[len(numbers[0])]}{order[2]:04}"
+    x, y, year = dates[permute(places[x, y, year], len(dates), key, f"date:{widths}:{month_first}")]
     separator = found[len(numbers[0])]
-    return separator.join(f"{x:04}" if x > 31 else f"{x:02}" for x in order)
+    return f"{x:0{widths[0]}}{separator}{y:0{widths[1]}}{separator}{year:04}"
 
 
 def _phone(found: str, key: bytes) -> str | None:
-    prefix = re.match(r"\+\d{1,3}(?=[\s.(-])", found)
-    head = prefix[0] if prefix else ""
-    digits = re.sub(r"\D", "", found[len(head) :])
-    if not 7 <= len(digits) <= 14:
+    """The country code stays and the rest is permuted as plain digits, so a
+    number keeps its pseudonym however it is spaced; (ddd) ddd-dddd has code 1."""
+    digits = re.sub(r"\D", "", found)
+    code = ""
+    if found.startswith("+"):
+        code = next((digits[:n] for n in (1, 2) if digits[:n] in CALLING_CODES), digits[:3])
+    rest = digits[len(code) :]
+    if not 6 <= len(rest) <= 14:
         return None
-    return head + _dealt(found[len(head) :], characters(digits, key, "phone"))
+    return _dealt(found, code + characters(rest, key, f"phone:{code or '1'}"))
 
 
 def _email(found: str, key: bytes) -> str | None:
@@ -171,7 +207,7 @@ _HINT = re.compile(r"[0-9@=:]|AKIA")
 _FUNCTIONS = {kind: function for kind, _, function in KINDS}
 
 
-def pseudonymise(text: str | None, key: bytes = KEY) -> tuple[str | None, int]:
+def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, int]:
     """The whole text with its personal data replaced, and how many were."""
     if not text or not _HINT.search(text):
         return text, 0
@@ -188,21 +224,36 @@ def pseudonymise(text: str | None, key: bytes = KEY) -> tuple[str | None, int]:
     return "\n".join(lines), count
 
 
-def protect(df: DataFrame, text: str = "text", key: bytes = KEY, count: str | None = None) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the session's setting.
+
+    Where it is unset a random key is set for this session: its pseudonyms
+    stay linked to each other, but can't be undone or linked to other runs.
+    """
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return bytes.fromhex(spark.conf.get(KEY_SETTING))
+
+
+def protect(df: DataFrame, key: bytes, text: str = "text", count: str | None = None) -> DataFrame:
     """``df`` with pseudonyms in ``text``; ``count`` names a column for their number.
 
     Numbers and dates are validated (Luhn sum, mod 97, octets, calendar) and
     permuted under the key within their format: the pseudonym of a card number
     is a valid card number, that of a date a date, and separators stay.  E-mail
     addresses keep their domain, credentials their name.  A permutation depends
-    on the key, the kind and the value alone, so equal values stay linked
-    across documents and runs, and different ones stay different.
+    on the key, the kind and the value alone, so equal values stay linked across
+    documents and different ones stay different.  Whoever has the key can undo
+    the permutation: it must be kept secret, and 16 to 64 bytes long.
 
     Defined results: null stays null and empty stays empty, with count 0;
     other columns, repeated rows and an empty table stay as they are.  No
     shuffle; each text is handled on its own.
     """
 
+    if not 16 <= len(key) <= 64:
+        raise ValueError("the key must have 16 to 64 bytes")
+
     @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.LongType())]))
     def replaced(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:

@@ -101,7 +101,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms for their personal data."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.protect(docs, count="n_private")
+    return pii.protect(docs, pii.session_key(spark), count="n_private")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
