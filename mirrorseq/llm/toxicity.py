@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -20,15 +23,16 @@ INSULTS = "idiot moron stupid pathetic loser scum trash worthless disgusting clo
 THREATS = "kill hurt destroy beat shoot stab burn murder strangle matar golpear tuer frapper töten schlagen".split()
 MODALS = "will shall going gonna must should voy vas wird werde vais vas".split()
 TARGETS = "you your he she they them him her this these those people tú usted ustedes vous tu toi du ihr sie".split()
+CONTRASTS = "but however aber sondern mais pero sino".split()
 NEGATIONS = "not never no isn't aren't don't won't nicht kein keine nie pas jamais nunca ningún".split()
 REPORTS = "said says wrote called quoted reported claimed allegedly sagte schrieb dijo escribió dit écrit".split()
 
-#: Bounds of the training sample and of the learned lexicon.
-SAMPLE, LEXICON, STEMS = 8000, 2000, (4, 5, 6, 7, 8)
+#: Most labelled rows that a model is trained from, and what makes a term.
+SAMPLE = 8000
 LEAST_DOCS, LEAST_ODDS = 5, 3.0
-_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n\"“”«»]")
-_BREAKS = frozenset(".!?;\n")
-_QUOTES = frozenset("\"“”«»")
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»]")
+_BREAK = re.compile(r"[.!?;]")
+_QUOTES = "\"“”«»"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -47,87 +51,180 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def learn_terms(rows: DataFrame) -> dict[str, float]:
-    """Log-odds of words and word stems (ending in ``*``) that mark toxic rows.
+    """Log-odds of the words that mark toxic rows.
 
-    Documents with a term are counted by class; at most ``LEXICON`` terms, the
-    strongest, reach the driver.
+    Documents with a word are counted by class.  Every word in ``LEAST_DOCS``
+    toxic rows whose log-odds reach ``LEAST_ODDS`` is learned; their number is
+    bounded by the training sample alone.
     """
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), 0))
-    stems = [F.transform(F.filter(found, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
-    terms = F.explode(F.array_distinct(F.concat(found, *stems)))
+    terms = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), 0)))
     sizes = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
     toxic, clean = sizes["t"], sizes["n"] - sizes["t"]
     counts = rows.select("toxic", terms.alias("term")).groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).filter(F.col("t") >= LEAST_DOCS)
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    best = counts.withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), "term").limit(LEXICON)
-    return {r["term"]: r["odds"] for r in best.collect()}
+    return {r["term"]: r["odds"] for r in counts.withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).collect()}
+
+
+Arcs = dict[tuple[str, str], list[tuple[str, float]]]
+SYMBOLS = ("insult", "threat", "target", "modal", "negation", "contrast", "report", "quote", "other")
+HITS = ("insult", "threat")
+#: Words over which a modal reaches a threat and a target a hit.
+NEAR = 6
+
+
+class Transducer(NamedTuple):
+    """States with weighted arcs: (state, symbol) to the next states, each with
+    the factor that a hit's weight gets there.  ``ends`` are the states in
+    which a clause may end."""
+
+    start: str
+    arcs: Arcs
+    ends: frozenset[str]
+
+
+def threats() -> Transducer:
+    """A threat counts only within ``NEAR`` words after a modal."""
+    after = [f"after{k}" for k in range(1, NEAR + 1)]
+    arcs: Arcs = {}
+    for state, following in zip(["idle", *after], ["idle", *after[1:], "idle"], strict=True):
+        for symbol in SYMBOLS:
+            arcs[state, symbol] = [("after1" if symbol == "modal" else following, 0.0 if symbol == "threat" and state == "idle" else 1.0)]
+    return Transducer("idle", arcs, frozenset(["idle", *after]))
+
+
+def targets(raised: float = 1.25) -> Transducer:
+    """A target raises the hits of the ``NEAR`` words after it, and those before
+    it in its clause: such a hit may go on owing a target, and a clause can't
+    end in debt."""
+    near = [f"near{k}" for k in range(1, NEAR + 1)]
+    arcs: Arcs = {}
+    for state, following in zip(["far", *near, "owing"], ["far", *near[1:], "far", "owing"], strict=True):
+        for symbol in SYMBOLS:
+            if symbol == "target":
+                arcs[state, symbol] = [("near1", 1.0)]
+            elif symbol not in HITS:
+                arcs[state, symbol] = [(following, 1.0)]
+            elif state == "far":
+                arcs[state, symbol] = [("far", 1.0), ("owing", raised)]
+            else:
+                arcs[state, symbol] = [(following, raised)]
+    return Transducer("far", arcs, frozenset(["far", *near]))
+
+
+def negations(lowered: float = 0.25) -> Transducer:
+    """A negation lowers all hits after it, up to a contrast or the clause's end."""
+    arcs: Arcs = {}
+    for state in ("free", "negated"):
+        for symbol in SYMBOLS:
+            to = "negated" if symbol == "negation" else "free" if symbol == "contrast" else state
+            arcs[state, symbol] = [(to, lowered if state == "negated" and symbol in HITS else 1.0)]
+    return Transducer("free", arcs, frozenset(["free", "negated"]))
+
+
+def reports(lowered: float = 0.5) -> Transducer:
+    """A verb of saying lowers all hits after it, up to a contrast or the
+    clause's end; quotation marks lower those between them."""
+    arcs: Arcs = {}
+    for state in ("plain", "reported", "quoted", "both"):
+        said, quoted = state in ("reported", "both"), state in ("quoted", "both")
+        for symbol in SYMBOLS:
+            now = (said or symbol == "report") and symbol != "contrast", quoted != (symbol == "quote")
+            to = {(False, False): "plain", (True, False): "reported", (False, True): "quoted", (True, True): "both"}[now]
+            arcs[state, symbol] = [(to, lowered if (said or quoted) and symbol in HITS else 1.0)]
+    return Transducer("plain", arcs, frozenset(["plain", "reported", "quoted", "both"]))
+
+
+def compose(*machines: Transducer) -> Transducer:
+    """One transducer that runs all at once: its states are tuples of theirs, and
+    factors multiply.  Only states that can be reached are built."""
+    name = "|".join
+    start = tuple(m.start for m in machines)
+    arcs: Arcs = {}
+    ends, known, open_states = set(), {start}, [start]
+    while open_states:
+        state = open_states.pop()
+        if all(s in m.ends for s, m in zip(state, machines, strict=True)):
+            ends.add(name(state))
+        for symbol in SYMBOLS:
+            out = []
+            for choice in itertools.product(*(m.arcs[s, symbol] for s, m in zip(state, machines, strict=True))):
+                to = tuple(c[0] for c in choice)
+                out.append((name(to), math.prod(c[1] for c in choice)))
+                if to not in known:
+                    known.add(to)
+                    open_states.append(to)
+            arcs[name(state), symbol] = out
+    return Transducer(name(start), arcs, frozenset(ends))
 
 
 class Grammar:
-    """Transducers for insult, threat, target, negation and reported speech.
+    """Insults, threats, targets, negation and reported speech as weighted
+    finite-state transducers, composed into one that reads a clause.
 
-    Each reads the clause's symbols and keeps a small state; composed, they
-    turn a hit's weight into that of the hit in its context: a target nearby
-    raises it, negation before it and reported speech around it lower it, and
-    a threat counts only after a modal.
+    A clause's score is its best path: the sum of the weights of its hits, each
+    times the factors of the arcs that read it.
     """
 
-    NEAR = 6
-
     def __init__(self, terms: dict[str, float]) -> None:
-        self.terms = {w: 1.5 for w in INSULTS} | terms
-        self.classes = {w: c for c, ws in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("modal", MODALS), ("threat", THREATS)) for w in ws}
+        self.machine = compose(threats(), targets(), negations(), reports())
+        self.classes = {w: c for c, ws in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("modal", MODALS), ("contrast", CONTRASTS)) for w in ws} | dict.fromkeys(_QUOTES, "quote")
+        self.terms = {w: 2.5 for w in THREATS} | {w: 1.5 for w in INSULTS} | {w: v for w, v in terms.items() if w not in self.classes}
+        # a threat that was learned as a term counts without a modal too
+        self.threats = frozenset(THREATS) - terms.keys()
         self.finder = ahocorasick.Automaton()
-        for w in [*self.terms, *THREATS]:
-            self.finder.add_word(w.rstrip("*"), w)
+        for w in self.terms:
+            self.finder.add_word(w, len(w))
         self.finder.make_automaton()
 
-    def weight(self, word: str) -> float:
-        known = [self.terms[x] for x in (word, *(word[:n] + "*" for n in STEMS if len(word) > n)) if x in self.terms]
-        return max(known, default=0.0)
+    def hits(self, lower: str) -> list[int]:
+        """Where whole words of the lexicon begin."""
+        found = []
+        for last, size in self.finder.iter(lower):
+            first = last - size + 1
+            if not (first and lower[first - 1].isalpha()) and not (last + 1 < len(lower) and lower[last + 1].isalpha()):
+                found.append(first)
+        return found
+
+    def read(self, symbols: list[tuple[str, float]], quoted: bool = False) -> float:
+        """The best path's weight for the (symbol, weight) pairs of a clause."""
+        arcs, ends = self.machine.arcs, self.machine.ends
+        best = {self.machine.arcs[self.machine.start, "quote"][0][0] if quoted else self.machine.start: 0.0}
+        for symbol, weight in symbols:
+            now: dict[str, float] = {}
+            for state, value in best.items():
+                for to, factor in arcs[state, symbol]:
+                    reached = value + weight * factor
+                    if reached > now.get(to, -1.0):
+                        now[to] = reached
+            best = now
+        return max((v for s, v in best.items() if s in ends), default=0.0)
+
+    def symbols(self, clause: str) -> list[tuple[str, float]]:
+        out = []
+        for word in _TOKEN.findall(clause):
+            weight = self.terms.get(word, 0.0)
+            out.append(("threat" if word in self.threats else "insult" if weight else self.classes.get(word, "other"), weight))
+        return out
 
     def clauses(self, text: str) -> list[float]:
-        """Scores of the clauses with a hit."""
+        """Scores of the clauses with a hit, which end at . ! ? or ;"""
         lower = text.lower()
-        if next(self.finder.iter(lower), None) is None:
+        hits = self.hits(lower)
+        if not hits:
             return []
-        scores: list[float] = []
-        score = 0.0
-        since = dict.fromkeys(("target", "negation", "report", "modal"), 99)
-        pending: list[float] = []  # hits that a target may yet follow
-        quoted = False
-        for m in _TOKEN.finditer(lower):
-            word = m[0]
-            if word in _BREAKS:
-                score += sum(pending)
-                if score:
-                    scores.append(score)
-                score, pending, since = 0.0, [], dict.fromkeys(since, 99)
-                continue
-            if word in _QUOTES:
-                quoted = not quoted
+        breaks = [-1, *(m.start() for m in _BREAK.finditer(lower)), len(lower)]
+        scores, done, at, quoted = [], -1, 0, False
+        for hit in sorted(hits):
+            k = bisect.bisect_left(breaks, hit)
+            if breaks[k] == done:
                 continue
-            since = {k: v + 1 for k, v in since.items()}
-            kind = self.classes.get(word)
-            if kind in since:
-                since[kind] = 0
-                if kind == "target":
-                    score, pending = score + 1.25 * sum(pending), []
-            hit = self.weight(word)
-            if kind == "threat" and since["modal"] <= self.NEAR:
-                hit = max(hit, 2.5)
-            if not hit:
-                continue
-            if since["negation"] <= 3:
-                hit *= 0.4
-            if since["report"] <= self.NEAR or quoted:
-                hit *= 0.6
-            if since["target"] <= self.NEAR:
-                score += 1.25 * hit
-            else:
-                pending.append(hit)
-        score += sum(pending)
-        return [*scores, score] if score else scores
+            first, done = breaks[k - 1] + 1, breaks[k]
+            quoted ^= sum(lower.count(q, at, first) for q in _QUOTES) % 2 == 1
+            at = first
+            score = self.read(self.symbols(lower[first:done]), quoted)
+            if score:
+                scores.append(score)
+        return scores
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Strongest clause, all clauses (damped), clauses with a hit (damped)."""

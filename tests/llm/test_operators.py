@@ -258,6 +258,36 @@ def test_toxicity_grammar():
     score = lambda t: max(grammar.clauses(t), default=0)
     assert score("You are an idiot.") > score("An idiot.") > score("not an idiot.") > 0
     assert score("He said idiot.") < score("Some idiot.") and score("I will kill you.") > score("to kill time") == 0
+    assert score("I am not saying you are an idiot") < 0.5 * score("you are an idiot") == 0.5 * score("you are an \n idiot")
+    assert score('not nice but you idiot') == score("you idiot") > score('"you idiot"') == score('He wrote. "yes. you idiot"')
+    assert score("idiot, i mean it when i look at how all of it turned out for you") == score("you idiot")
+    assert score("idiotic") == 0 == score("preidiot")
+
+
+def test_toxicity_paths_against_all_paths():
+    machines = [toxicity.threats(), toxicity.targets(), toxicity.negations(), toxicity.reports()]
+    grammar, rng = toxicity.Grammar({}), random.Random(5)
+
+    def paths(machine, symbols):
+        found = [(machine.start, ())]
+        for s, _ in symbols:
+            found = [(to, (*factors, f)) for state, factors in found for to, f in machine.arcs[state, s]]
+        return [factors for state, factors in found if state in machine.ends]
+
+    for _ in range(200):
+        symbols = [(s, rng.choice([1.0, 2.5]) if s in toxicity.HITS else 0.0) for s in rng.choices(toxicity.SYMBOLS, weights=[2, 2, 2, 2, 1, 1, 1, 1, 4], k=rng.randint(0, 9))]
+        best = max(sum(w * a * b * c * d for (_, w), a, b, c, d in zip(symbols, *choice, strict=True)) for choice in itertools.product(*(paths(m, symbols) for m in machines)))
+        assert grammar.read(symbols) == pytest.approx(best)
+
+
+def test_toxicity_query_against_plain_python(spark, sf):
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    grammar, weights = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in queries.op7_toxicity(spark, sf).collect()}
+    for r in docs.collect():
+        z = sum(w * x for w, x in zip(weights, (*grammar.features(r.text), 1.0), strict=True))
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + 2.718281828459045 ** -z)) and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.7)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
 
 
 def test_toxicity_awkward(spark, awkward, empty):
