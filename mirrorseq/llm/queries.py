@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprint, html, html_pages, mixing, packing, paragraphs, pii, quality, sharding, simhash, toxicity
-from .common import as_key, n_words, read, stored
+from .common import as_key, n_words, read
 
 _WORD_SQL = r"'[^\x20\x09-\x0D]+'"
 
@@ -125,9 +125,10 @@ def op9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
-    measured = stored(quality.measures(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
-    out = quality.judged(measured, quality.fit(quality.pattern_counts(measured)))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
+    measured = quality.measures(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    out = quality.judged(quality.voted(measured).select(*columns, "pattern"))
+    return out.select(*columns, "kept", F.round("posterior", 6).alias("posterior"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
