@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 # Elements by their part in a page, and words that names use.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template title head svg iframe object".split())
 RAW = frozenset("script style title textarea noscript template svg iframe object".split())
+CONTROLS = frozenset("input button select textarea".split())
 #: Elements that may close themselves or hold others of their kind.
 FOREIGN = frozenset("svg iframe object".split())
 BLOCKS = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select button textarea summary table tbody td tfoot th thead tr ul center".split())
@@ -25,12 +25,20 @@ SCOPES = frozenset("ul ol dl table select".split())
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer copyright sidebar side aside widget related recommended cookie cookies consent gdpr notice alert popup modal overlay share sharing social newsletter subscribe signup login form search comment comments commentlist reply replies respond discussion disqus pagination pager toolbar skip".split())
 CONTENT = frozenset("article content post entry story main body text".split())
 
+#: Features of a node repeat each other in part, so each counts for less.
+SHARE = 0.5
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>|<[!?/][^>]*>""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_MARK = re.compile(r"[.!?…。](?=\s|$)")
 _LABEL = re.compile(r"""\sy="([01])\"""")
 _SPACE = re.compile(r"\s+")
 
 
+def _step(value: float, limits: tuple[float, ...]) -> int:
+    """How many of the limits the value reaches."""
+    return sum(value >= x for x in limits)
+
+
 class Page:
     """The elements of a page in document order, and its runs of text.
 
@@ -43,6 +51,7 @@ class Page:
         self.attributes: list[str] = [""]
         self.parent: list[int] = [0]
         self.runs: list[tuple[int, int, str, bool]] = []  # node, block, text, in a link
+        self.controls: list[int] = []  # nodes around inline form controls
         self.block = 0
         open_tags: list[tuple[str, int]] = [("#root", 0)]
         at = links = 0
@@ -82,12 +91,16 @@ class Page:
                 at = self._past(name, m, source)
                 matches = _TAG.scanner(source, at)
                 continue
+            if name == "textarea":
+                self.controls.append(open_tags[-1][1])
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>|\Z", re.I).search(source, at)
                 at = end.end()
                 matches = _TAG.scanner(source, at)
                 continue
             node = open_tags[-1][1]
+            if name in CONTROLS and name not in BLOCKS:
+                self.controls.append(node)
             if name in BLOCKS or _NAMES.search(m[3]):
                 self.tag.append(name)
                 self.attributes.append(m[3])
@@ -116,24 +129,57 @@ class Page:
         self.runs.append((node, self.block, html.unescape(raw) if "&" in raw else raw, links > 0))
 
     def evidence(self) -> list[tuple[str, ...]]:
-        """Tag, kind of name, size, link share and surroundings of each node."""
+        """What each node shows: its tag and the kind of its names, and the
+        structure of its text: size and share of the page's text, links, marks
+        at the end of sentences, length of blocks, paragraphs, controls, depth,
+        place on the page, its surroundings, and the text of its siblings."""
         n = len(self.tag)
-        chars, linked = [0] * n, [0] * n
-        for node, _, text, in_link in self.runs:
+        chars, linked, marks, paragraphs, controls, depth = ([0] * n for _ in range(6))
+        before: list[int | None] = [None] * n  # text of the page before the node's own
+        blocks: list[set[int]] = [set() for _ in range(n)]
+        whole = 0
+        for node, block, text, in_link in self.runs:
             size = len(text.strip())
+            if size:
+                if before[node] is None:
+                    before[node] = whole
+                blocks[node].add(block)
+                marks[node] += len(_MARK.findall(text))
+            whole += size
             chars[node] += size
             linked[node] += size * in_link
+        n_blocks = [len(b) for b in blocks]
+        for i in range(1, n):
+            depth[i] = depth[self.parent[i]] + (self.tag[i] not in ("html", "body"))
+            paragraphs[i] += self.tag[i] == "p"
+            controls[i] += self.tag[i] in CONTROLS
+        for node in self.controls:
+            controls[node] += 1
         for i in range(n - 1, 0, -1):
-            chars[self.parent[i]] += chars[i]
-            linked[self.parent[i]] += linked[i]
+            p = self.parent[i]
+            for count in (chars, linked, marks, paragraphs, controls, n_blocks):
+                count[p] += count[i]
+            if before[i] is not None and (before[p] is None or before[i] < before[p]):
+                before[p] = before[i]
+        largest = [0] * n  # most text among the children
+        for i in range(1, n):
+            largest[self.parent[i]] = max(largest[self.parent[i]], chars[i])
         out = []
         context = ["none"] * n  # what the nearest telling element at or above says
         for i in range(n):
-            names = {w for m in _NAMES.finditer(self.attributes[i]) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())} if self.attributes[i] else set()
-            kind = "boilerplate" if names & BOILERPLATE else "content" if names & CONTENT else "none"
-            share = linked[i] / chars[i] if chars[i] else 0
-            out.append((f"tag {self.tag[i]}", f"name {kind}", f"size {min(3, len(str(chars[i])) if chars[i] else 0)}", f"links {0 if share < 0.1 else 1 if share < 0.5 else 2}", f"within {context[self.parent[i]]}"))
-            context[i] = kind if kind != "none" else "boilerplate" if self.tag[i] in CHROME else "content" if self.tag[i] in ("article", "main") else context[self.parent[i]]
+            names = {w for m in _NAMES.finditer(self.attributes[i]) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())} - {""} if self.attributes[i] else set()
+            told = [k for k, known in (("boilerplate", BOILERPLATE), ("content", CONTENT)) if names & known]
+            kind = "both" if len(told) == 2 else told[0] if told else "other" if names else "none"
+            size = max(1, chars[i])
+            around = self.parent[i]
+            out.append((
+                f"tag {self.tag[i]}", f"under {self.tag[around] if around else 'body'} {self.tag[i]}", f"name {kind}", f"size {_step(chars[i], (1, 30, 100, 400))}", f"share {_step(chars[i] / max(1, whole), (0.02, 0.1, 0.4, 0.9))}", f"links {_step(linked[i] / size, (0.1, 0.5))}",
+                f"marks {_step(100 * marks[i] / size, (0.2, 0.6, 3))}", f"blocks {_step(chars[i] / max(1, n_blocks[i]), (15, 40, 100))}", f"paragraphs {_step(paragraphs[i], (1, 2, 4))}", f"controls {_step(controls[i], (1, 3))}",
+                f"depth {_step(depth[i], (2, 3, 5))}", f"place {_step((before[i] or 0) / max(1, whole), (0.02, 0.2, 0.8))}", f"within {context[around]}", f"siblings {_step(chars[i] / max(1, largest[around]), (0.1, 0.5, 1))}",
+            ))
+            by_tag = "boilerplate" if self.tag[i] in CHROME else "content" if self.tag[i] in ("article", "main") else ""
+            agrees = kind in ("boilerplate", "content") and by_tag in ("", kind)
+            context[i] = kind if agrees else by_tag if by_tag and kind != "boilerplate" else context[around]
         return out
 
     def labels(self) -> list[int]:
@@ -166,7 +212,11 @@ def train(labelled: DataFrame, column: str = "html") -> Model:
             yield pd.Series(rows)
 
     counts = labelled.select(F.explode(counted(F.col(column))).alias("c")).groupBy("c.y", "c.feature").count().collect()
-    by = {(r["y"], r["feature"]): r["count"] for r in counts}
+    return model_of({(r["y"], r["feature"]): r["count"] for r in counts})
+
+
+def model_of(by: Mapping[tuple[int, str], int]) -> Model:
+    """Log potentials from the number of nodes by (label, feature)."""
     features = sorted({f for _, f in by})
     group = {f: f.split(" ")[0] for f in features}
     total = {(y, g): sum(n for (z, f), n in by.items() if z == y and group[f] == g) for y in (0, 1) for g in set(group.values())}
@@ -177,7 +227,7 @@ def train(labelled: DataFrame, column: str = "html") -> Model:
             whole = by.get((0, f), 0) + by.get((1, f), 0) + 1
             model[f] = tuple(math.log((by.get((y, f), 0) + 0.5) / whole) for y in (0, 1))
         else:
-            model[f] = tuple(math.log((by.get((y, f), 0) + 0.5) / (total[y, g] + 10)) for y in (0, 1))
+            model[f] = tuple(SHARE * math.log((by.get((y, f), 0) + 0.5) / (total[y, g] + 10)) for y in (0, 1))
     return model
 
 
@@ -231,8 +281,9 @@ def extract(df: DataFrame, model: Model, column: str = "html", out: str = "text"
     """``df`` with ``out``, the main text of each whole page.
 
     Defined results: null and empty pages, and pages without content, give an
-    empty text; broken markup is read as far as it goes; repeated rows and an
-    empty table stay.  Pages are handled one by one, without a shuffle.
+    empty text; broken markup is read as far as it goes; repeated rows, ties and
+    an empty table stay.  A column named ``out`` is replaced, all others are
+    kept.  Pages are handled one by one, without a shuffle.
     """
 
     @F.pandas_udf(T.StringType())
