@@ -10,7 +10,9 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from mirrorseq.llm import fingerprint, html, html_pages, mixing, packing, paragraphs, pii, quality, queries, sharding, simhash, similar, toxicity
@@ -466,13 +468,59 @@ def test_paragraphs_find_embedded_passages(spark):
 
 
 def test_paragraphs_link_near_copies(spark):
+    """Passages with a changed word in different places still go."""
     rng = random.Random(4)
-    base = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(30)]
-    rows = [(i, 0, 0) for i in range(3)]
-    a, b, c = " ".join(base), " ".join([*base[:-1], "zz"]), " ".join("".join(rng.choices("qrstuv", k=6)) for _ in range(30))
-    df = spark.createDataFrame([(a, b, c)], "a string, b string, c string")
-    near, far = df.select(paragraphs._jaccard("a", "b"), paragraphs._jaccard("a", "c")).first()
-    assert near == pytest.approx(25 / 27) and far == 0 and rows
+    fresh = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    passage, rows = fresh(200), []
+    for i in range(20):
+        copy = list(passage)
+        copy[rng.randrange(200)] = "changed"
+        rows.append((i, " ".join([*fresh(30), *copy, *fresh(30)])))
+    got = {r.doc_id: r.n_removed for r in paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == 0 and all(n >= 140 for k, n in got.items() if k) and sum(got.values()) > 19 * 165
+
+
+def test_paragraph_bands_are_tuned():
+    assert paragraphs.n_bands(0.8, 0.95) == 2 and paragraphs.n_bands(0.8, 0.99, 2) == 5 and paragraphs.n_bands(0.5, 0.95) == 5
+
+
+@pytest.mark.parametrize("variants", [300])
+def test_paragraph_variants_are_one_class(spark, variants):
+    """A paragraph and its one-word variants: links against all pairs."""
+    rng = random.Random(14)
+    fresh = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    base, texts = fresh(60), {}
+    for k in range(variants):
+        copy = list(base)
+        copy[rng.randrange(60)] = fresh(1)[0]
+        texts[k] = " ".join(copy)
+    cuts = [(k, *paragraphs.split(t)[0].tolist()[2:], t) for k, t in texts.items()]
+    whole = [(k, paragraphs._mixed(np.array([k], np.uint64), 1).view(np.int64)[0].item(), t) for k, *_, t in cuts]
+    mins = {}
+    for k, _, t in whole:
+        grams = [xxhash.xxh64_intdigest(" ".join(g)) for g in sorted(_five(t))]
+        mins[k] = [min((x * f) & (2**63 - 1) for x in grams) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+    df = spark.createDataFrame([(h, *mins[k], t) for k, h, t in whole], "h long, m0 long, m1 long, words string")
+    members = paragraphs.band_members(df)
+    found = similar.links(members, df.select("h", F.transform(paragraphs._grams("words"), lambda g: F.xxhash64(g)).alias("grams")))
+    got = {r.node: r.root for r in components(found).collect()}
+    sets = {h: _five(t) for _, h, t in whole}
+    expected = _least_roots(sets, lambda a, b: _jaccard(a, b) >= 0.8)
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2) if expected[a] == expected[b]]
+    assert len(linked) > 1000 and sum(got.get(a, a) == got.get(b, b) for a, b in linked) >= 0.9 * len(linked)
+
+
+def test_paragraphs_of_rows_with_one_id(spark):
+    rng = random.Random(15)
+    fresh = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    passage = fresh(80)
+    rows = [(1, f"{fresh(20)} {passage}"), (2, f"{passage} {fresh(30)}"), (2, "two words"), (2, "two words"), (None, passage), (3, None), (3, f"{fresh(5)} {passage}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = paragraphs.repeated(df)
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in found.collect())
+    assert got == {(1, 100, 0): 1, (2, 110, 80): 1, (2, 2, 0): 2, (None, 80, 0): 1, (3, 0, 0): 1, (3, 85, 80): 1}
+    left = collections.Counter((r.doc_id, len(words(r.text))) for r in paragraphs.remove(df, found).collect())
+    assert left == {(1, 100): 1, (2, 30): 1, (2, 2): 2, (None, 80): 1, (3, 0): 1, (3, 5): 1}
 
 
 def test_paragraphs_short_passages_against_brute_force(spark):
@@ -516,9 +564,12 @@ def test_paragraphs_of_a_large_band_against_brute_force(spark):
 
 
 def test_paragraphs_awkward(awkward, empty):
-    out = paragraphs.repeated(awkward).collect()
-    assert len(out) >= len(ROWS) and all(r.n_removed == 0 for r in out if r.doc_id in (1, 2, 3))
-    assert paragraphs.repeated(empty).count() == 0
+    found = paragraphs.repeated(awkward)
+    out = found.collect()
+    assert len(out) == len(ROWS) and all(r.n_removed <= r.n_words for r in out) and all(r.n_removed == 0 for r in out if r.doc_id in (1, 2, 3, 5, 6, None))
+    left = paragraphs.remove(awkward, found)
+    assert left.columns == awkward.columns and left.count() == len(ROWS)
+    assert paragraphs.repeated(empty).count() == 0 == paragraphs.remove(empty, paragraphs.repeated(empty)).count()
 
 
 def test_quality_measures_against_brute_force(docs, awkward):
