@@ -671,21 +671,113 @@ def test_quality_awkward(awkward, empty):
     assert quality.keep_good(empty).count() == 0
 
 
-def test_components_of_long_chains(spark):
-    edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.createDataFrame([(1000, 1000), (2001, 2000)], "a long, b long"))
-    got = {r.node: r.root for r in components(edges).collect()}
-    assert all(got[i] == 0 for i in range(201)) and got[2001] == got[2000] == 2000 and 1000 not in got
+@pytest.mark.parametrize("hot", [100_000, 3])
+def test_components_of_long_chains(spark, hot):
+    chain = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    star = spark.range(3000, 3040).select(F.lit(2999).cast("long").alias("a"), F.col("id").alias("b"))
+    edges = chain.unionByName(star).unionByName(spark.createDataFrame([(1000, 1000), (2001, 2000)], "a long, b long"))
+    got = {r.node: r.root for r in components(edges, hot=hot).collect()}
+    assert all(got[i] == 0 for i in range(61)) and all(got[i] == 2999 for i in range(2999, 3040)) and got[2001] == got[2000] == 2000 and 1000 not in got
+
+
+def test_simhash_query_against_brute_force(spark, tmp_path):
+    rng = random.Random(16)
+    rows = [(None, None), (1000, ""), (900, " \t"), (901, "one two")]
+    for _ in range(25):
+        base = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(400)]
+        for _ in range(4):
+            copy = list(base)
+            for at in rng.sample(range(400), rng.choice([0, 1, 1, 2, 4])):
+                copy[at] = copy[at].upper() if rng.random() < 0.3 else "other"
+            rows.append((rng.randrange(10**6), " ".join(copy)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def print_of(text):
+        w = [x.lower() for x in words(text)]
+        grams = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+    prints = [print_of(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if (prints[i] ^ prints[j]).bit_count() <= 2:
+            root[find(i)] = find(j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[find(i)] = min((x for x in (least.get(find(i)), k) if x is not None), default=None)
+    expected = collections.Counter((k, f"{prints[i]:016x}", least[find(i)]) for i, (k, _) in enumerate(rows))
+    got = collections.Counter((r.doc_id, r.fingerprint, r.component_id) for r in queries.op8_simhash(spark, str(tmp_path)).collect())
+    assert got == expected and len({v for v in least.values()}) < len(rows)
+
+
+def test_pipeline_stages_against_plain_python(spark, sf):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = read(spark, sf, "documents")
+    columns = docs.columns
+    rows = {r.doc_id: r for r in docs.collect()}
+
+    kept = stages["quality_rules"](spark, docs, sf)
+    assert kept.columns == columns
+    good = {r.doc_id for r in queries.op10_quality(spark, sf).filter("kept").collect()}
+    assert {r.doc_id: r for r in kept.collect()} == {k: rows[k] for k in good}
+
+    kept = stages["near_duplicates"](spark, docs, sf)
+    assert kept.columns == columns
+    roots = _least_roots({k: _five(r.text or "") for k, r in rows.items()}, lambda a, b: a == b or bool(a and b and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and _jaccard(a, b) >= 0.8))
+    assert {r.doc_id: r for r in kept.collect()} == {k: rows[k] for k in roots.values()}
+
+    safe = stages["personal_data"](spark, docs, sf)
+    assert safe.columns == columns
+    key = pii.session_key(spark)
+    for r in safe.collect():
+        text = pii.pseudonymise(rows[r.doc_id].text, key)[0]
+        assert r == type(r)(**{**rows[r.doc_id].asDict(), "text": text, "n_chars": None if text is None else len(text)})
+
+    mixed = stages["source_mix"](spark, docs, sf)
+    assert mixed.columns == columns
+    sizes, places = {}, collections.defaultdict(list)
+    for k, r in rows.items():
+        sizes[r.source] = sizes.get(r.source, 0) + len(words(r.text))
+        places[r.source].append((int(hashlib.md5(str(k).encode()).hexdigest()[:15], 16), k))
+    order = sorted(sizes, key=lambda x: (x is None, x))
+    weight = {x: 1 + i % 3 for i, x in enumerate(order)}
+    left, target = sum(sizes.values()), {}
+    while len(target) < len(order):  # those over their cap stop, the rest is dealt again
+        open_ = [x for x in order if x not in target]
+        level = left / sum(weight[x] for x in open_)
+        full = [x for x in open_ if 3 * sizes[x] <= level * weight[x]]
+        for x in full or open_:
+            target[x] = 3 * sizes[x] if full else level * weight[x]
+        left -= sum(target[x] for x in full)
+    expected = collections.Counter()
+    for x in order:
+        whole = int(target[x] // sizes[x]) if sizes[x] else 0
+        quota, running = target[x] - whole * sizes[x], 0
+        for _, k in sorted(places[x]):
+            running += len(words(rows[k].text))
+            expected[k] += whole + (running <= quota)
+    assert collections.Counter(r.doc_id for r in mixed.collect()) == +expected
 
 
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
-    docs = read(spark, sf, "documents")
-    columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf)
-        assert docs.columns == columns, name
-    assert corpus_pipeline.run(spark, sf).count() > 0
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert out
+    at = collections.defaultdict(int)
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at[r.sequence_id]
+        at[r.sequence_id] += r.length
+    assert max(at.values()) <= 1024
 
 
 @pytest.mark.parametrize("stage", range(5))
