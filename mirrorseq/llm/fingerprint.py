@@ -21,9 +21,10 @@ _COARSE, _ROWS, _FINE = 256, 32, 1024
 _SUB_BITS = 10
 
 
-def _bits(value: Column, shift: int, width: int) -> Column:
-    """A number in (0, 2 ** width) from some bits of a hash."""
-    return F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(0.5)
+def _exponential(value: Column, shift: int, width: int) -> Column:
+    """An Exp(1) draw from some bits of a hash."""
+    bits = F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << width) - 1))
+    return -F.log((bits + F.lit(0.5)) * 2.0**-width)
 
 
 def signatures(terms: DataFrame, by: list[str], weights: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -39,30 +40,37 @@ def signatures(terms: DataFrame, by: list[str], weights: list[str], samples: int
     the term and the sample's number; t = floor(ln w / r + b) and
     a = c exp(-r (t - b + 1)).  The term with the least a is the sample and
     (term, t) its identity; two weighted sets share it with probability sum of
-    min(w) / sum of max(w), their generalised Jaccard similarity.  Order and
-    identity are packed into one long, so that a sample is a minimum.  The draws
-    serve all weight columns, and a term whose weights are equal is drawn once.
+    min(w) / sum of max(w), their generalised Jaccard similarity.
+
+    The draws come from three independent Exp(1) variables x, z and v: a
+    Gamma(2, 1) variable and its uniform share are a sum of two such variables
+    and the first one's part of it, so c = z + v, r (1 - b) = ln(c / z),
+    r = x + ln(c / z) and r b = x have the joint distribution above.  At weight
+    1, the most frequent, t = 0 and a = z, and no other draw is needed.
+
+    Order and identity are packed into one long, so that a sample is a minimum.
+    The draws serve all weight columns, and a term whose weights are equal is
+    drawn once.
     """
     log = lambda w: F.log(F.when(F.col(w) > 0, F.col(w)).cast("double")).alias(f"__log_{w}")
-    each = terms.select(*by, "term", *weights, *map(log, weights), F.explode(F.array(*map(F.lit, range(samples // _BLOCK)))).alias("__j"))
+    heavy = F.greatest(F.lit(1), *weights) > 1
+    each = terms.select(*by, "term", *weights, *map(log, weights), heavy.alias("__heavy"), F.explode(F.array(*map(F.lit, range(samples // _BLOCK)))).alias("__j"))
     each = each.select("*", *[F.xxhash64("term", F.col("__j") * _BLOCK + k).alias(f"__u{k}") for k in range(_BLOCK)])
     draws = []
     for k in range(_BLOCK):
         u = F.col(f"__u{k}")
-        draws += [
-            (-F.log(_bits(u, 0, 11) * _bits(u, 11, 11) * 2.0**-22)).alias(f"__r{k}"),
-            (_bits(u, 22, 14) * 2.0**-14).alias(f"__b{k}"),
-            (-F.log(_bits(u, 36, 14) * _bits(u, 50, 14) * 2.0**-28)).alias(f"__c{k}"),
-        ]
+        draws.append(_exponential(u, 0, 24).alias(f"__z{k}"))
+        draws += [F.when(F.col("__heavy"), _exponential(u, shift, 20)).alias(f"__{name}{k}") for name, shift in (("x", 24), ("v", 44))]
     each = each.select("*", *draws)
-    step = lambda k, w: F.when(F.col(f"__log_{w}") == 0.0, F.lit(0).cast("long")).otherwise(F.floor(F.col(f"__log_{w}") / F.col(f"__r{k}") + F.col(f"__b{k}")))
+    each = each.select("*", *[F.when(F.col("__heavy"), F.col(f"__x{k}") + F.log((F.col(f"__z{k}") + F.col(f"__v{k}")) / F.col(f"__z{k}"))).alias(f"__r{k}") for k in range(_BLOCK)])
+    step = lambda k, w: F.when(F.col(f"__log_{w}") == 0.0, F.lit(0).cast("long")).otherwise(F.floor((F.col(f"__log_{w}") + F.col(f"__x{k}")) / F.col(f"__r{k}")))
     each = each.select("*", *[step(k, w).alias(f"__t{k}_{w}") for k in range(_BLOCK) for w in weights])
 
     def packed(k: int, w: str) -> Column:
-        t = F.col(f"__t{k}_{w}")
-        order = F.least(F.col(f"__c{k}") * F.exp(F.col(f"__r{k}") * (F.col(f"__b{k}") - t - 1.0)), F.lit(_MOST)) * _STEPS
+        t, z = F.col(f"__t{k}_{w}"), F.col(f"__z{k}")
+        a = F.when(F.col(f"__log_{w}") == 0.0, z).otherwise((z + F.col(f"__v{k}")) * F.exp(F.col(f"__x{k}") - F.col(f"__r{k}") * (t + 1)))
         identity = F.shiftrightunsigned(F.col("term"), 7).bitwiseXOR(t * 40503).bitwiseAND(F.lit((1 << _ID_BITS) - 1))
-        return F.shiftleft(order.cast("long"), _ID_BITS).bitwiseOR(identity)
+        return F.shiftleft((F.least(a, F.lit(_MOST)) * _STEPS).cast("long"), _ID_BITS).bitwiseOR(identity)
 
     first, *others = weights
     each = each.select("*", *[packed(k, first).alias(f"__p{k}") for k in range(_BLOCK)])
