@@ -163,15 +163,19 @@ def histogram_similarity(shares: DataFrame) -> DataFrame:
     return parts.select(F.when(c.isNull(), (0.40 * F.col("o") + 0.35 * F.col("r")) / 0.75).otherwise(0.40 * F.col("o") + 0.25 * c + 0.35 * F.col("r")).alias("score"))
 
 
-def autocorrelation(paired: DataFrame, column: str, most: int = 5) -> DataFrame:
-    """(sequenceId, lag, gt, inf): of the sequence's centred values."""
-    whole, by = Window.partitionBy(SEQ), Window.partitionBy(SEQ).orderBy(TIME)
-    centred = paired.select(SEQ, TIME, *[(F.col(f"{column}_{s}") - F.avg(f"{column}_{s}").over(whole)).alias(s) for s in ("gt", "inf")])
-    lags = list(range(1, most + 1))
-    products = centred.select(SEQ, *[(F.col(s) * F.col(s)).alias(f"{s}_0") for s in ("gt", "inf")], *[(F.col(s) * F.lead(s, k).over(by)).alias(f"{s}_{k}") for s in ("gt", "inf") for k in lags])
-    sums = products.groupBy(SEQ).agg(*[F.sum(f"{s}_{k}").alias(f"{s}_{k}") for s in ("gt", "inf") for k in [0, *lags]])
-    rows = F.array(*[F.struct(F.lit(k).alias("lag"), *[F.try_divide(f"{s}_{k}", f"{s}_0").alias(s) for s in ("gt", "inf")]) for k in lags])
-    return sums.select(SEQ, F.explode(rows).alias("r")).select(SEQ, "r.*")
+def autocorrelations(paired: DataFrame, values: list[str], most: int = 48) -> DataFrame:
+    """(sequenceId, region, lag, gt, inf): of the centred values of each region
+    of a sequence, at lags 1 to ``most``; a sequence needs ``most`` + 5 rows."""
+    cells = long_form(paired, values)
+    whole = Window.partitionBy(SEQ, "region")
+    by = whole.orderBy(TIME)
+    centred = cells.select(SEQ, TIME, "region", *[(F.col(s) - F.avg(s).over(whole)).alias(s) for s in ("gt", "inf")])
+    lags = range(most + 1)
+    products = centred.select(SEQ, "region", *[(F.col(s) * F.lead(s, k).over(by)).alias(f"{s}_{k}") for s in ("gt", "inf") for k in lags])
+    sums = products.groupBy(SEQ, "region").agg(F.count("*").alias("n"), *[F.sum(f"{s}_{k}").alias(f"{s}_{k}") for s in ("gt", "inf") for k in lags]).filter(F.col("n") >= most + 5)
+    share = lambda s, k: F.when(F.col(f"{s}_0") >= 1e-8, F.col(f"{s}_{k}") / F.col(f"{s}_0")).alias(s)
+    rows = F.array(*[F.struct(F.lit(k).alias("lag"), share("gt", k), share("inf", k)) for k in lags if k])
+    return sums.select(SEQ, "region", F.explode(rows).alias("r")).select(SEQ, "region", "r.*")
 
 
 def sliding_correlations(paired: DataFrame, a: str, b: str, width: int = 45, step: int = 15) -> DataFrame:

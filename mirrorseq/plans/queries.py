@@ -313,9 +313,13 @@ def hist_similarity(spark, sf_dir):
     return _rounded(neuro.histogram_similarity(neuro.occupancy(_assigned(spark, sf_dir), len(_CENTRES))))
 
 
-@query("+ z AS (SELECT seq, t, r1_gt - avg(r1_gt) OVER w AS g, r1_inf - avg(r1_inf) OVER w AS i FROM paired WINDOW w AS (PARTITION BY seq)), y AS (" + " UNION ALL ".join(f"SELECT seq, {k} AS lag, sum(g * gl) / sum(g * g) AS gt, sum(i * il) / sum(i * i) AS inf FROM (SELECT seq, g, i, lead(g, {k}) OVER o AS gl, lead(i, {k}) OVER o AS il FROM z WINDOW o AS (PARTITION BY seq ORDER BY t)) GROUP BY seq" for k in range(1, 6)) + ") SELECT seq AS \"sequenceId\", lag::INT AS lag, round(gt, 6) AS gt, round(inf, 6) AS inf FROM y")
+_CENTRED = "+ z AS (SELECT seq, t, region, g - avg(g) OVER w AS g, i - avg(i) OVER w AS i, row_number() OVER (PARTITION BY seq, region ORDER BY t) AS k FROM cells WINDOW w AS (PARTITION BY seq, region)), y AS (SELECT a.seq, a.region, b.k - a.k AS lag, sum(a.g * b.g) AS g, sum(a.i * b.i) AS i FROM z a JOIN z b ON a.seq = b.seq AND a.region = b.region AND b.k - a.k BETWEEN 0 AND 48 GROUP BY ALL), u AS (SELECT y.seq, y.region, y.lag, y.g / o.g AS gt, y.i / o.i AS inf FROM y JOIN y o ON o.seq = y.seq AND o.region = y.region AND o.lag = 0 WHERE y.lag > 0)"
+
+
+@query(_CENTRED + ' SELECT seq AS "sequenceId", region, lag::INT AS lag, round(gt, 6) AS gt, round(inf, 6) AS inf FROM u')
 def autocorrelation(spark, sf_dir):
-    return _rounded(neuro.autocorrelation(frames.paired(spark, sf_dir), "r1"))
+    """All regions at lags 1 to 48."""
+    return _rounded(neuro.autocorrelations(frames.paired(spark, sf_dir), R))
 
 
 @query("+ a AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY t) - 1 AS place FROM paired) SELECT seq AS \"sequenceId\", (k * 15)::BIGINT AS start, round(corr(r1_gt, r2_gt), 6) AS gt, round(corr(r1_inf, r2_inf), 6) AS inf FROM a, range(60) r(k) WHERE place BETWEEN k * 15 AND k * 15 + 44 GROUP BY seq, k HAVING count(*) = 45")
