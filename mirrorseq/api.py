@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config, parts_of
-from .operators import clusters, etho, groupwise, linear, neuro, rollup
-from .plans.align import KEYS, SEQ, DataValidationError, canonical, check_keys, pair, truncated
+from .operators import clusters, etho, groupwise, latent, linear, movement, neuro, rollup
+from .plans import reports
+from .plans.align import KEYS, SEQ, canonical, check_keys, check_multimodal, check_overlap, check_traces, pair, truncated
 
 
 def aligned(gt: DataFrame, pred: DataFrame, config: Config = Config(), same_columns: bool = False) -> DataFrame:
@@ -18,11 +21,8 @@ def aligned(gt: DataFrame, pred: DataFrame, config: Config = Config(), same_colu
     left, right = (check_keys(canonical(d, config.sequence_key, config.time_key)) for d in (gt, pred))
     if same_columns and set(left.columns) != set(right.columns):
         raise AssertionError("ground truth and predictions have different columns")
-    paired = pair(left, right)
-    n = paired.count()
-    if not n or n < 0.5 * min(left.count(), right.count()):
-        raise DataValidationError("ground truth and predictions hardly overlap")
-    return paired
+    check_overlap(left, right)
+    return pair(left, right)
 
 
 def _values(paired: DataFrame, config: Config) -> list[str]:
@@ -39,36 +39,44 @@ def _below(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tables)
 
 
-def _gathered(tables: list[DataFrame]) -> DataFrame:
-    """The rows of all tables, each a handful of scores: every metric runs as a
-    plan of its own, which keeps plans small."""
-    rows = [(r.metric, r.value) for t in tables for r in t.collect()]
-    return tables[0].sparkSession.createDataFrame(rows, "metric string, value double")
+def _gathered(spark: SparkSession, tasks: list[Callable[[], DataFrame]], at_once: int = 4) -> DataFrame:
+    """The (metric, value) rows that the tasks give, each a handful of scores:
+    every metric runs as plans of its own, which keeps plans small, and some run
+    side by side, since most of them wait for short jobs."""
+    with ThreadPoolExecutor(at_once) as pool:
+        found = list(pool.map(lambda task: [(r.metric, r.value) for r in task().collect()], tasks))
+    return spark.createDataFrame([r for rows in found for r in rows], "metric string, value double")
 
 
 def compute_neuro_scores(predictions: DataFrame, ground_truth: DataFrame, config: Config = Config()) -> DataFrame:
     """Metrics, families and composite of region traces.
 
-    Topology and trajectory metrics are not built yet; the composite gives
-    their weight to the others.
+    The composite gives the weight of a metric without a value to the others.
     """
-    paired = truncated(aligned(ground_truth, predictions, config)).cache()
+    paired = truncated(aligned(ground_truth, predictions, config)).persist()
     values = _values(paired, config)
-    if len(values) < 2:
-        raise DataValidationError("at least two regions are needed")
-    metrics = _gathered([
-        _named(neuro.kl(paired, values), "KL_or_JSD_score"), _named(neuro.quantile_shift(paired, values), "QNT_score"), _named(neuro.moments(paired, values), "MOM_score"), _named(neuro.mean_shift(paired, values), "Mean_score"),
-        _named(neuro.graph(paired, values), "GRAPH_score"), _named(neuro.matrix_similarity(groupwise.cross_region_mi(paired, values)), "CrossRegionMI_score"), _named(linear.lagged_covariance(paired, values), "LaggedCovariance_score"), _named(linear.impulse_response(paired, values), "ImpulseResponse_score"),
-        _named(linear.subspace_angle(paired, values), "SubspaceAngle_score"), clusters.latent_states(paired, values),
-    ])
+    check_traces(paired, values)
+    metrics = _neuro_metrics(paired, values)
+    paired.unpersist()
     return metrics.unionByName(rollup.families(metrics))
 
 
+def _neuro_metrics(paired: DataFrame, values: list[str]) -> DataFrame:
+    one: dict[str, Callable[[], DataFrame]] = {
+        "MANI_score": lambda: latent.manifold_score(paired, values), "TRJDIST_score": lambda: latent.trajectory_score(paired, values),
+        "KL_or_JSD_score": lambda: neuro.kl(paired, values), "QNT_score": lambda: neuro.quantile_shift(paired, values), "MOM_score": lambda: neuro.moments(paired, values), "Mean_score": lambda: neuro.mean_shift(paired, values),
+        "GRAPH_score": lambda: neuro.graph(paired, values), "CrossRegionMI_score": lambda: neuro.matrix_similarity(groupwise.cross_region_mi(paired, values)),
+        "LaggedCovariance_score": lambda: linear.lagged_covariance(paired, values), "ImpulseResponse_score": lambda: linear.impulse_response(paired, values), "SubspaceAngle_score": lambda: linear.subspace_angle(paired, values),
+    }
+    tasks = [lambda m=m, f=f: _named(f(), m) for m, f in one.items()]
+    return _gathered(paired.sparkSession, [lambda: clusters.latent_states(paired, values), *tasks])
+
+
 def compute_fidelity_scores(predictions: DataFrame, ground_truth: DataFrame, config: Config = Config()) -> DataFrame:
     """Error and information of paired traces, and their composite."""
     paired = truncated(aligned(ground_truth, predictions, config)).cache()
     values = _values(paired, config)
-    metrics = _gathered([_named(neuro.error(paired, values), "Error_score"), _named(groupwise.mi_score(paired, values), "MI_score")])
+    metrics = _gathered(paired.sparkSession, [lambda: _named(neuro.error(paired, values), "Error_score"), lambda: _named(groupwise.mi_score(paired, values), "MI_score")])
     weight = F.create_map(*[F.lit(x) for kv in rollup.FIDELITY_WEIGHTS.items() for x in kv])[F.col("metric")]
     whole = metrics.agg(rollup.weighted_mean(F.col("value"), weight).alias("value"))
     return metrics.unionByName(_named(whole, "FIDELITY_SCORE", "value"))
@@ -77,11 +85,14 @@ def compute_fidelity_scores(predictions: DataFrame, ground_truth: DataFrame, con
 def etho_metrics(paired: DataFrame, config: Config = Config()) -> DataFrame:
     """(metric, sequenceId, score, weight); all sequences have a null id."""
     c = config.center_part
+    axis = [f"{p}_{a}_{s}" for p in config.body_axis for a in "XY" for s in ("gt", "inf")]
     tables = {
         "position_kl_score": etho.position(paired, c), "stationary_score": etho.stationary(paired, c, config.STATIONARY_THRESHOLD_PERCENTILE), "velocity_score": etho.distribution(paired, 1, c),
-        "acceleration_score": etho.distribution(paired, 2, c), "direction_score": etho.direction(paired, c, config.body_axis), "quadrant_score": etho.quadrant(paired, c),
+        "acceleration_score": etho.distribution(paired, 2, c), "quadrant_score": etho.quadrant(paired, c),
         "syllable_score": clusters.syllables(paired, c, config.KMEANS_K_SYLLABLE), "trajectory_shape_score": clusters.trajectory_shapes(paired, c, config.KMEANS_K_TRAJECTORY),
     }
+    if set(axis) <= set(paired.columns):
+        tables["direction_score"] = etho.direction(paired, c, config.body_axis)
     return _below([t.select(F.lit(m).alias("metric"), F.col(SEQ).cast("string").alias(SEQ), "score", F.col("weight").cast("long").alias("weight")) for m, t in tables.items()])
 
 
@@ -93,31 +104,83 @@ def compute_etho_scores(ground_truth: DataFrame, predictions: DataFrame, config:
     whole = rows.filter(F.col(SEQ).isNull()).select("metric", F.col("score").alias("value"))
     composite = whole.agg(rollup.geometric_mean(F.col("value")).alias("value"))
     dtw = groupwise.dtw_similarity(paired, config.center_part)
-    mmd = groupwise.mmd_similarity(paired, [f"{config.center_part}_X", f"{config.center_part}_Y"])
+    both = movement.alignment(paired, config.center_part, config.body_axis)
+    manifold = _named(both, "procrustes_similarity", "procrustes_similarity").unionByName(_named(both, "mmd_similarity", "mmd_similarity"))
     each = rows.filter(F.col(SEQ).isNotNull()).unionByName(dtw.select(F.lit("dtw_similarity_score").alias("metric"), F.col(SEQ).cast("string").alias(SEQ), "score", F.lit(1).cast("long").alias("weight")))
-    total = _gathered([whole, _named(dtw.agg(F.avg("score").alias("score")), "dtw_similarity_score"), _named(mmd, "mmd_similarity"), _named(composite, "composite_score", "value")])
+    spark = paired.sparkSession
+    total = _gathered(spark, [lambda: whole, lambda: _named(dtw.agg(F.avg("score").alias("score")), "dtw_similarity_score"), lambda: manifold, lambda: _named(composite, "composite_score", "value")])
     return total, each, etho.across_sequences(each)
 
 
-def compute_cross_scores(predictions: DataFrame, ground_truth: DataFrame, config: Config = Config()) -> DataFrame:
-    """How traces and behaviour go together on either side, as (metric, value)."""
-    paired = aligned(ground_truth, predictions, config).cache()
-    values, c = _values(paired, config), config.center_part
-    track = [f"{c}_X", f"{c}_Y"]
+def cross_metrics(paired: DataFrame, values: list[str], config: Config = Config()) -> dict[str, float | None]:
+    """How traces and the five behaviour features go together on either side."""
+    features = movement.behaviour_features(paired, config.center_part, config.body_axis)
     got: dict[str, float | None] = {}
-    for s in ("gt", "inf"):
-        side = paired.select(*KEYS, *[F.col(f"{x}_{s}").alias(x) for x in [*values, *track]])
-        label = "gt" if s == "gt" else "pred"
-        got[f"cca_{label}"] = linear.canonical_correlation(side, values, track)
-        got[f"r2_neural_to_behavior_{label}"] = linear.predictive_r2(side, values, track)
-        got[f"r2_behavior_to_neural_{label}"] = linear.predictive_r2(side, track, values)
+    for s, label in (("gt", "gt"), ("inf", "pred")):
+        mine = features.filter(F.col("side") == s).select(*KEYS, *[F.col(c).alias(f"__{c}") for c in movement.BEHAVIOUR])
+        side = paired.select(*KEYS, *[F.col(f"{v}_{s}").alias(v) for v in values]).join(mine, KEYS).persist()
+        behaviour = [f"__{c}" for c in movement.BEHAVIOUR]
+        got[f"cca_{label}"] = linear.canonical_correlation(side, values, behaviour)
+        got[f"r2_neural_to_behavior_{label}"] = linear.predictive_r2(side, values, behaviour)
+        got[f"r2_behavior_to_neural_{label}"] = linear.predictive_r2(side, behaviour, values)
+        side.unpersist()
     gap = lambda a: None if None in (got[f"{a}_gt"], got[f"{a}_pred"]) else abs(got[f"{a}_gt"] - got[f"{a}_pred"])
     cca, forth, back = gap("cca"), gap("r2_neural_to_behavior"), gap("r2_behavior_to_neural")
     got["cca_alignment_score"] = None if cca is None else 1 - min(1.0, cca)
     got["neural_to_behavior_similarity"] = None if forth is None else 1 / (1 + forth)
     got["behavior_to_neural_similarity"] = None if back is None else 1 / (1 + back)
-    lag = groupwise.lead_lag_score(groupwise.lead_lag(paired, values, c, config.LEAD_LAG_DEFAULT_MAX_LAG)).first()
+    lag = groupwise.lead_lag_score(groupwise.lead_lag(paired, values, config.center_part, config.LEAD_LAG_DEFAULT_MAX_LAG)).first()
     got |= {"lead_lag_gt": None if lag["gt"] is None else float(lag["gt"]), "lead_lag_pred": None if lag["inf"] is None else float(lag["inf"]), "lead_lag_score": lag["score"]}
-    parts = [got[k] for k in ("cca_alignment_score", "neural_to_behavior_similarity", "behavior_to_neural_similarity", "lead_lag_score")]
-    got["cross_composite"] = None if None in parts else 0.0 if 0.0 in parts else math.prod(parts) ** 0.25
-    return paired.sparkSession.createDataFrame(list(got.items()), "metric string, value double")
+    parts = [v for k, v in got.items() if v is not None and (k.endswith("score") or k.endswith("similarity"))]
+    got["cross_composite"] = (0.0 if 0.0 in parts else math.prod(parts) ** (1 / len(parts))) if parts else None
+    return got
+
+
+def compute_cross_scores(predictions: DataFrame, ground_truth: DataFrame, config: Config = Config()) -> DataFrame:
+    """(block, metric, value): the neural and behaviour scores, how traces and
+    behaviour go together, and the mean of the three composites."""
+    paired = aligned(ground_truth, predictions, config).persist()
+    values = _values(paired, config)
+    check_multimodal(paired, values, list(config.behavior_parts or [config.center_part]))
+    cross = cross_metrics(paired, values, config)
+    blocks = [("cross_scores", k, v) for k, v in cross.items()]
+    composites = [cross["cross_composite"]]
+    short = truncated(paired).persist()
+    check_traces(short, values)
+    neuro_rows = _neuro_metrics(short, values)
+    neuro_rows = neuro_rows.unionByName(rollup.families(neuro_rows)).collect()
+    blocks += [("neuro_scores", r.metric, r.value) for r in neuro_rows]
+    composites.append(next((r.value for r in neuro_rows if r.metric == "FINAL_COMPOSITE_SCORE"), None))
+    whole_rows = etho_metrics(paired, config).filter(F.col(SEQ).isNull()).select("metric", F.col("score").alias("value"))
+    whole = _gathered(paired.sparkSession, [lambda: whole_rows])
+    behaviour = whole.unionByName(_named(whole.agg(rollup.geometric_mean(F.col("value")).alias("value")), "composite_score", "value")).collect()
+    blocks += [("behavior_scores", r.metric, r.value) for r in behaviour]
+    composites.append(next((r.value for r in behaviour if r.metric == "composite_score"), None))
+    known = [v for v in composites if v is not None]
+    blocks += [("composite", m, v) for m, v in zip(("cross_composite", "neuro_composite", "etho_composite"), composites, strict=True)]
+    blocks.append(("composite", "composite", sum(known) / len(known) if known else None))
+    short.unpersist()
+    paired.unpersist()
+    return predictions.sparkSession.createDataFrame(blocks, "block string, metric string, value double")
+
+
+# Scores with the data of their figures.
+
+
+def run_neuro_full_analysis(predictions: DataFrame, ground_truth: DataFrame, config: Config = Config()) -> tuple[DataFrame, dict[str, DataFrame]]:
+    scores = compute_neuro_scores(predictions, ground_truth, config)
+    paired = truncated(aligned(ground_truth, predictions, config))
+    return scores, reports.neuro_report(paired, _values(paired, config), scores)
+
+
+def run_etho_full_analysis(ground_truth: DataFrame, predictions: DataFrame, config: Config = Config()) -> tuple[tuple[DataFrame, DataFrame, DataFrame], dict[str, DataFrame]]:
+    scores = compute_etho_scores(ground_truth, predictions, config)
+    paired = aligned(ground_truth, predictions, config, same_columns=True)
+    parts = parts_of([c[:-3] for c in paired.columns if c.endswith("_gt")])
+    tables = {"load": reports.load_stats(*(canonical(d, config.sequence_key, config.time_key) for d in (ground_truth, predictions)))}
+    return scores, tables | reports.etho_report(paired, parts, config.center_part, config.body_axis)
+
+
+def run_cross_full_analysis(predictions: DataFrame, ground_truth: DataFrame, config: Config = Config()) -> tuple[DataFrame, dict[str, DataFrame]]:
+    scores = compute_cross_scores(predictions, ground_truth, config)
+    return scores, {"bars": reports.cross_bars(scores.filter("block = 'cross_scores'"))}

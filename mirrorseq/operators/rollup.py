@@ -20,6 +20,36 @@ FAMILY_WEIGHTS = {"family_distribution": 0.22, "family_temporal_spectral": 0.18,
 FIDELITY_WEIGHTS = {"Error_score": 0.65, "MI_score": 0.35}
 
 
+# Older names of scores.
+ALIASES = {
+    "KL_or_JSD_score": "KL_or_JSD_score01", "Mean_score": "Mean_score01", "QNT_score": "QNT_score01", "MOM_score": "MOM_score01", "GRAPH_score": "GRAPH_score01", "TRJDIST_score": "TRJDIST_score01", "MANI_score": "MANI_score01",
+    "CrossRegionMI_score": "CrossRegionMI_score01", "LaggedCovariance_score": "LaggedCovariance_score01", "ImpulseResponse_score": "ImpulseResponse_score01", "SubspaceAngle_score": "SubspaceAngle_score01",
+    "LatentStateOccupancyK11_score": "LatentStateOccupancyK11_score01", "LatentStateOccupancyK12_score": "LatentStateOccupancyK12_score01", "LatentStateTransitionLag1K11_score": "LatentStateTransitionLag1K11_score01",
+    "LatentStateTransitionLag2K11_score": "LatentStateTransitionLag2K11_score01", "LatentStateTransitionLag3K11_score": "LatentStateTransitionLag3K11_score01", "Error_score": "Error_score01", "MI_score": "MI_score01",
+}
+
+
+def with_aliases(scores: DataFrame) -> DataFrame:
+    """(metric, value) with each score under its older name too, where that is free."""
+    names = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    older = scores.withColumn("metric", F.try_element_at(names, F.col("metric"))).filter("metric is not null")
+    return scores.unionByName(older.join(scores.select("metric"), "metric", "left_anti").select(*scores.columns))
+
+
+def metric_table(scores: DataFrame) -> DataFrame:
+    """(family, metric, weight, value) of every metric of the composite; a
+    missing one has a null value."""
+    rows = [(f, m, w) for f, ms in METRIC_WEIGHTS.items() for m, w in ms.items()]
+    table = scores.sparkSession.createDataFrame(rows, "family string, metric string, weight double")
+    return table.join(scores.select("metric", "value"), "metric", "left").select("family", "metric", "weight", "value")
+
+
+def family_table(scores: DataFrame) -> DataFrame:
+    """(family, weight, value) of every family of the composite."""
+    table = scores.sparkSession.createDataFrame(list(FAMILY_WEIGHTS.items()), "family string, weight double")
+    return table.join(families(scores).select(F.col("metric").alias("family"), "value"), "family", "left")
+
+
 def _weight(column: str, weights: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col(column)]
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats
-from ..operators import clusters, etho, groupwise, linear, neuro, rollup
-from . import align, frames
+from ..functions.quantiles import quantiles
+from ..operators import clusters, etho, groupwise, latent, linear, movement, neuro, rollup, structure
+from . import align, frames, reports
 from .align import SEQ, TIME
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,23 +67,23 @@ def _posed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.pose(frames.paired(spark, sf_dir))
 
 
-@query("SELECT seq AS sequenceId, t AS itemPosition, round(r1_gt, 6) AS r1_gt, round(r1_inf, 6) AS r1_inf, round(r3_gt, 6) AS r3_gt, round(r3_inf, 6) AS r3_inf FROM paired")
-def align_inner_join(spark, sf_dir):
-    return _rounded(frames.paired(spark, sf_dir).select(SEQ, TIME, "r1_gt", "r1_inf", "r3_gt", "r3_inf"))
-
-
 @query("SELECT l_orderkey AS \"sequenceId\", l_linenumber AS \"itemPosition\", count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1", False)
 def schema_duplicate_keys(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias(SEQ), F.col("l_linenumber").alias(TIME))
     return align.duplicate_keys(rows)
 
 
-@query("SELECT n_gt, n_pred, n_merged, round(n_merged / least(n_gt, n_pred), 6) AS overlap, CASE WHEN n_merged / least(n_gt, n_pred) < 0.5 THEN 'error' WHEN n_merged / least(n_gt, n_pred) < 0.95 THEN 'warn' ELSE 'ok' END AS verdict FROM (SELECT (SELECT count(*) FROM gt) AS n_gt, (SELECT count(*) FROM pred) AS n_pred, (SELECT count(*) FROM paired) AS n_merged)")
+@query("SELECT n_gt, n_pred, n_merged, (SELECT min(n) FROM (SELECT count(*) AS n FROM paired GROUP BY seq)) AS shortest, (SELECT max(n) FROM (SELECT count(*) AS n FROM paired GROUP BY seq)) AS longest, (SELECT count(DISTINCT seq) FROM paired) AS sequences, round(n_merged / least(n_gt, n_pred), 6) AS overlap, CASE WHEN n_merged / least(n_gt, n_pred) < 0.5 THEN 'error' WHEN n_merged / least(n_gt, n_pred) < 0.95 THEN 'warn' ELSE 'ok' END AS verdict FROM (SELECT (SELECT count(*) FROM gt) AS n_gt, (SELECT count(*) FROM pred) AS n_pred, (SELECT count(*) FROM paired) AS n_merged)")
 def overlap_ratio(spark, sf_dir):
     gt = frames.ground_truth(spark, sf_dir)
     return _rounded(align.overlap(gt, frames.predictions(gt)))
 
 
+@query("SELECT seq AS sequenceId, t AS itemPosition, round(r1_gt, 6) AS r1_gt, round(r1_inf, 6) AS r1_inf, round(r3_gt, 6) AS r3_gt, round(r3_inf, 6) AS r3_inf FROM paired")
+def align_inner_join(spark, sf_dir):
+    return _rounded(frames.paired(spark, sf_dir).select(SEQ, TIME, "r1_gt", "r1_inf", "r3_gt", "r3_inf"))
+
+
 @query("SELECT seq AS \"sequenceId\", count(*) AS n FROM paired GROUP BY 1")
 def sequence_lengths(spark, sf_dir):
     return frames.paired(spark, sf_dir).groupBy(SEQ).agg(F.count("*").alias("n"))
@@ -94,9 +96,7 @@ def array_quality(spark, sf_dir):
 
 @query("SELECT round(abs(log10(stddev_pop(g) / stddev_pop(i))), 6) AS gap, abs(log10(stddev_pop(g) / stddev_pop(i))) <= 3 AS consistent FROM cells")
 def scale_consistency(spark, sf_dir):
-    cells = align.long_form(frames.paired(spark, sf_dir), R)
-    gap = F.abs(F.log10(F.try_divide(F.stddev_pop("gt"), F.stddev_pop("inf"))))
-    return _rounded(cells.agg(gap.alias("gap"), (gap <= 3).alias("consistent")))
+    return _rounded(align.scale_gap(frames.paired(spark, sf_dir), R))
 
 
 @query("SELECT seq AS \"sequenceId\", count(*) AS n, max(t) AS last FROM (SELECT seq, t, row_number() OVER (PARTITION BY seq ORDER BY t) AS k FROM paired) WHERE k <= (SELECT min(n) FROM (SELECT count(*) AS n FROM paired GROUP BY seq)) GROUP BY seq")
@@ -468,6 +468,192 @@ def predictive_r2(spark, sf_dir):
     return _rounded(linear._row(spark, gt=both["gt"], inf=both["inf"], score=score))
 
 
+_AXIS = "r1 + r3 - (r1 - r4)", "r2 + r4 - (r2 - r3)"
+
+
+@query(f"""SELECT side, seq AS "sequenceId", t AS "itemPosition", round(r1, 6) AS x, round(r2, 6) AS y, round(coalesce(sqrt(dx * dx + dy * dy), 0), 6) AS speed,
+  round(({_AXIS[0]}) / (sqrt(({_AXIS[0]}) ** 2 + ({_AXIS[1]}) ** 2) + 1e-8), 6) AS heading_cos, round(({_AXIS[1]}) / (sqrt(({_AXIS[0]}) ** 2 + ({_AXIS[1]}) ** 2) + 1e-8), 6) AS heading_sin FROM moves""")
+def behaviour_features(spark, sf_dir):
+    return _rounded(movement.behaviour_features(_posed(spark, sf_dir)))
+
+
+@query(f"""SELECT side, seq AS "sequenceId", t AS "itemPosition", round(coalesce(dx, lead(dx) OVER w, 0), 6) AS dx, round(coalesce(dy, lead(dy) OVER w, 0), 6) AS dy, round({_AXIS[0]}, 6) AS axis_x, round({_AXIS[1]}, 6) AS axis_y,
+  round(sqrt((r1 + r4 - r1) ** 2 + (r2 - (r2 + r3)) ** 2), 6) AS ear_span FROM moves WINDOW w AS (PARTITION BY side, seq ORDER BY t)""")
+def movement_features(spark, sf_dir):
+    return _rounded(movement.movement_features(_posed(spark, sf_dir)))
+
+
+@query("""SELECT label, seq AS "sequenceId", n // 5 AS chunks, (n // 5) * 25 AS "values" FROM (SELECT seq, count(*) AS n FROM paired GROUP BY seq), (SELECT unnest(['gt', 'inf', 'gt_shuffled']) AS label) WHERE n >= 5""")
+def movement_chunks(spark, sf_dir):
+    found = movement.chunks(_posed(spark, sf_dir))
+    return found.groupBy("label", SEQ).agg(F.count("*").alias("chunks"), F.sum(F.size("values")).alias("values"))
+
+
+@query()
+def manifold_alignment(spark, sf_dir):
+    return _rounded(movement.alignment(_posed(spark, sf_dir)))
+
+
+@query()
+def chunk_embedding(spark, sf_dir):
+    return _rounded(movement.embedded_chunks(_posed(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"), F.avg(F.abs("e0")).alias("e0"), F.avg(F.abs("e1")).alias("e1")))
+
+
+@query()
+def trajectory(spark, sf_dir):
+    return _rounded(latent.trajectory_score(frames.paired(spark, sf_dir), R))
+
+
+@query()
+def occupancy_velocity(spark, sf_dir):
+    return _rounded(latent.occupancy_velocity(frames.paired(spark, sf_dir), R))
+
+
+@query()
+def latent_path_features(spark, sf_dir):
+    return _rounded(latent.latent_path_features(frames.paired(spark, sf_dir), R))
+
+
+@query()
+def manifold(spark, sf_dir):
+    return _rounded(latent.manifold_score(frames.paired(spark, sf_dir), R))
+
+
+@query()
+def precision_scores(spark, sf_dir):
+    return _rounded(structure.structural_scores(frames.paired(spark, sf_dir), R))
+
+
+@query()
+def reconstruction_transfer(spark, sf_dir):
+    return _rounded(structure.reconstruction_transfer(frames.paired(spark, sf_dir), R))
+
+
+@query(_CENTRED + ", m AS (SELECT region, lag, avg(gt) AS g, avg(inf) AS i FROM u GROUP BY ALL), s AS (SELECT 1 / (1 + sqrt(avg((i - g) ** 2 / lag)) / (sqrt(avg(g * g / lag)) + 0.05)) AS s FROM m GROUP BY region) SELECT round(avg(s) ** 2, 6) AS score FROM s")
+def autocorrelation_score(spark, sf_dir):
+    return _rounded(structure.autocorrelation_score(frames.paired(spark, sf_dir), R))
+
+
+_AGREE = "(corr(g, i) + 1) / 4 + 0.5 / (1 + avg(abs(i - g)) / (greatest(0.05, CASE WHEN quantile_cont(g, 0.75) - quantile_cont(g, 0.25) < 0.05 THEN stddev_pop(g) ELSE quantile_cont(g, 0.75) - quantile_cont(g, 0.25) END) + 1e-8))"
+
+
+@query(_LAGGED + ", e AS (" + _CORR.removeprefix("+ c AS (").removesuffix(")") + f") SELECT round((x + y) / 2, 6) AS score FROM (SELECT {_AGREE} AS x FROM e), (SELECT {_AGREE} AS y FROM c)")
+def lagged_agreement(spark, sf_dir):
+    return _rounded(structure.lagged_agreement(frames.paired(spark, sf_dir), R))
+
+
+@query("+ z AS (SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY t) AS k, r1_gt - avg(r1_gt) OVER w AS ag, r1_inf - avg(r1_inf) OVER w AS ai, r2_gt - avg(r2_gt) OVER w AS bg, r2_inf - avg(r2_inf) OVER w AS bi FROM paired WINDOW w AS (PARTITION BY seq)), n AS (SELECT seq, sqrt(sum(ag * ag) * sum(bg * bg)) AS g, sqrt(sum(ai * ai) * sum(bi * bi)) AS i FROM z GROUP BY seq), y AS (SELECT x.seq, x.k - y.k AS lag, sum(x.ag * y.bg) / any_value(n.g) AS g, sum(x.ai * y.bi) / any_value(n.i) AS i FROM z x JOIN z y ON x.seq = y.seq AND abs(x.k - y.k) <= 16 JOIN n ON n.seq = x.seq GROUP BY x.seq, x.k - y.k) SELECT 'r1' AS a, 'r2' AS b, lag::INT AS lag, round(avg(g), 6) AS gt, round(avg(i), 6) AS inf FROM y GROUP BY lag")
+def cross_correlations(spark, sf_dir):
+    return _rounded(structure.cross_correlations(frames.paired(spark, sf_dir), [("r1", "r2")], 16))
+
+
+@query()
+def cross_correlation_score(spark, sf_dir):
+    return _rounded(structure.cross_correlation_score(frames.paired(spark, sf_dir), R))
+
+
+@query()
+def sliding_states(spark, sf_dir):
+    return _rounded(structure.sliding_states(frames.paired(spark, sf_dir), R))
+
+
+@query("SELECT p.seq AS \"sequenceId\", p.t AS \"itemPosition\", " + ", ".join(f"round(({v}_{s} - m_{v}) / s_{v}, 6) AS {v}_{s}" for s in ("gt", "inf") for v in R) + " FROM paired p, (SELECT " + ", ".join(f"avg({v}_gt) AS m_{v}, stddev_pop({v}_gt) AS s_{v}" for v in R) + " FROM paired)")
+def standardised(spark, sf_dir):
+    return _rounded(structure.standardised(frames.paired(spark, sf_dir), R))
+
+
+_QS = [0.001, 0.1, 0.25, 0.5, 0.9, 0.999]
+
+
+@query(f"+ q AS (SELECT region, unnest(range({len(_QS)}))::INT AS k, unnest(quantile_cont(g, {_QS})) AS v FROM cells GROUP BY region) SELECT region, k, round(v, 6) AS v FROM q")
+def exact_quantiles(spark, sf_dir):
+    found = quantiles(align.long_form(frames.paired(spark, sf_dir), R), "gt", ["region"], _QS, bins=64, few=500)
+    return _rounded(found.select("region", F.posexplode("q").alias("k", "v")))
+
+
+def _corrupted(name: str, level: float = 0.4) -> Query:
+    def run(spark, sf_dir):
+        out = structure.CORRUPTIONS[name](frames.ground_truth(spark, sf_dir), R, level, 0)
+        return _rounded(out)
+
+    run.__name__ = f"corruption_{name}"
+    return run
+
+
+_PERMUTED = [R[i] for i in np.random.default_rng(0).permutation(len(R))]
+_GAINS = [float(g) for g in np.random.default_rng(0).lognormal(0.0, 0.55, len(R))]
+query('SELECT seq AS "sequenceId", t AS "itemPosition", ' + ", ".join(f"round(0.6 * {a} + 0.4 * {b}, 6) AS {a}" for a, b in zip(R, _PERMUTED, strict=True)) + " FROM gt")(_corrupted("region_permute_blend"))
+query('SELECT seq AS "sequenceId", t AS "itemPosition", ' + ", ".join(f"round({a} * ({0.6 + 0.4 * g!r})::DOUBLE, 6) AS {a}" for a, g in zip(R, _GAINS, strict=True)) + " FROM gt")(_corrupted("gain_scaling_blend"))
+for _name in ("time_shuffle_blend", "region_shift_desync", "gaussian_noise"):
+    query()(_corrupted(_name))
+
+
+@query()
+def corruption_sweep(spark, sf_dir):
+    return _rounded(structure.sweep(frames.ground_truth(spark, sf_dir), R, neuro.moments, structure.permute_regions, "region_permute_blend"))
+
+
+@query("+ v AS (SELECT region, 'gt' AS side, g AS v FROM cells UNION ALL SELECT region, 'inf', i FROM cells), e AS (SELECT region, quantile_cont(v, 0.001) AS lo, quantile_cont(v, 0.999) AS hi FROM v GROUP BY region), b AS (SELECT region, side, least(floor((v - lo) / (hi - lo) * 59), 58)::INT AS bin, lo, hi, count(*) AS n FROM v JOIN e USING (region) WHERE v BETWEEN lo AND hi GROUP BY ALL) SELECT region, side, bin, round(lo + bin * (hi - lo) / 59, 6) AS low, round(lo + (bin + 1) * (hi - lo) / 59, 6) AS high, n FROM b")
+def report_region_histograms(spark, sf_dir):
+    return _rounded(reports.region_histograms(frames.paired(spark, sf_dir), R))
+
+
+@query("+ v AS (SELECT side, sqrt(dx * dx + dy * dy) AS v FROM moves WHERE dx IS NOT NULL), e AS (SELECT min(v) AS lo, quantile_cont(v, 0.99) AS hi FROM v), b AS (SELECT side, least(floor((v - lo) / (hi - lo) * 50), 49)::INT AS bin, lo, hi, count(*) AS n FROM v, e WHERE v BETWEEN lo AND hi GROUP BY ALL) SELECT side, bin, round(lo + bin * (hi - lo) / 50, 6) AS low, round(lo + (bin + 1) * (hi - lo) / 50, 6) AS high, n FROM b")
+def report_speed_histogram(spark, sf_dir):
+    return _rounded(reports.speed_histogram(_posed(spark, sf_dir)))
+
+
+@query("SELECT 'gt' AS side, count(*) AS rows, count(DISTINCT seq) AS sequences FROM gt UNION ALL SELECT 'inf', count(*), count(DISTINCT seq) FROM pred")
+def report_load_stats(spark, sf_dir):
+    gt = frames.ground_truth(spark, sf_dir)
+    return reports.load_stats(gt, frames.predictions(gt))
+
+
+@query(f"""SELECT pair, round(avg(d) FILTER (side = 'gt'), 6) AS gt, round(avg(d) FILTER (side = 'inf'), 6) AS inf FROM (
+  SELECT side, 'NOSE-TAIL_BASE' AS pair, sqrt(({_AXIS[0]}) ** 2 + ({_AXIS[1]}) ** 2) AS d FROM tracks UNION ALL SELECT side, 'NOSE-CENTER', sqrt(r3 ** 2 + r4 ** 2) FROM tracks) GROUP BY pair""")
+def report_limb_distances(spark, sf_dir):
+    return _rounded(reports.limb_distances(_posed(spark, sf_dir), [("NOSE", "TAIL_BASE"), ("NOSE", "CENTER")]))
+
+
+@query()
+def report_embedding(spark, sf_dir):
+    return _rounded(reports.embedding(frames.paired(spark, sf_dir), R))
+
+
+@query()
+def report_traces(spark, sf_dir):
+    return _rounded(reports.traces(frames.paired(spark, sf_dir), R))
+
+
+def _matrix(spark: SparkSession, cells: dict[tuple[str, ...], float], names: list[str]) -> DataFrame:
+    schema = ", ".join(f"{n} string" for n in names) + ", value double"
+    return spark.createDataFrame([(*k, float(v)) for k, v in cells.items()], schema)
+
+
+@query("SELECT a, b, round(value, 6) AS value FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, covar_pop({a}_gt, {b}_gt) AS value FROM paired" for a in R for b in R) + ")")
+def covariance_moments(spark, sf_dir):
+    """Second moments behind the canonical, linear and subspace scores."""
+    names = [f"{v}_gt" for v in R]
+    n, _, _, products = linear.moments(frames.paired(spark, sf_dir), names, names)
+    return _rounded(_matrix(spark, {(a, b): products[i, j] / n for i, a in enumerate(R) for j, b in enumerate(R)}, ["a", "b"]))
+
+
+_POOLED = "+ q AS (SELECT " + ", ".join(f"quantile_cont({v}_gt, 0.5) AS m_{v}, quantile_cont({v}_gt, 0.75) - quantile_cont({v}_gt, 0.25) AS s_{v}" for v in R) + " FROM paired), z AS (SELECT seq, t, " + ", ".join(f"({v}_gt - m_{v}) / s_{v} AS {v}" for v in R) + " FROM paired, q), "
+
+
+@query(_POOLED + ", ".join(f"l{k} AS (SELECT *, " + ", ".join(f"lead({v}, {k}) OVER o AS {v}_l" for v in R) + " FROM z WINDOW o AS (ORDER BY seq, t))" for k in (1, 2, 4)) + " SELECT lag, a, b, round(value, 5) AS value FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS lag, '{a}' AS a, '{b}' AS b, covar_samp({a}, {b}_l) AS value FROM l{k} WHERE {b}_l IS NOT NULL" for k in (1, 2, 4) for a in R for b in R) + ")")
+def lagged_moments(spark, sf_dir):
+    """Cross covariances at lags 1, 2 and 4 across the borders of sequences, as
+    the lagged covariance and the autoregression use them."""
+    rows = linear.robust(linear._side(frames.paired(spark, sf_dir), R, "gt"), R)
+    cells = {}
+    for lag in (1, 2, 4):
+        n, _, _, products = linear.moments(linear.pooled_lead(rows, R, lag), R, [f"{v}_later" for v in R])
+        cells |= {(str(lag), a, b): products[i, j] / (n - 1) for i, a in enumerate(R) for j, b in enumerate(R)}
+    out = _matrix(spark, cells, ["lag", "a", "b"])
+    return out.withColumn("value", F.round("value", 5) + 0.0)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

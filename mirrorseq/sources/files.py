@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,13 +44,47 @@ def tagged(tables: list[DataFrame], sequence_key: str = SEQ) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tables)
 
 
-def load_pairs(spark: SparkSession, gt_path: str, pred_path: str, sequence_key: str = SEQ) -> tuple[DataFrame, DataFrame]:
+def with_positions(df: DataFrame, path: str, sequence_key: str = SEQ, time_key: str = TIME) -> DataFrame:
+    """``df``, or, for a CSV file without the time key whose first column is an
+    unnamed index, its legacy form with positions."""
+    if time_key in df.columns or not path.endswith(".csv") or not df.columns[0].startswith("_c"):
+        return df
+    return legacy_positions(df, sequence_key).withColumnRenamed(TIME, time_key)
+
+
+def subset(df: DataFrame, sequences_below: int | None = None, positions_below: float | None = None, sequence_key: str = SEQ, time_key: str = TIME) -> DataFrame:
+    """Rows of the first sequences and positions; both limits reach the scan."""
+    if sequences_below is not None:
+        df = df.filter(F.col(sequence_key) < sequences_below)
+    return df if positions_below is None else df.filter(F.col(time_key) < positions_below)
+
+
+def check_equal_lengths(df: DataFrame, sequence_key: str = SEQ) -> int:
+    """The rows that every sequence has; an error if they differ."""
+    r = df.groupBy(sequence_key).count().agg(F.min("count").alias("least"), F.max("count").alias("most")).first()
+    if r["least"] != r["most"]:
+        raise ValueError(f"sequences have {r['least']} to {r['most']} rows")
+    return r["least"] or 0
+
+
+def noise_level(name: Column) -> Column:
+    """The number in ``....noise_0.5.csv``; null for other names."""
+    return F.nullif(F.regexp_extract(name, r"\.noise_(\d+(?:\.\d+)?)\.csv$", 1), F.lit("")).cast("double")
+
+
+def candidates(prefix: str, folder: str = ".") -> list[str]:
+    """Files of a local folder whose names begin with ``prefix``, by name."""
+    return sorted(str(p) for p in Path(folder).glob(f"{prefix}*") if p.is_file())
+
+
+def load_pairs(spark: SparkSession, gt_path: str, pred_path: str, sequence_key: str = SEQ, time_key: str = TIME) -> tuple[DataFrame, DataFrame]:
     """Both sides of n:n files in the order of their names, or of 1:n and n:1."""
     gt, pred = list_files(spark, gt_path), list_files(spark, pred_path)
     if len(gt) != len(pred) and 1 not in (len(gt), len(pred)):
         raise ValueError(f"cannot pair {len(gt)} and {len(pred)} files")
     n = max(len(gt), len(pred))
-    both = [[load_table(spark, files[i % len(files)]) for i in range(n)] for files in (gt, pred)]
+    load = lambda path: with_positions(load_table(spark, path), path, sequence_key, time_key)
+    both = [[load(files[i % len(files)]) for i in range(n)] for files in (gt, pred)]
     return tagged(both[0], sequence_key), tagged(both[1], sequence_key)
 
 

@@ -19,13 +19,6 @@ def both(spark, sf):
     return gt, frames.predictions(gt)
 
 
-def test_neuro(both):
-    got = {r.metric: r.value for r in api.compute_neuro_scores(both[1], both[0]).collect()}
-    assert 0 < got["FINAL_COMPOSITE_SCORE"] < 1 and len(got) >= 18 and all(v is None or 0 <= v <= 1 for v in got.values())
-    same = {r.metric: r.value for r in api.compute_neuro_scores(both[0], both[0]).collect()}
-    assert all(v is None or v == pytest.approx(1.0) for v in same.values())
-
-
 def test_fidelity(both):
     got = {r.metric: r.value for r in api.compute_fidelity_scores(both[1], both[0]).collect()}
     assert got["FIDELITY_SCORE"] == pytest.approx(0.65 * got["Error_score"] + 0.35 * got["MI_score"])
@@ -45,9 +38,17 @@ def test_etho_with_own_keys(both):
 
 
 def test_cross(both):
+    """All neural, behaviour and cross scores, and the composites."""
     rows = [d.select(*d.columns, F.col("r1").alias("CENTER_X"), F.col("r3").alias("CENTER_Y")) for d in both]
-    got = {r.metric: r.value for r in api.compute_cross_scores(rows[1], rows[0]).collect()}
-    assert got["cca_gt"] == pytest.approx(1.0) and 0 <= got["cca_alignment_score"] <= 1
+    got = {}
+    for r in api.compute_cross_scores(rows[1], rows[0]).collect():
+        got.setdefault(r.block, {})[r.metric] = r.value
+    cross, traces, whole = got["cross_scores"], got["neuro_scores"], got["composite"]
+    assert 0.4 < cross["cca_gt"] <= 1 and 0 <= cross["cca_alignment_score"] <= 1
+    assert len(traces) >= 21 and all(v is not None and 0 <= v <= 1 for v in traces.values())
+    assert traces["family_temporal_spectral"] == traces["TRJDIST_score"] and "direction_score" not in got["behavior_scores"]
+    assert whole["composite"] == pytest.approx((whole["neuro_composite"] + whole["etho_composite"] + whole["cross_composite"]) / 3)
+    assert whole["neuro_composite"] == traces["FINAL_COMPOSITE_SCORE"]
 
 
 def test_no_overlap(both):
@@ -55,10 +56,10 @@ def test_no_overlap(both):
         api.compute_neuro_scores(both[1].withColumn(TIME, F.col(TIME) + 10000), both[0])
 
 
-@pytest.mark.parametrize("text", ['{"invalid": json,}', "not json at all", '"just a string"'])
-def test_malformed_config(tmp_path, text):
+@pytest.mark.parametrize(("text", "says"), [("", "is not JSON"), ('{"center_part": "BODY"', "is not JSON"), ("[1, 2]", "JSON object"), ("17", "JSON object")])
+def test_malformed_config(tmp_path, text, says):
     (tmp_path / "c.json").write_text(text)
-    with pytest.raises(DataValidationError):
+    with pytest.raises(DataValidationError, match=says):
         load_config(str(tmp_path / "c.json"))
 
 
