@@ -18,14 +18,6 @@ def norm(*parts: Column) -> Column:
     return F.sqrt(total)
 
 
-def quartile_range(v: Column, least: int = 10) -> Column:
-    """Robust scale: the interquartile range, else the deviation, else 1."""
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))
-    iqr, sd = F.get(q, F.lit(1)) - F.get(q, F.lit(0)), F.stddev_pop(v)
-    usable = F.when(F.count(v) < least, sd).when(iqr > 0, iqr).otherwise(sd)
-    return F.when(usable > 0, usable).otherwise(1.0)
-
-
 def correlation(x: Column, y: Column) -> Column:
     """Pearson correlation; null for fewer than 3 pairs or a constant side."""
     both = x.isNotNull() & y.isNotNull()

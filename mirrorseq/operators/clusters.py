@@ -29,8 +29,7 @@ def _shares(features: DataFrame, columns: list[str], k: int) -> DataFrame:
         return features.sparkSession.createDataFrame([], empty)
     assigned = neuro.states(features, columns, centres(features, columns, k))
     counts = assigned.groupBy("side", SEQ, "state").agg(F.count("*").alias("n"), F.lit(1.0).alias("width"))
-    whole = counts.withColumn(SEQ, F.lit(None).cast(counts.schema[SEQ].dataType))
-    return etho._likeness(counts, [SEQ], ["state"], k).unionByName(etho._likeness(whole, [SEQ], ["state"], k))
+    return etho._each_and_whole(counts, ["state"], k)
 
 
 def syllables(paired: DataFrame, center: str = "CENTER", k: int = 8) -> DataFrame:
@@ -54,8 +53,9 @@ def latent_states(paired: DataFrame, values: list[str], occupancies: tuple[int,
     centres fitted on the ground truth.
     """
     rows = sides(paired, values)
-    q = rows.filter("side = 'gt'").agg(*[F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(v) for v in values]).first()
-    scaled = rows.select("side", SEQ, TIME, *[((F.col(v) - q[v][1]) / ((q[v][2] - q[v][0]) or 1.0)).alias(v) for v in values])
+    rows = rows.persist()
+    scale = linear.middles(rows.filter("side = 'gt'"), values)
+    scaled = rows.select("side", SEQ, TIME, *[((F.col(v) - scale[v][0]) / scale[v][1]).alias(v) for v in values])
     n, mean, _, products = linear.moments(scaled.filter("side = 'gt'"), values, values)
     vectors = np.linalg.eigh(products)[1][:, ::-1][:, :3]
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), range(vectors.shape[1])])

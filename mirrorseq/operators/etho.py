@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.quantiles import quantiles
 from ..functions.stats import bin_of, correlation, from_distance, norm, symmetric_kl
 from ..plans.align import SEQ, TIME, sides
 
@@ -42,6 +43,13 @@ def _likeness(counts: DataFrame, by: list[str], bins: list[str], n_bins: int) ->
     return shares.groupBy(*by).agg(from_distance(symmetric_kl(F.col("p"), F.col("q"))).alias("score"), F.sum("g").alias("weight"))
 
 
+def _each_and_whole(counts: DataFrame, bins: list[str], n_bins: int) -> DataFrame:
+    """Scores of each sequence and, with a null id, of all: the counts of the
+    sequences are summed for the whole, so rows are read once."""
+    both = F.array(F.col(SEQ), F.lit(None).cast(counts.schema[SEQ].dataType))
+    return _likeness(counts.withColumn(SEQ, F.explode(both)), [SEQ], bins, n_bins)
+
+
 def distribution(paired: DataFrame, order: int = 1, center: str = "CENTER", bins: int = 59) -> DataFrame:
     """Velocity (order 1) or acceleration (order 2) score of each sequence, and
     of all (sequenceId null), over 59 bins of the pooled range."""
@@ -49,15 +57,13 @@ def distribution(paired: DataFrame, order: int = 1, center: str = "CENTER", bins
     edges = sizes.agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.count(F.when(F.col("side") == "gt", 1)).alias("ng"), F.count(F.when(F.col("side") == "inf", 1)).alias("ni")).filter("lo < hi and ng >= 10 and ni >= 10")
     binned = sizes.crossJoin(F.broadcast(edges)).withColumn("bin", bin_of(F.col("size"), F.col("lo"), F.col("hi"), bins))
     counts = binned.groupBy("side", SEQ, "bin").agg(F.count("*").alias("n"), F.max((F.col("hi") - F.col("lo")) / bins).alias("width"))
-    each = _likeness(counts, [SEQ], ["bin"], bins)
-    whole = _likeness(counts.withColumn(SEQ, F.lit(None).cast(counts.schema[SEQ].dataType)), [SEQ], ["bin"], bins)
-    return each.unionByName(whole)
+    return _each_and_whole(counts, ["bin"], bins)
 
 
 def stationary(paired: DataFrame, center: str = "CENTER", percent: float = 10) -> DataFrame:
     """Share of steps at most the ground truth's 10th percentile: its gap."""
     speeds = steps(paired, center).select("side", SEQ, "size")
-    limit = speeds.filter("side = 'gt'").agg(F.percentile("size", percent / 100).alias("limit"))
+    limit = quantiles(speeds.filter("side = 'gt'"), "size", [], [percent / 100]).select(F.get("q", F.lit(0)).alias("limit"))
     still = speeds.crossJoin(F.broadcast(limit)).groupBy(SEQ).agg(
         F.avg(F.when(F.col("side") == "gt", (F.col("size") <= F.col("limit")).cast("double"))).alias("g"),
         F.avg(F.when(F.col("side") == "inf", (F.col("size") <= F.col("limit")).cast("double"))).alias("i"), F.count(F.when(F.col("side") == "gt", 1)).alias("weight"),
@@ -94,8 +100,7 @@ def quadrant(paired: DataFrame, center: str = "CENTER") -> DataFrame:
     middle = points.agg(((F.min("x") + F.max("x")) / 2).alias("mx"), ((F.min("y") + F.max("y")) / 2).alias("my"))
     where = (2 * (F.col("x") > F.col("mx")).cast("int") + (F.col("y") > F.col("my")).cast("int")).alias("quadrant")
     counts = points.crossJoin(F.broadcast(middle)).groupBy("side", SEQ, where).agg(F.count("*").alias("n"), F.lit(1.0).alias("width"))
-    whole = counts.withColumn(SEQ, F.lit(None).cast(counts.schema[SEQ].dataType))
-    return _likeness(counts, [SEQ], ["quadrant"], 4).unionByName(_likeness(whole, [SEQ], ["quadrant"], 4))
+    return _each_and_whole(counts, ["quadrant"], 4)
 
 
 def position(paired: DataFrame, center: str = "CENTER", bins: int = 60) -> DataFrame:
@@ -108,8 +113,7 @@ def position(paired: DataFrame, center: str = "CENTER", bins: int = 60) -> DataF
     cell = [bin_of(F.col(c), F.col(f"{c}_lo"), F.col(f"{c}_hi"), bins).alias(f"b{c}") for c in "xy"]
     area = (F.col("x_hi") - F.col("x_lo")) / bins * ((F.col("y_hi") - F.col("y_lo")) / bins)
     counts = points.crossJoin(F.broadcast(box)).groupBy("side", SEQ, *cell).agg(F.count("*").alias("n"), F.max(area).alias("width"))
-    whole = counts.withColumn(SEQ, F.lit(None).cast(counts.schema[SEQ].dataType))
-    return _likeness(counts, [SEQ], ["bx", "by"], bins * bins).unionByName(_likeness(whole, [SEQ], ["bx", "by"], bins * bins))
+    return _each_and_whole(counts, ["bx", "by"], bins * bins)
 
 
 def body_part_errors(paired: DataFrame, parts: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.quantiles import quantiles
 from ..plans.align import SEQ, TIME
 
 
@@ -65,11 +66,23 @@ def shrunk_covariance(df: DataFrame, columns: list[str]) -> np.ndarray:
     return (1 - share) * s + share * mu * np.eye(p)
 
 
+def middles(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+    """Median and robust scale (interquartile range, else deviation, else 1) of
+    each column; the driver gets a row a column."""
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns])).alias("x")).select("x.*")
+    q = {r["c"]: r["q"] for r in quantiles(cells, "v", ["c"], [0.25, 0.5, 0.75]).collect()}
+    sd = df.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
+    out = {}
+    for c in columns:
+        low, middle, high = q.get(c, (0.0, 0.0, 0.0))
+        out[c] = middle, next((s for s in (high - low, sd[c]) if s and s > 1e-9), 1.0)
+    return out
+
+
 def robust(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns scaled by their own median and interquartile range."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns], *[F.stddev_pop(c).alias(f"{c}_sd") for c in columns]).first()
-    scale = lambda c: next((s for s in (q[c][2] - q[c][0], q[f"{c}_sd"]) if s and s > 1e-9), 1.0)
-    return df.select(*[x for x in (SEQ, TIME) if x in df.columns], *[((F.col(c) - F.lit(q[c][1])) / F.lit(scale(c))).alias(c) for c in columns])
+    scale = middles(df, columns)
+    return df.select(*[x for x in (SEQ, TIME) if x in df.columns], *[((F.col(c) - F.lit(scale[c][0])) / F.lit(scale[c][1])).alias(c) for c in columns])
 
 
 def basis(covariance: np.ndarray, share: float = 0.85, most: int = 6) -> np.ndarray:
@@ -109,26 +122,38 @@ def _matrix_score(a: np.ndarray, b: np.ndarray) -> float:
     return float(0.60 * (np.corrcoef(x, y)[0, 1] + 1) / 2 + 0.40 * alike)
 
 
+def _robust_sides(paired: DataFrame, values: list[str]) -> list[DataFrame]:
+    """Both sides in their own scales, held while their lags are summed."""
+    held = paired.select(SEQ, TIME, *[f"{v}_{s}" for v in values for s in ("gt", "inf")]).persist()
+    both = [robust(_side(held, values, s), values).persist() for s in ("gt", "inf")]
+    for side in both:
+        side.count()
+    held.unpersist()
+    return both
+
+
 def lagged_covariance(paired: DataFrame, values: list[str], lags: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
-    scores = {}
+    sides, scores = _robust_sides(paired, values), {}
     for lag in lags:
         both = []
-        for s in ("gt", "inf"):
-            n, _, _, products = moments(pooled_lead(robust(_side(paired, values, s), values), values, lag), values, [f"{v}_later" for v in values])
+        for side in sides:
+            n, _, _, products = moments(pooled_lead(side, values, lag), values, [f"{v}_later" for v in values])
             both.append(products / max(n - 1, 1))
         scores[f"lag_{lag}"] = _matrix_score(*both)
+    for side in sides:
+        side.unpersist()
     return _row(paired.sparkSession, score=float(np.mean(list(scores.values()))), **scores)
 
 
 def impulse_response(paired: DataFrame, values: list[str], ridge: float = 1e-2) -> DataFrame:
     """Agreement of first-order autoregressions of the pooled rows."""
-    both = []
-    for s in ("gt", "inf"):
-        led = pooled_lead(robust(_side(paired, values, s), values), values, 1)
-        later = [f"{v}_later" for v in values]
-        n, mx, _, xx = moments(led, values, values)
-        n2, mx2, my, xy = moments(led, values, later)
-        both.append(np.linalg.solve(xx + n * np.outer(mx, mx) + ridge * np.eye(len(values)), xy + n2 * np.outer(mx2, my)).T)
+    both, later, k = [], [f"{v}_later" for v in values], len(values)
+    for side in _robust_sides(paired, values):
+        led = pooled_lead(side, values, 1)
+        n, mx, my, products = moments(led, values, [*values, *later])
+        sums = products + n * np.outer(mx, my)
+        both.append(np.linalg.solve(sums[:, :k] + ridge * np.eye(k), sums[:, k:]).T)
+        side.unpersist()
     return _row(paired.sparkSession, score=_matrix_score(*both))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.stats import bin_of, corrected_kurtosis, corrected_skewness, correlation, correlation01, from_distance, quartile_range, rmse_similarity, symmetric_kl
+from ..functions.quantiles import quantiles
+from ..functions.stats import bin_of, corrected_kurtosis, corrected_skewness, correlation, correlation01, from_distance, rmse_similarity, symmetric_kl
 from ..plans.align import SEQ, TIME, long_form
 
 _EPS = 1e-12
@@ -14,9 +15,14 @@ _EPS = 1e-12
 TAILS = [k / 100 for k in range(1, 11)] + [k / 100 for k in range(90, 100)]
 
 
-def scales(cells: DataFrame) -> DataFrame:
-    """Robust scale of each region's pooled ground truth."""
-    return cells.groupBy("region").agg(quartile_range(F.col("gt")).alias("scale"))
+def scales(cells: DataFrame, least: int = 10) -> DataFrame:
+    """Robust scale of each region's pooled ground truth: the interquartile
+    range, else the deviation, else 1."""
+    q = quantiles(cells, "gt", ["region"], [0.25, 0.75])
+    spread = cells.groupBy("region").agg(F.count("gt").alias("n"), F.stddev_pop("gt").alias("sd"))
+    iqr = F.get("q", F.lit(1)) - F.get("q", F.lit(0))
+    usable = F.when((F.col("n") >= least) & (iqr > 0), iqr).otherwise(F.col("sd"))
+    return spread.join(q, "region", "left").select("region", F.when(usable > 0, usable).otherwise(1.0).alias("scale"))
 
 
 def _top_mean(cells: DataFrame, value: str, share: float) -> DataFrame:
@@ -190,6 +196,22 @@ def sliding_correlations(paired: DataFrame, a: str, b: str, width: int = 45, ste
 
 
 def spearman01(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation with average ranks, in [0, 1], of a bounded table."""
-    rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
-    return df.select(rank(x).alias("x"), rank(y).alias("y")).agg(correlation01(F.col("x"), F.col("y")).alias("score"))
+    """Rank correlation with average ranks, in [0, 1].
+
+    Ranks come from running counts: values are dealt to 1024 bins of their
+    range, counted, and ranked inside their bin only.
+    """
+    rows = df.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna(subset=["x", "y"])
+    ends = rows.agg(*[f(c).alias(f"{c}_{n}") for c in "xy" for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    rows = rows.crossJoin(F.broadcast(ends))
+    for c in "xy":
+        width = F.col(f"{c}_hi") - F.col(f"{c}_lo")
+        rows = rows.withColumn(f"{c}_bin", F.when(width > 0, F.least(F.lit(1023), F.floor(F.try_divide(F.col(c) - F.col(f"{c}_lo"), width) * 1024))).otherwise(0))
+    for c in "xy":
+        sizes = rows.groupBy(f"{c}_bin").agg(F.count("*").alias("__n"))
+        before = F.sum("__n").over(Window.orderBy(f"{c}_bin")) - F.col("__n")  # at most 1024 rows
+        rows = rows.join(F.broadcast(sizes.select(f"{c}_bin", before.alias(f"{c}_before"))), f"{c}_bin")
+        inside = Window.partitionBy(f"{c}_bin")
+        rank = F.rank().over(inside.orderBy(c)) + (F.count("*").over(Window.partitionBy(f"{c}_bin", c)) - 1) / 2.0
+        rows = rows.withColumn(f"{c}_rank", F.col(f"{c}_before") + rank)
+    return rows.agg(correlation01(F.col("x_rank"), F.col("y_rank")).alias("score"))
