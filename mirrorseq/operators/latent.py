@@ -16,7 +16,7 @@ from ..functions.quantiles import quantiles
 from ..functions.stats import correlation01, from_distance, norm
 from ..plans.align import SEQ, TIME, sides
 from .groupwise import _thinned
-from .linear import moments, pooled_lead
+from .linear import _row, moments, pooled_lead
 
 _EPS = 1e-8
 #: Quantiles that a distribution is compared at, and weights.
@@ -187,9 +187,18 @@ def _weighed(parts: list[tuple[DataFrame, float]]) -> DataFrame:
     return both.agg(F.try_divide(F.sum(F.when(known, F.col("w") * F.col("score"))), F.sum(F.when(known, F.col("w")))).alias("score"))
 
 
+def _held(paired: DataFrame, values: list[str], score) -> DataFrame:
+    """One row with the score of the complete rows, which are kept while it is
+    computed, as several passes read them."""
+    rows = complete(paired, values).select(SEQ, TIME, *[f"{v}_{s}" for v in values for s in ("gt", "inf")]).persist()
+    found = score(rows).first()["score"]
+    rows.unpersist()
+    return _row(paired.sparkSession, score=found)
+
+
 def trajectory_score(paired: DataFrame, values: list[str]) -> DataFrame:
     """TRJDIST: .60 occupancy and velocity, .40 path features."""
-    return _weighed([(occupancy_velocity(paired, values), TRAJECTORY_WEIGHTS[0]), (path_feature_score(paired, values), TRAJECTORY_WEIGHTS[1])])
+    return _held(paired, values, lambda rows: _weighed([(occupancy_velocity(rows, values), TRAJECTORY_WEIGHTS[0]), (path_feature_score(rows, values), TRAJECTORY_WEIGHTS[1])]))
 
 
 # Clouds of points and their topology.
@@ -202,7 +211,9 @@ def pooled_cloud(paired: DataFrame, values: list[str], most: int, k_max: int = 3
     if basis is None:
         return None
     z = projected(paired, basis)
-    return _thinned(z.filter("side = 'gt'"), most).unionByName(_thinned(z.filter("side = 'inf'"), most))
+    # a bounded sample, read several times: its rows become a table of their own
+    cloud = _thinned(z.filter("side = 'gt'"), most).unionByName(_thinned(z.filter("side = 'inf'"), most))
+    return paired.sparkSession.createDataFrame(cloud.collect(), cloud.schema)
 
 
 def stratified_cloud(paired: DataFrame, values: list[str], per_sequence: int = 2, most: int = 48, k_max: int = 3) -> DataFrame | None:
@@ -221,7 +232,8 @@ def stratified_cloud(paired: DataFrame, values: list[str], per_sequence: int = 2
     at = F.row_number().over(Window.partitionBy("side", SEQ).orderBy(TIME)) - 1
     spaced = F.transform(F.sequence(F.lit(0), F.lit(per_sequence - 1)), lambda i: F.floor(i * (F.col("n") - 1) / max(1, per_sequence - 1)))
     z = projected(rows.join(F.broadcast(ids), SEQ), basis).withColumn("at", at).join(F.broadcast(ids), SEQ)
-    return z.filter(F.array_contains(spaced, F.col("at"))).drop("at", "n")
+    cloud = z.filter(F.array_contains(spaced, F.col("at"))).drop("at", "n")
+    return paired.sparkSession.createDataFrame(cloud.collect(), cloud.schema)
 
 
 def landmarks(points: np.ndarray, n: int) -> np.ndarray:
@@ -325,18 +337,22 @@ def neighbour_profile(cloud: DataFrame, k: int = 5) -> DataFrame:
     return near.withColumn("at", at).filter(F.col("at") == k).select("side", "distance")
 
 
-def manifold_score(paired: DataFrame, values: list[str]) -> DataFrame:
-    """MANI: .75 topology of the stratified cloud, .25 topology with neighbours."""
-    stratified = topology_score(stratified_cloud(paired, values), paired)
-    life = topology_score(pooled_cloud(paired, values, 96), paired)
-    cloud = pooled_cloud(paired, values, 128)
+def _manifold(rows: DataFrame, values: list[str]) -> DataFrame:
+    stratified = topology_score(stratified_cloud(rows, values), rows)
+    life = topology_score(pooled_cloud(rows, values, 96), rows)
+    cloud = pooled_cloud(rows, values, 128)
     if cloud is None:
-        return _null_score(paired)
+        return _null_score(rows)
     near = quantile_distance(neighbour_profile(cloud), "distance", [], GRID).select(from_distance(F.col("distance")).alias("near"))
     local = life.crossJoin(near).select(F.sqrt(F.col("score") * F.col("near")).alias("score"))
     return _weighed([(stratified, MANIFOLD_WEIGHTS[0]), (local, MANIFOLD_WEIGHTS[1])])
 
 
+def manifold_score(paired: DataFrame, values: list[str]) -> DataFrame:
+    """MANI: .75 topology of the stratified cloud, .25 topology with neighbours."""
+    return _held(paired, values, lambda rows: _manifold(rows, values))
+
+
 def betti_curve_similarity(lives: DataFrame, points: int = 32) -> DataFrame:
     """(dimension, score): how many features outlive each of ``points`` levels."""
     top = lives.groupBy("dimension").agg(F.max("life").alias("top"))
