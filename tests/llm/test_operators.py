@@ -787,3 +787,14 @@ def test_pipeline_awkward(spark, sf, awkward, empty, stage):
     for df in (awkward, empty):
         out = corpus_pipeline.STAGES[stage][1](spark, df, sf)
         out.collect()
+
+
+@pytest.mark.parametrize("hot", [1, 4, 100_000])
+def test_keys_of_many_rows_join_like_all_others(spark, hot):
+    rows = [(i, 7 if i % 2 else i % 5) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, w long")
+    facts = paragraphs._shared(df)
+    least = {w: min(i for i, v in rows if v == w) for _, w in rows}
+    got = paragraphs._with_facts(df, facts, "w", hot).select("id", "w", "keeper").collect()
+    assert sorted(map(tuple, got)) == sorted((i, w, least[w]) for i, w in rows)
+    assert not paragraphs._with_facts(df, facts.limit(0), "w", hot).count()
