@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, html, html_pages, mixing, packing, paragraphs, pii, quality, sharding, simhash, toxicity
+from . import fingerprint, html, html_pages, mixing, packing, paragraphs, pii, quality, rule_ensemble, sharding, simhash, spelling, toxicity, whitening
 from .common import as_key, n_words, read
 
 _WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -131,9 +131,59 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*columns, "kept", F.round("posterior", 6).alias("posterior"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a fifth of the labels is held out."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id", "quality")
+    scored = rule_ensemble.classify(docs, labels, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Two words are one edit apart if one is the other without a letter, or both
+#: are equal without the letter at the same place.
+OP12_SQL = """
+WITH RECURSIVE table_steps AS (
+  SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM table_steps WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY i) AS t FROM table_steps WHERE k = 8),
+runs AS (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT coalesce(doc_id::VARCHAR, 'null') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{6,}')) AS run FROM documents) GROUP BY ALL
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS h
+  FROM (SELECT run, n, hex(encode(id || ':' || run)) AS h FROM runs), crc_table
+), words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+), vocabulary AS (SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM vocabulary, range(1, 200) r(i) WHERE i <= length(word)
+), pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, v.word, v.n FROM less a JOIN vocabulary v ON a.rest = v.word
+  UNION SELECT v.word, a.word, a.n FROM less a JOIN vocabulary v ON a.rest = v.word
+), best AS (SELECT word, count(DISTINCT near) AS n_near, min({'m': -near_n, 'w': near}) AS b FROM pairs GROUP BY word
+), forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 5 * v.n THEN b.w END AS form, CASE WHEN -b.m >= 5 * v.n THEN -b.m END AS form_n FROM vocabulary v LEFT JOIN best USING (word)
+), chains AS (SELECT word, word AS root FROM forms UNION ALL SELECT c.word, f.form FROM chains c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chains c ON c.word = f.word JOIN forms e ON e.word = c.root AND e.form IS NULL
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on its four main components, whitened."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_mixing, op3_html, op4_packing, op5_fingerprints, op6_pii, op7_toxicity, op8_simhash, op9_paragraphs, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_mixing, op3_html, op4_packing, op5_fingerprints, op6_pii, op7_toxicity, op8_simhash, op9_paragraphs, op10_quality, op11_quality_rules, op12_spelling, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1_SQL, "op2_mixing": OP2_SQL}
+    return {"op1_sharding": OP1_SQL, "op2_mixing": OP2_SQL, "op12_spelling": OP12_SQL}
