@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stored
+from .components import components
 from .paragraphs import _HASHES, _MIX, SHINGLE, SIMILAR, _mixed, _words
 
 #: A pair of similarity 0.8 shares none of the bands with probability
@@ -18,7 +19,10 @@ from .paragraphs import _HASHES, _MIX, SHINGLE, SIMILAR, _mixed, _words
 BANDS, ROWS = 20, 4
 #: Bands up to this size are compared pair by pair.
 PAIRWISE = 64
-_HUBS, _SALTS = 3, 8
+#: Sets that each set of a large band is compared with first.
+_HUBS = 3
+#: Sets of a gram in one task, and bands whose hubs are broadcast.
+BLOCK, _FEW_BANDS = 2000, 50_000
 _RANDOM = np.random.default_rng(42)
 _FACTORS = _RANDOM.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 2**64, BANDS * ROWS, np.uint64)
@@ -67,11 +71,17 @@ def shingle_array(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose sets have the Jaccard similarity."""
-    left, right = sets.select(F.col("h").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("h").alias("b"), F.col("grams").alias("gb"))
+    """The pairs (a, b) of ``pairs`` whose sets have the Jaccard similarity.
+
+    Lengths are compared before the second join, so grams move for the pairs
+    that can be similar alone.
+    """
+    sized = sets.select("h", F.size("grams").alias("n"), "grams")
+    left, right = sized.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga")), sized.select(F.col("h").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
+    fits = F.least("na", "nb") >= similar * F.greatest("na", "nb") - 1e-9
+    likely = pairs.join(sized.select(F.col("h").alias("a"), F.col("n").alias("na")), "a").join(sized.select(F.col("h").alias("b"), F.col("n").alias("nb")), "b").filter(fits).select("a", "b")
     both = F.size(F.array_intersect("ga", "gb"))
-    alike = F.least(F.size("ga"), F.size("gb")) >= similar * F.greatest(F.size("ga"), F.size("gb")) - 1e-9
-    return pairs.join(left, "a").join(right, "b").filter(alike).filter(both / (F.size("ga") + F.size("gb") - both) >= similar).select("a", "b")
+    return likely.join(left, "a").join(right, "b").filter(both / (F.col("na") + F.col("nb") - both) >= similar - 1e-12).select("a", "b")
 
 
 def shared_bands(members: DataFrame) -> DataFrame:
@@ -86,16 +96,13 @@ def links(members: DataFrame, sets: DataFrame, similar: float = SIMILAR, pairwis
 
     members: (key, h, size, hub) of :func:`shared_bands`; sets: (h, grams) with
     the distinct grams of each.  In bands of up to ``pairwise`` sets all pairs
-    are verified.  In larger ones all are verified against a hub, the set that
-    shares bands with most others, as the least edited of a group of copies
-    does; those that are similar to it are in one component and needn't be
-    compared with each other.  What isn't similar meets another hub, and the
-    rest is joined with the whole band by its prefix: of two sets of n grams or
-    more that share 0.8 of them, each has a shared gram among its first
-    n - ceil(0.8 n) + 1, in any common order; here the rarest of all sets in
-    such bands come first, so each set is ordered once for all its bands.  A pair whose first shared gram stands so far back that too few grams
-    can follow is no candidate, so copies that differ in grams of their own don't
-    meet over what all of them share.
+    are verified.  In a larger band all sets are verified against a few hubs,
+    of which the first is the set that shares bands with most others, as the
+    least edited of a group of copies does, and the next ones are those of the
+    sets that no hub is similar to.  What these edges connect, also through
+    other bands, is one component already; bands that hold one component alone
+    are done.  All pairs of different components meet by their prefixes, see
+    :func:`across`.
     """
     few = members.filter(F.col("size") <= pairwise)
     left, right = few.select("key", F.col("h").alias("a")), few.select("key", F.col("h").alias("b"))
@@ -106,27 +113,48 @@ def links(members: DataFrame, sets: DataFrame, similar: float = SIMILAR, pairwis
     if large.isEmpty():
         return edges
     large = stored(large)
-    rest = large
-    for k in range(_HUBS):
-        hubs = rest.groupBy("key").agg(F.max_by("h", F.struct("reach", "h")).alias("a"))
-        tried = large.select("key", F.col("h").alias("b")).join(hubs, "key").filter("a <> b")
-        near = stored(verified(tried.select("a", "b").distinct(), sets, similar))
-        edges = edges.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        done = near.join(hubs, "a").select("key", F.col("b").alias("h")).unionByName(hubs.select("key", F.col("a").alias("h")))
-        rest = stored(rest.join(done.distinct(), ["key", "h"], "left_anti"))
-    if rest.isEmpty():
+    rest, stars = large, None
+    for _ in range(_HUBS):
+        hubs = stored(rest.groupBy("key").agg(F.max_by("h", F.struct("reach", "h")).alias("a")))
+        tried = large.join(F.broadcast(hubs) if hubs.count() <= _FEW_BANDS else hubs, "key").filter("a <> h").select("a", F.col("h").alias("b"))
+        near = stored(verified(tried.distinct(), sets, similar).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        stars = near if stars is None else stars.unionByName(near)
+        met = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(hubs, "a").select("key", F.col("b").alias("h"))
+        rest = stored(rest.join(met.unionByName(hubs.select("key", F.col("a").alias("h"))).distinct(), ["key", "h"], "left_anti"))
+        if rest.isEmpty():
+            break
+    edges = edges.unionByName(stars)
+    roots = components(edges).select(F.col("node").alias("h"), "root")
+    labelled = stored(large.select("key", "h").join(roots, "h", "left").select("key", "h", F.coalesce("root", "h").alias("root")))
+    ends = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
+    apart = stored(labelled.join(ends.select("key"), "key", "left_semi").select("h", "root").distinct())
+    if apart.isEmpty():
         return edges
-    open_bands = stored(large.join(rest.select("key").distinct(), "key", "left_semi").select("key", "h"))
-    each = open_bands.select("h").distinct().join(sets, "h").select("h", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    rare = each.join(each.groupBy("gram").agg(F.count("*").alias("f")).filter("f > 1"), "gram", "left").withColumn("f", F.coalesce("f", F.lit(1)))
-    ordered = rare.groupBy("h", "n").agg(F.sort_array(F.collect_list(F.struct("f", "gram"))).alias("o"))
+    return edges.unionByName(stored(verified(across(apart, sets, similar), sets, similar)))
+
+
+def across(parts: DataFrame, sets: DataFrame, similar: float = SIMILAR, block: int = BLOCK) -> DataFrame:
+    """Candidate pairs (a, b) of the sets (h, root) of different roots; no pair
+    of the similarity is missing.
+
+    Of two sets of n grams or more that share 0.8 of them, each has a shared
+    gram among its first n - ceil(0.8 n) + 1, in any common order; here the
+    rarest come first.  A pair whose first shared gram stands so far back that
+    too few grams can follow is no candidate, so copies that differ in grams of
+    their own don't meet over what all of them share.  Grams that one root has
+    alone are left out before the join, so a group of copies doesn't meet
+    itself, and a gram of many sets is dealt to one task for each ``block`` of
+    them.
+    """
+    each = parts.join(sets, "h").select("h", "root", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    counted = each.groupBy("gram").agg(F.count("*").alias("f"), F.min("root").alias("least"), F.max("root").alias("most")).filter("f > 1").select("gram", "f", (F.col("least") != F.col("most")).alias("open"))
+    ordered = each.join(counted, "gram", "left").groupBy("h", "root", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "gram", F.coalesce("open", F.lit(False)).alias("open")))).alias("o"))
     length = (F.col("n") - F.ceil(similar * F.col("n") - 1e-9) + 1).cast("int")
-    of_set = ordered.select("h", "n", F.posexplode(F.slice("o", F.lit(1), length)).alias("at", "g")).filter("g.f > 1").select("h", "n", "at", "g.gram")
-    prefixes = stored(open_bands.join(of_set, "h"))
-    salted = prefixes.join(rest, ["key", "h"], "left_semi").select("key", "gram", F.pmod("h", F.lit(_SALTS)).alias("salt"), F.col("h").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ix"))
-    whole = prefixes.select("key", "gram", F.explode(F.array(*map(F.lit, range(_SALTS))).cast("array<long>")).alias("salt"), F.col("h").alias("y"), F.col("n").alias("ny"), F.col("at").alias("iy"))
+    prefix = ordered.select("h", "root", "n", F.posexplode(F.slice("o", F.lit(1), length)).alias("at", "g")).filter("g.open").select("h", "root", "n", "at", "g.gram", F.ceil(F.col("g.f") / block).cast("int").alias("salts"))
+    prefix = stored(prefix)
+    dealt = prefix.select("gram", F.pmod(F.xxhash64("h"), F.col("salts")).cast("int").alias("salt"), F.col("h").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ix"))
+    whole = prefix.select("gram", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("h").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("at").alias("iy"))
     left_over = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
     enough = left_over >= similar / (1 + similar) * (F.col("nx") + F.col("ny")) - 1e-9
-    fits = (F.col("x") != F.col("y")) & (F.least("nx", "ny") >= similar * F.greatest("nx", "ny") - 1e-9) & enough
-    met = salted.join(whole, ["key", "gram", "salt"]).filter(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return edges.unionByName(stored(verified(met, sets, similar)))
+    fits = (F.col("rx") < F.col("ry")) & (F.least("nx", "ny") >= similar * F.greatest("nx", "ny") - 1e-9) & enough
+    return dealt.join(whole, ["gram", "salt"]).filter(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
