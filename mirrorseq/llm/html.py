@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import html
 import math
 import re
@@ -21,13 +22,17 @@ FOREIGN = frozenset("svg iframe object".split())
 BLOCKS = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select button textarea summary table tbody td tfoot th thead tr ul center".split())
 CLOSES_ITSELF = frozenset("li dt dd tr td th option thead tbody tfoot".split())
 CHROME = frozenset("header footer nav aside form".split())
+_ALIKE = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPES = frozenset("ul ol dl table select".split())
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer copyright sidebar side aside widget related recommended cookie cookies consent gdpr notice alert popup modal overlay share sharing social newsletter subscribe signup login form search comment comments commentlist reply replies respond discussion disqus pagination pager toolbar skip".split())
 CONTENT = frozenset("article content post entry story main body text".split())
 
 #: Features of a node repeat each other in part, so each counts for less.
 SHARE = 0.5
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+|[^>]*)>|<[!?/][^>]*>""", re.S)
+#: A tag ends at the next < outside of quotes, if it isn't closed before, and
+#: is text then; so no part of a page is read over and over.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:"[^"]*"|'[^']*'|[^'"<>])*+|[^<>]*)>|<[!?/][^<>]*>""", re.S)
+_ENDS = {name: re.compile(rf"</{name}\b[^<>]*>|\Z", re.I) for name in RAW}
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _MARK = re.compile(r"[.!?…。](?=\s|$)")
 _LABEL = re.compile(r"""\sy="([01])\"""")
@@ -54,6 +59,15 @@ class Page:
         self.controls: list[int] = []  # nodes around inline form controls
         self.block = 0
         open_tags: list[tuple[str, int]] = [("#root", 0)]
+        count = collections.Counter()  # of the open tags, so that no search is in vain
+
+        def close(i: int) -> None:
+            nonlocal links
+            for t, _ in open_tags[i:]:
+                count[t] -= 1
+                links -= t == "a"
+            del open_tags[i:]
+
         at = links = 0
         matches = _TAG.scanner(source)
         while m := matches.search():
@@ -66,24 +80,21 @@ class Page:
             if m[1]:
                 if name in BLOCKS or name == "br":
                     self.block += name != "br"
-                for i in range(len(open_tags) - 1, 0, -1):
-                    if open_tags[i][0] == name:
-                        links -= sum(t == "a" for t, _ in open_tags[i:])
-                        del open_tags[i:]
-                        break
+                if count[name]:
+                    close(next(i for i in range(len(open_tags) - 1, 0, -1) if open_tags[i][0] == name))
                 continue
             if name in BLOCKS:
                 self.block += 1
-                while open_tags[-1][0] not in BLOCKS and any(t == "p" for t, _ in open_tags) and len(open_tags) > 1:
-                    links -= open_tags.pop()[0] == "a"
+                while count["p"] and open_tags[-1][0] not in BLOCKS and len(open_tags) > 1:
+                    close(len(open_tags) - 1)
                 if open_tags[-1][0] == "p":
-                    open_tags.pop()
-                if name in CLOSES_ITSELF:
+                    close(len(open_tags) - 1)
+                if name in CLOSES_ITSELF and any(count[t] for t in _ALIKE.get(name, (name,))):
                     for i in range(len(open_tags) - 1, 0, -1):
                         if open_tags[i][0] in SCOPES:
                             break
-                        if open_tags[i][0] == name or (name in ("dt", "dd") and open_tags[i][0] in ("dt", "dd")) or (name in ("td", "th") and open_tags[i][0] in ("td", "th")):
-                            del open_tags[i:]
+                        if open_tags[i][0] in _ALIKE.get(name, (name,)):
+                            close(i)
                             break
             if name == "br":
                 self._text(" ", open_tags[-1][1], links)
@@ -94,7 +105,7 @@ class Page:
             if name == "textarea":
                 self.controls.append(open_tags[-1][1])
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>|\Z", re.I).search(source, at)
+                end = _ENDS[name].search(source, at)
                 at = end.end()
                 matches = _TAG.scanner(source, at)
                 continue
@@ -108,6 +119,7 @@ class Page:
                 node = len(self.tag) - 1
             if name not in VOID and not m[3].endswith("/"):
                 open_tags.append((name, node))
+                count[name] += 1
                 links += name == "a"
         if at < len(source):
             self._text(source[at:], open_tags[-1][1], links)
@@ -126,6 +138,13 @@ class Page:
         return len(source)
 
     def _text(self, raw: str, node: int, links: int) -> None:
+        if not node and not raw.isspace():
+            # text outside of all elements is a node of its own, as far as it goes
+            if self.tag[-1] != "#text":
+                self.tag.append("#text")
+                self.attributes.append("")
+                self.parent.append(0)
+            node = len(self.tag) - 1
         self.runs.append((node, self.block, html.unescape(raw) if "&" in raw else raw, links > 0))
 
     def evidence(self) -> list[tuple[str, ...]]:
@@ -148,7 +167,7 @@ class Page:
             whole += size
             chars[node] += size
             linked[node] += size * in_link
-        n_blocks = [len(b) for b in blocks]
+        n_blocks, own = [len(b) for b in blocks], list(chars)
         for i in range(1, n):
             depth[i] = depth[self.parent[i]] + (self.tag[i] not in ("html", "body"))
             paragraphs[i] += self.tag[i] == "p"
@@ -161,6 +180,18 @@ class Page:
                 count[p] += count[i]
             if before[i] is not None and (before[p] is None or before[i] < before[p]):
                 before[p] = before[i]
+        # whether a node opens with a heading that names boilerplate
+        told_by = ["none"] * n
+        opening: dict[int, str] = {}  # first text below a node, empty if it isn't a heading
+        for node, _, text, _ in self.runs:
+            if text.strip():
+                heading = text if self.tag[node] in ("h1", "h2", "h3", "h4", "h5", "h6") else ""
+                while node not in opening:
+                    opening[node] = heading
+                    node = self.parent[node]
+        for i, text in opening.items():
+            found = re.findall(r"[a-z]+", text[:200].lower()) if len(text) < 200 else []
+            told_by[i] = "boilerplate" if 0 < len(found) <= 5 and not BOILERPLATE.isdisjoint(found) else "none"
         largest = [0] * n  # most text among the children
         for i in range(1, n):
             largest[self.parent[i]] = max(largest[self.parent[i]], chars[i])
@@ -172,22 +203,29 @@ class Page:
             kind = "both" if len(told) == 2 else told[0] if told else "other" if names else "none"
             size = max(1, chars[i])
             around = self.parent[i]
+            bare = self.tag[i] == "body" and 2 * own[i] > size  # counts as text outside of elements
+            tag, under = ("#text", "body") if bare else (self.tag[i], self.tag[around] if around else "body")
             out.append((
-                f"tag {self.tag[i]}", f"under {self.tag[around] if around else 'body'} {self.tag[i]}", f"name {kind}", f"size {_step(chars[i], (1, 30, 100, 400))}", f"share {_step(chars[i] / max(1, whole), (0.02, 0.1, 0.4, 0.9))}", f"links {_step(linked[i] / size, (0.1, 0.5))}",
+                f"tag {tag}", f"under {under} {tag}", f"name {kind}", f"size {_step(chars[i], (1, 30, 100, 400))}", f"share {_step(chars[i] / max(1, whole), (0.02, 0.1, 0.4, 0.9))}", f"links {_step(linked[i] / size, (0.1, 0.5))}",
                 f"marks {_step(100 * marks[i] / size, (0.2, 0.6, 3))}", f"blocks {_step(chars[i] / max(1, n_blocks[i]), (15, 40, 100))}", f"paragraphs {_step(paragraphs[i], (1, 2, 4))}", f"controls {_step(controls[i], (1, 3))}",
-                f"depth {_step(depth[i], (2, 3, 5))}", f"place {_step((before[i] or 0) / max(1, whole), (0.02, 0.2, 0.8))}", f"within {context[around]}", f"siblings {_step(chars[i] / max(1, largest[around]), (0.1, 0.5, 1))}",
+                f"opens {told_by[i]}", f"depth {_step(depth[i], (2, 3, 5))}", f"place {_step((before[i] or 0) / max(1, whole), (0.02, 0.2, 0.8))}", f"within {context[around]}", f"siblings {_step(chars[i] / max(1, largest[around]), (0.1, 0.5, 1))}",
             ))
-            by_tag = "boilerplate" if self.tag[i] in CHROME else "content" if self.tag[i] in ("article", "main") else ""
+            own_head = self.tag[i] == "header" and self.tag[around] in ("article", "main")  # an article's heading
+            by_tag = "boilerplate" if self.tag[i] in CHROME and not own_head else "content" if self.tag[i] in ("article", "main") else ""
             agrees = kind in ("boilerplate", "content") and by_tag in ("", kind)
+            if told_by[i] != "none" and kind != "content" and self.tag[i] not in ("html", "body", "main", "article"):
+                by_tag = told_by[i]
             context[i] = kind if agrees else by_tag if by_tag and kind != "boilerplate" else context[around]
         return out
 
     def labels(self) -> list[int]:
-        """Training labels: the nearest ``y`` above or at the node."""
+        """Training labels: the nearest ``y`` above or at the node; text outside
+        of all elements is main text."""
         out = [0] * len(self.tag)
         for i in range(1, len(self.tag)):
             m = _LABEL.search(self.attributes[i])
-            out[i] = int(m[1]) if m else out[self.parent[i]]
+            implied = self.tag[i] == "#text"
+            out[i] = int(m[1]) if m else 1 if implied else out[self.parent[i]]
         return out
 
 

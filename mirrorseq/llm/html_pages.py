@@ -86,6 +86,12 @@ class _Maker:
         return f'<form{self.name("form")} y="0"><label>Search</label><input name="q"><button>Find</button>{self.rng.choice(["", f"<p>{self.prose(1, 2)}</p>", "<select><option>one<option>two</select>", "<textarea>x</textarea>"])}</form>'
 
     def talk(self) -> str:
+        if self.rng.random() < 0.3:  # known by its heading alone
+            tag = self.rng.choice(["div", "section", "ul"])
+            item = "<li><b>{0}</b> <p>{1}</p></li>" if tag == "ul" else self.rng.choice(["<div><b>{0}</b> <p>{1}</p></div>", "<div><p>{1}</p></div>"])
+            each = "".join(item.format(self.rng.choice(_WORDS), self.prose(1, 4)) for _ in range(self.rng.randint(1, 6)))
+            heading = self.rng.choice(["{} replies", "{} comments", "Comments ({})", "Discussion", "Replies"]).format(self.rng.randint(1, 40))
+            return f'<div{self.rng.choice(["", " id=c12", " class=xq-b"])} y="0"><h3>{heading}</h3>{f"<{tag}>{each}</{tag}>" if tag == "ul" else each}</div>'
         each = "".join(self.rng.choice(['<div class="comment"><p>{}</p></div>', "<li><p>{}</p></li>", '<article class="comment"><p>{}</p></article>']).format(self.prose(1, 4)) for _ in range(self.rng.randint(1, 5)))
         return self.told(self.rng.choice(["section", "div"]), "talk", f"<h2>Comments</h2>{each}")
 
@@ -128,6 +134,8 @@ class _Maker:
         if inside:
             parts = [*parts]
             parts.insert(rng.randint(1, len(parts)), inside)
+        if how < 0.5 and rng.random() < 0.3 and parts[0].startswith(("<h1", "<h2")):
+            parts = [f"<header>{parts[0]}</header>", *parts[1:]]
         content = "".join(parts)
         if how < 0.3:
             return f'<article y="1">{content}</article>'
@@ -144,9 +152,12 @@ class _Maker:
     def page(self) -> str:
         rng = self.rng
         some: Callable[[list[Callable[[], str]], float], str] = lambda makers, p: "".join(m() for m in makers if rng.random() < p)
-        inside = rng.choice([lambda: self.told("div", "ad", self.prose(1, 3)), self.side, self.talk])() if rng.random() < 0.25 else ""
+        inside = rng.choice([lambda: self.told("div", "ad", self.prose(1, 3)), lambda: self.told("div", "ad", f"<p>{self.sentence(2, 5)}</p>"), self.side, self.talk])() if rng.random() < 0.4 else ""
         before = some([self.notice], 0.3) + some([self.head], 0.5) + some([self.menu], 0.8) + some([self.ad], 0.5) + some([self.form], 0.15)
         after = some([self.ad], 0.2) + some([self.side], 0.5) + some([self.talk], 0.4) + some([self.form, self.notice], 0.2) + some([self.foot], 0.85)
+        if rng.random() < 0.05:  # nothing but a text
+            text = rng.choice(["<br>", "<br><br>\n", "\n"]).join(self.prose(1, 5) for _ in range(rng.randint(1, 6)))
+            return f'<html><head><title>t</title></head><body y="1">{text}</body></html>' if rng.random() < 0.5 else text
         whole = before + self.framed(self.body(), inside) + after
         if rng.random() < 0.3:
             whole = f'<div{rng.choice(["", " id=wrap", " class=page"])}>{whole}</div>'
