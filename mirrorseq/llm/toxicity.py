@@ -22,7 +22,9 @@ from .common import md5_prefix, stored
 INSULTS = "idiot moron stupid pathetic loser scum trash worthless disgusting clown imbecile vermin filth idiota estúpido imbécil basura connard imbécile ordure salaud dummkopf abschaum arschloch".split()
 THREATS = "kill hurt destroy beat shoot stab burn murder strangle matar golpear tuer frapper töten schlagen".split()
 MODALS = "will shall going gonna must should voy vas wird werde vais vas".split()
-TARGETS = "you your he she they them him her this these those people tú usted ustedes vous tu toi du ihr sie".split()
+TARGETS = "you your he she they them him her people tú usted ustedes vous tu toi du ihr sie".split()
+#: Verbs that are hostile where a target is their object.
+HOSTILE = "hate hates despise despises loathe detest hasse hassen verachte odio detesto déteste détestons".split()
 CONTRASTS = "but however aber sondern mais pero sino".split()
 NEGATIONS = "not never no isn't aren't don't won't nicht kein keine nie pas jamais nunca ningún".split()
 REPORTS = "said says wrote called quoted reported claimed allegedly sagte schrieb dijo escribió dit écrit".split()
@@ -66,8 +68,8 @@ def learn_terms(rows: DataFrame) -> dict[str, float]:
 
 
 Arcs = dict[tuple[str, str], list[tuple[str, float]]]
-SYMBOLS = ("insult", "threat", "target", "modal", "negation", "contrast", "report", "quote", "other")
-HITS = ("insult", "threat")
+SYMBOLS = ("insult", "threat", "hostile", "target", "modal", "negation", "contrast", "report", "quote", "other")
+HITS = ("insult", "threat", "hostile")
 #: Words over which a modal reaches a threat and a target a hit.
 NEAR = 6
 
@@ -92,6 +94,18 @@ def threats() -> Transducer:
     return Transducer("idle", arcs, frozenset(["idle", *after]))
 
 
+def hostility() -> Transducer:
+    """A hostile verb counts if a target follows within two words: such a path
+    waits for it and can't end before; the other path gives the verb nothing."""
+    arcs: Arcs = {}
+    for symbol in SYMBOLS:
+        hit = symbol == "hostile"
+        arcs["calm", symbol] = [("calm", 0.0), ("wait2", 1.0)] if hit else [("calm", 1.0)]
+        arcs["wait2", symbol] = [("calm", 1.0)] if symbol == "target" else [] if hit else [("wait1", 1.0)]
+        arcs["wait1", symbol] = [("calm", 1.0)] if symbol == "target" else []
+    return Transducer("calm", arcs, frozenset(["calm"]))
+
+
 def targets(raised: float = 1.25) -> Transducer:
     """A target raises the hits of the ``NEAR`` words after it, and those before
     it in its clause: such a hit may go on owing a target, and a clause can't
@@ -166,9 +180,10 @@ class Grammar:
     """
 
     def __init__(self, terms: dict[str, float]) -> None:
-        self.machine = compose(threats(), targets(), negations(), reports())
+        self.machine = compose(threats(), hostility(), targets(), negations(), reports())
         self.classes = {w: c for c, ws in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("modal", MODALS), ("contrast", CONTRASTS)) for w in ws} | dict.fromkeys(_QUOTES, "quote")
-        self.terms = {w: 2.5 for w in THREATS} | {w: 1.5 for w in INSULTS} | {w: v for w, v in terms.items() if w not in self.classes}
+        self.hostile = frozenset(HOSTILE) - terms.keys()
+        self.terms = {w: 2.5 for w in THREATS} | {w: 1.5 for w in (*INSULTS, *HOSTILE)} | {w: v for w, v in terms.items() if w not in self.classes}
         # a threat that was learned as a term counts without a modal too
         self.threats = frozenset(THREATS) - terms.keys()
         self.finder = ahocorasick.Automaton()
@@ -203,7 +218,7 @@ class Grammar:
         out = []
         for word in _TOKEN.findall(clause):
             weight = self.terms.get(word, 0.0)
-            out.append(("threat" if word in self.threats else "insult" if weight else self.classes.get(word, "other"), weight))
+            out.append(("threat" if word in self.threats else "hostile" if word in self.hostile else "insult" if weight else self.classes.get(word, "other"), weight))
         return out
 
     def clauses(self, text: str) -> list[float]:

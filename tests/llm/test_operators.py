@@ -297,7 +297,7 @@ def test_toxicity_grammar():
 
 
 def test_toxicity_paths_against_all_paths():
-    machines = [toxicity.threats(), toxicity.targets(), toxicity.negations(), toxicity.reports()]
+    machines = [toxicity.threats(), toxicity.hostility(), toxicity.targets(), toxicity.negations(), toxicity.reports()]
     grammar, rng = toxicity.Grammar({}), random.Random(5)
 
     def paths(machine, symbols):
@@ -307,8 +307,8 @@ def test_toxicity_paths_against_all_paths():
         return [factors for state, factors in found if state in machine.ends]
 
     for _ in range(200):
-        symbols = [(s, rng.choice([1.0, 2.5]) if s in toxicity.HITS else 0.0) for s in rng.choices(toxicity.SYMBOLS, weights=[2, 2, 2, 2, 1, 1, 1, 1, 4], k=rng.randint(0, 9))]
-        best = max(sum(w * a * b * c * d for (_, w), a, b, c, d in zip(symbols, *choice, strict=True)) for choice in itertools.product(*(paths(m, symbols) for m in machines)))
+        symbols = [(s, rng.choice([1.0, 2.5]) if s in toxicity.HITS else 0.0) for s in rng.choices(toxicity.SYMBOLS, weights=[2, 2, 1, 2, 2, 1, 1, 1, 1, 4], k=rng.randint(0, 9))]
+        best = max(sum(w * a * b * c * d * e for (_, w), a, b, c, d, e in zip(symbols, *choice, strict=True)) for choice in itertools.product(*(paths(m, symbols) for m in machines)))
         assert grammar.read(symbols) == pytest.approx(best)
 
 
