@@ -16,8 +16,8 @@ from .common import as_key, stored
 #: Fixed by the definition of a word: letters A to Z and U+00C0 to U+00FF.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LETTERS = LOWER + "".join(map(chr, range(0xC0, 0x100)))
-#: Symbols of the reduced alphabet.
-SYMBOLS = 8
+#: Symbols of the reduced alphabet, and words whose neighbourhoods a task makes.
+SYMBOLS, PART = 8, 20_000
 
 
 def symbol(letter: str, symbols: int = SYMBOLS) -> str:
@@ -68,7 +68,8 @@ def near_words(vocabulary: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     words, few symbols) is a skewed key of a join of narrow rows, which adaptive
     execution splits.
     """
-    around = vocabulary.select("word", F.explode(neighbourhood(reduced(F.col("word"), symbols), symbols)).alias("r")).select(F.xxhash64("r").alias("key"), "word")
+    dealt = vocabulary.repartition(max(1, -(-vocabulary.count() // PART)), "word")
+    around = dealt.select("word", F.explode(neighbourhood(reduced(F.col("word"), symbols), symbols)).alias("r")).select(F.xxhash64("r").alias("key"), "word")
     there = vocabulary.select(F.xxhash64(reduced(F.col("word"), symbols)).alias("key"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     return around.join(there, "key").filter(F.levenshtein("word", "near", 1) == 1).select("word", "near", "near_n")
 
