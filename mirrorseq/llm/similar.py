@@ -96,13 +96,13 @@ def links(members: DataFrame, sets: DataFrame, similar: float = SIMILAR, pairwis
 
     members: (key, h, size, hub) of :func:`shared_bands`; sets: (h, grams) with
     the distinct grams of each.  In bands of up to ``pairwise`` sets all pairs
-    are verified.  In a larger band all sets are verified against a few hubs,
-    of which the first is the set that shares bands with most others, as the
-    least edited of a group of copies does, and the next ones are those of the
-    sets that no hub is similar to.  What these edges connect, also through
-    other bands, is one component already; bands that hold one component alone
-    are done.  All pairs of different components meet by their prefixes, see
-    :func:`across`.
+    are verified.  In a larger band all sets are verified against a hub, the
+    set that shares bands with most others, as the least edited of a group of
+    copies does; those that it isn't similar to have a hub of their own, and
+    once more.  What these edges connect, also through other bands, is one
+    component already; bands that hold one component alone are done.  All pairs
+    of different components, be they near a hub or not, meet by their prefixes,
+    see :func:`across`.
     """
     few = members.filter(F.col("size") <= pairwise)
     left, right = few.select("key", F.col("h").alias("a")), few.select("key", F.col("h").alias("b"))
@@ -116,7 +116,7 @@ def links(members: DataFrame, sets: DataFrame, similar: float = SIMILAR, pairwis
     rest, stars = large, None
     for _ in range(_HUBS):
         hubs = stored(rest.groupBy("key").agg(F.max_by("h", F.struct("reach", "h")).alias("a")))
-        tried = large.join(F.broadcast(hubs) if hubs.count() <= _FEW_BANDS else hubs, "key").filter("a <> h").select("a", F.col("h").alias("b"))
+        tried = rest.join(F.broadcast(hubs) if hubs.count() <= _FEW_BANDS else hubs, "key").filter("a <> h").select("a", F.col("h").alias("b"))
         near = stored(verified(tried.distinct(), sets, similar).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         stars = near if stars is None else stars.unionByName(near)
         met = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(hubs, "a").select("key", F.col("b").alias("h"))
