@@ -95,24 +95,19 @@ def links(members: DataFrame, sets: DataFrame, similar: float = SIMILAR, pairwis
     components as all such pairs that share a band.
 
     members: (key, h, size, hub) of :func:`shared_bands`; sets: (h, grams) with
-    the distinct grams of each.  In bands of up to ``pairwise`` sets all pairs
-    are verified.  In a larger band all sets are verified against a hub, the
-    set that shares bands with most others, as the least edited of a group of
-    copies does; those that it isn't similar to have a hub of their own, and
-    once more.  What these edges connect, also through other bands, is one
-    component already; bands that hold one component alone are done.  All pairs
-    of different components, be they near a hub or not, meet by their prefixes,
-    see :func:`across`.
+    the distinct grams of each.  In bands of more than ``pairwise`` sets all are
+    verified against a hub, the set that shares bands with most others, as the
+    least edited of a group of copies does; those that it isn't similar to have
+    a hub of their own, and once more.  What these edges connect, also through
+    other bands, is one component already, and pairs inside it add nothing.  In
+    smaller bands all other pairs are verified; in the larger ones, where they
+    hold several components, all pairs of different components meet by their
+    prefixes, be they near a hub or not, see :func:`across`.
     """
-    few = members.filter(F.col("size") <= pairwise)
-    left, right = few.select("key", F.col("h").alias("a")), few.select("key", F.col("h").alias("b"))
-    pairs = left.join(right, "key").filter("a < b").select("a", "b")
-    edges = stored(verified(stored(pairs.distinct()), sets, similar))
     reach = members.groupBy("h").agg(F.sum("size").alias("reach"))
-    large = members.filter(F.col("size") > pairwise).select("key", "h").join(reach, "h")
+    large = stored(members.filter(F.col("size") > pairwise).select("key", "h").join(reach, "h"))
     if large.isEmpty():
-        return edges
-    large = stored(large)
+        return _near_pairs_of(members.select("key", "h", F.col("h").alias("root")), sets, similar)
     rest, stars = large, None
     for _ in range(_HUBS):
         hubs = stored(rest.groupBy("key").agg(F.max_by("h", F.struct("reach", "h")).alias("a")))
@@ -123,9 +118,10 @@ def links(members: DataFrame, sets: DataFrame, similar: float = SIMILAR, pairwis
         rest = stored(rest.join(met.unionByName(hubs.select("key", F.col("a").alias("h"))).distinct(), ["key", "h"], "left_anti"))
         if rest.isEmpty():
             break
-    edges = edges.unionByName(stars)
-    roots = components(edges).select(F.col("node").alias("h"), "root")
-    labelled = stored(large.select("key", "h").join(roots, "h", "left").select("key", "h", F.coalesce("root", "h").alias("root")))
+    roots = stored(components(stars).select(F.col("node").alias("h"), "root"))
+    rooted = stored(members.join(roots, "h", "left").select("key", "h", "size", F.coalesce("root", "h").alias("root")))
+    edges = stars.unionByName(_near_pairs_of(rooted.filter(F.col("size") <= pairwise), sets, similar))
+    labelled = rooted.filter(F.col("size") > pairwise)
     ends = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
     apart = stored(labelled.join(ends.select("key"), "key", "left_semi").select("h", "root").distinct())
     if apart.isEmpty():
@@ -133,6 +129,13 @@ def links(members: DataFrame, sets: DataFrame, similar: float = SIMILAR, pairwis
     return edges.unionByName(stored(verified(across(apart, sets, similar), sets, similar)))
 
 
+def _near_pairs_of(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Edges between the members (key, h, root) of a band that have different roots."""
+    left, right = (members.select("key", F.col("h").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b")
+    return stored(verified(stored(pairs.distinct()), sets, similar))
+
+
 def across(parts: DataFrame, sets: DataFrame, similar: float = SIMILAR, block: int = BLOCK) -> DataFrame:
     """Candidate pairs (a, b) of the sets (h, root) of different roots; no pair
     of the similarity is missing.
