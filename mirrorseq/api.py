@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config, parts_of
-from .operators import clusters, etho, groupwise, latent, linear, movement, neuro, rollup
+from .operators import clusters, etho, groupwise, latent, linear, movement, neuro, rollup, structure
 from .plans import reports
 from .plans.align import KEYS, SEQ, canonical, check_keys, check_multimodal, check_overlap, check_traces, pair, truncated
 
@@ -56,17 +56,17 @@ def compute_neuro_scores(predictions: DataFrame, ground_truth: DataFrame, config
     paired = truncated(aligned(ground_truth, predictions, config)).persist()
     values = _values(paired, config)
     check_traces(paired, values)
-    metrics = _neuro_metrics(paired, values)
+    metrics = _neuro_metrics(paired, values, config)
     paired.unpersist()
     return metrics.unionByName(rollup.families(metrics))
 
 
-def _neuro_metrics(paired: DataFrame, values: list[str]) -> DataFrame:
+def _neuro_metrics(paired: DataFrame, values: list[str], config: Config = Config()) -> DataFrame:
     one: dict[str, Callable[[], DataFrame]] = {
         "MANI_score": lambda: latent.manifold_score(paired, values), "TRJDIST_score": lambda: latent.trajectory_score(paired, values),
         "KL_or_JSD_score": lambda: neuro.kl(paired, values), "QNT_score": lambda: neuro.quantile_shift(paired, values), "MOM_score": lambda: neuro.moments(paired, values), "Mean_score": lambda: neuro.mean_shift(paired, values),
-        "GRAPH_score": lambda: neuro.graph(paired, values), "CrossRegionMI_score": lambda: neuro.matrix_similarity(groupwise.cross_region_mi(paired, values)),
-        "LaggedCovariance_score": lambda: linear.lagged_covariance(paired, values), "ImpulseResponse_score": lambda: linear.impulse_response(paired, values), "SubspaceAngle_score": lambda: linear.subspace_angle(paired, values),
+        "GRAPH_score": lambda: neuro.graph(paired, values), "CrossRegionMI_score": lambda: neuro.matrix_similarity(groupwise.cross_region_mi(paired, values, config.MI_MAX_POINTS, k=config.MI_N_NEIGHBORS)),
+        "LaggedCovariance_score": lambda: linear.lagged_covariance(paired, values), "ImpulseResponse_score": lambda: linear.impulse_response(paired, values), "SubspaceAngle_score": lambda: linear.subspace_angle(paired, values, config.PCA_VARIANCE_THRESHOLD),
     }
     tasks = [lambda m=m, f=f: _named(f(), m) for m, f in one.items()]
     return _gathered(paired.sparkSession, [lambda: clusters.latent_states(paired, values), *tasks])
@@ -76,12 +76,30 @@ def compute_fidelity_scores(predictions: DataFrame, ground_truth: DataFrame, con
     """Error and information of paired traces, and their composite."""
     paired = truncated(aligned(ground_truth, predictions, config)).cache()
     values = _values(paired, config)
-    metrics = _gathered(paired.sparkSession, [lambda: _named(neuro.error(paired, values), "Error_score"), lambda: _named(groupwise.mi_score(paired, values), "MI_score")])
+    metrics = _gathered(paired.sparkSession, [lambda: _named(neuro.error(paired, values), "Error_score"), lambda: _named(groupwise.mi_score(paired, values, config.MAX_TIME_STEPS_SUBSAMPLE, config.MI_N_NEIGHBORS), "MI_score")])
+    paired.unpersist()
     weight = F.create_map(*[F.lit(x) for kv in rollup.FIDELITY_WEIGHTS.items() for x in kv])[F.col("metric")]
     whole = metrics.agg(rollup.weighted_mean(F.col("value"), weight).alias("value"))
     return metrics.unionByName(_named(whole, "FIDELITY_SCORE", "value"))
 
 
+def compute_replacement_scores(predictions: DataFrame, ground_truth: DataFrame, config: Config = Config()) -> DataFrame:
+    """(metric, value) of the scores that stand outside of the composite: main
+    directions, moments, graph, autocorrelation, cross-correlation, band power,
+    power spectrum, trajectory and manifold."""
+    paired = truncated(aligned(ground_truth, predictions, config)).persist()
+    values = _values(paired, config)
+    one: dict[str, Callable[[], DataFrame]] = {
+        "PCA_score": lambda: structure.reconstruction_transfer(paired, values), "MOM_score": lambda: neuro.moments(paired, values), "GRAPH_score": lambda: neuro.graph(paired, values),
+        "AUTO_score": lambda: structure.autocorrelation_score(paired, values, config.AUTOCORR_MAX_LAG), "CC_score": lambda: structure.cross_correlation_score(paired, values),
+        "BP_score": lambda: groupwise.band_power_score(paired, values, config.WELCH_NPERSEG), "PSDShape_score": lambda: structure.spectrum_shape(paired, values, config.WELCH_NPERSEG),
+        "TRJDIST_score": lambda: latent.trajectory_score(paired, values), "MANI_score": lambda: latent.manifold_score(paired, values),
+    }
+    found = _gathered(paired.sparkSession, [lambda m=m, f=f: _named(f(), m) for m, f in one.items()])
+    paired.unpersist()
+    return found
+
+
 def etho_metrics(paired: DataFrame, config: Config = Config()) -> DataFrame:
     """(metric, sequenceId, score, weight); all sequences have a null id."""
     c = config.center_part
@@ -147,7 +165,7 @@ def compute_cross_scores(predictions: DataFrame, ground_truth: DataFrame, config
     composites = [cross["cross_composite"]]
     short = truncated(paired).persist()
     check_traces(short, values)
-    neuro_rows = _neuro_metrics(short, values)
+    neuro_rows = _neuro_metrics(short, values, config)
     neuro_rows = neuro_rows.unionByName(rollup.families(neuro_rows)).collect()
     blocks += [("neuro_scores", r.metric, r.value) for r in neuro_rows]
     composites.append(next((r.value for r in neuro_rows if r.metric == "FINAL_COMPOSITE_SCORE"), None))

@@ -24,7 +24,10 @@ class Config:
     AUTOCORR_MAX_LAG: int = 48
     WELCH_NPERSEG: int = 256
     MI_N_NEIGHBORS: int = 5
-    MAX_TIME_STEPS_SUBSAMPLE: int = 1200
+    #: Rows of a series, and of all series, that information is estimated from;
+    #: null takes all rows.
+    MAX_TIME_STEPS_SUBSAMPLE: int | None = 1200
+    MI_MAX_POINTS: int | None = 1500
     PCA_VARIANCE_THRESHOLD: float = 0.85
     KMEANS_K_TRAJECTORY: int = 6
     KMEANS_K_SYLLABLE: int = 8

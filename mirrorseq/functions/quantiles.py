@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,32 +18,49 @@ def quantiles(df: DataFrame, value: str, by: list[str], qs: list[float], out: st
     that hold a wanted rank are cut again, until none holds more than ``few``
     rows or its values are all equal, and only then are rows ranked, inside
     those bins.  Groups must be few (regions, sides), as their bins are
-    broadcast; nulls don't count, and a group without values has no row.
+    broadcast; nulls don't count, and a group without values has no row.  The
+    values are read once and kept while they are counted; what is returned is a
+    small table that depends on nothing.
     """
-    rows = df.select(*by, F.col(value).cast("double").alias("__v")).filter("__v is not null").withColumn("__g", F.struct(F.lit(0).alias("_"), *by))
+    rows = df.select(*by, F.col(value).cast("double").alias("__v")).filter("__v is not null").withColumn("__g", F.struct(F.lit(0).alias("_"), *by)).persist()
+    held = [rows]
+
+    def kept(table: DataFrame) -> DataFrame:
+        held.append(table.persist())
+        return held[-1]
+
+    try:
+        return _quantiles(rows, by, qs, out, bins, few, kept)
+    finally:
+        for table in held:
+            table.unpersist()
+
+
+def _quantiles(rows: DataFrame, by: list[str], qs: list[float], out: str, bins: int, few: int, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
     whole = rows.groupBy("__g").agg(F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     at = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(q)).alias("p")) for k, q in enumerate(qs)])).alias("__q")
     ranks = whole.select("*", at).withColumn("__pos", F.col("__q.p") * (F.col("__n") - 1))
     # each quantile lies between the ranks below and above its place
-    ranks = ranks.select("__g", F.col("__q.k").alias("__k"), "__pos", F.explode(F.array_distinct(F.array(F.floor("__pos"), F.ceil("__pos")))).alias("__rank"), F.lit(0).cast("long").alias("__before"), "__n", "__lo", "__hi")
-    ranks = ranks.persist()
-    held = [ranks]
+    ranks = kept(ranks.select("__g", F.col("__q.k").alias("__k"), "__pos", F.explode(F.array_distinct(F.array(F.floor("__pos"), F.ceil("__pos")))).alias("__rank"), F.lit(0).cast("long").alias("__before"), "__n", "__lo", "__hi"))
     while (ranks.agg(F.max(F.when(F.col("__lo") < F.col("__hi"), F.col("__n")))).first()[0] or 0) > few:
         cells = ranks.select("__g", "__lo", "__hi", "__before").distinct()
         inside = rows.join(F.broadcast(cells), "__g").filter("__v between __lo and __hi")
-        place = F.least(F.lit(bins - 1), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins))
+        # halves, as the difference of two numbers may be beyond all numbers
+        half = lambda c: F.col(c) / 2
+        place = F.least(F.lit(bins - 1), F.floor((half("__v") - half("__lo")) / (half("__hi") - half("__lo")) * bins))
         counts = inside.filter("__lo < __hi").groupBy("__g", "__before", place.alias("__bin")).agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
         running = F.sum("n").over(Window.partitionBy("__g", "__before").orderBy("__bin"))
         placed = counts.withColumn("to", F.col("__before") + running).withColumn("from", F.col("to") - F.col("n"))
         found = ranks.join(F.broadcast(placed.drop("__bin")), ["__g", "__before"], "left").filter("lo is null or (__rank >= from and __rank < to)")
-        ranks = found.select("__g", "__k", "__pos", "__rank", F.coalesce("from", "__before").alias("__before"), F.coalesce("n", "__n").alias("__n"), F.coalesce("lo", "__lo").alias("__lo"), F.coalesce("hi", "__hi").alias("__hi")).persist()
-        held.append(ranks)
+        ranks = kept(found.select("__g", "__k", "__pos", "__rank", F.coalesce("from", "__before").alias("__before"), F.coalesce("n", "__n").alias("__n"), F.coalesce("lo", "__lo").alias("__lo"), F.coalesce("hi", "__hi").alias("__hi")))
     cells = ranks.select("__g", "__lo", "__hi", "__before").distinct()
     order = F.row_number().over(Window.partitionBy("__g", "__before").orderBy("__v")) - 1 + F.col("__before")
     open_cells = rows.join(F.broadcast(cells.filter("__lo < __hi")), "__g").filter("__v between __lo and __hi")
     ranked = open_cells.select("__g", "__before", order.alias("__rank"), "__v")
     known = ranks.join(ranked, ["__g", "__before", "__rank"], "left").withColumn("__v", F.coalesce("__v", "__lo"))
     each = known.groupBy("__g", "__k").agg(F.max("__pos").alias("p"), F.min_by("__v", "__rank").alias("a"), F.max_by("__v", "__rank").alias("b"))
-    value_at: Column = F.col("a") + (F.col("b") - F.col("a")) * (F.col("p") - F.floor("p"))
+    value_at: Column = 2 * (F.col("a") / 2 + (F.col("b") / 2 - F.col("a") / 2) * (F.col("p") - F.floor("p")))
     listed = each.groupBy("__g").agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", value_at.alias("v")))), lambda x: x["v"]).alias(out))
-    return listed.select(*[F.col(f"__g.{c}").alias(c) for c in by], out)
+    table = listed.select(*[F.col(f"__g.{c}").alias(c) for c in by], out)
+    # a row a group, and groups are few
+    return rows.sparkSession.createDataFrame(table.collect(), table.schema)

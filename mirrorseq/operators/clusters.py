@@ -2,28 +2,92 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.shared import Kept
 from ..plans.align import SEQ, TIME, sides
 from . import etho, linear, neuro
 
 
-def centres(df: DataFrame, columns: list[str], k: int, seed: int = 0) -> list[list[float]]:
-    """k cluster centres, fitted on all rows."""
-    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(df.dropna(subset=columns))
-    model = KMeans(k=k, seed=seed, maxIter=50, tol=1e-6).fit(rows.select("features"))
-    return [[float(v) for v in c] for c in model.clusterCenters()]
+#: Rounds and candidates a round (for each centre) of the first choice.
+DRAWS, OVERSAMPLED = 4, 2
+
+
+def _nearest_square(columns: list[str], centres: list[list[float]]) -> Column:
+    far = [sum(((F.col(c) - v) * (F.col(c) - v) for c, v in zip(columns, centre, strict=True)), F.lit(0.0)) for centre in centres]
+    return F.array_min(F.array(*far))
+
+
+def _first_centres(points: np.ndarray, weights: np.ndarray, k: int, seed: int, tries: int = 10) -> np.ndarray:
+    """k of the weighted candidates by k-means++, then moved to the means of
+    theirs; the best of several tries."""
+    best, cost = points[:k], np.inf
+    for t in range(tries):
+        rng = np.random.default_rng([seed, t])
+        chosen = [int(rng.choice(len(points), p=weights / weights.sum()))]
+        while len(chosen) < k:
+            d = ((points[:, None] - points[chosen][None]) ** 2).sum(2).min(1) * weights
+            if not d.sum():
+                break
+            chosen.append(int(rng.choice(len(points), p=d / d.sum())))
+        found = points[chosen]
+        for _ in range(20):
+            near = ((points[:, None] - found[None]) ** 2).sum(2)
+            at = near.argmin(1)
+            found = np.array([np.average(points[at == j], axis=0, weights=weights[at == j]) if weights[at == j].sum() else found[j] for j in range(len(found))])
+        total = float((((points[:, None] - found[None]) ** 2).sum(2).min(1) * weights).sum())
+        if total < cost:
+            best, cost = found, total
+    return best
+
+
+def centres(df: DataFrame, columns: list[str], k: int, seed: int = 0, steps: int = 50, tolerance: float = 1e-6) -> list[list[float]]:
+    """At most k cluster centres, fitted on all rows; fewer where there are
+    fewer different rows.
+
+    First candidates come from a few rounds over all rows (k-means||, Bahmani et
+    al., 2012): in each the rows with the least -ln(u) / d2 are drawn, with u
+    from the hash of a row's values and d2 its squared distance to the nearest
+    candidate.  Then rows go to their nearest centre and centres to the means of
+    their rows, one aggregate a step.  Sums are whole numbers of a fixed unit,
+    so centres don't depend on how rows are spread over tasks.
+    """
+    with Kept(df.sparkSession) as keep:
+        rows = keep(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna())
+        facts = rows.agg(F.count("*").alias("n"), F.max(F.greatest(*[F.abs(c) for c in columns], F.lit(0.0))).alias("top")).first()
+        if not facts["n"]:
+            return []
+        unit = 2.0 ** min(52, 61 - math.ceil(math.log2(facts["n"] + 1)) - math.ceil(math.log2(max(facts["top"], 2.0**-20))))
+        hashed = F.xxhash64(*columns, F.lit(seed))
+        first = rows.orderBy(hashed, *columns).limit(1).collect()
+        found = [[float(r[c]) for c in columns] for r in first]
+        for t in range(DRAWS):
+            u = (F.pmod(F.xxhash64(*columns, F.lit(seed), F.lit(t)), F.lit(2**52)) + 0.5) / 2.0**52
+            far = rows.distinct().withColumn("__d", _nearest_square(columns, found)).filter("__d > 0").withColumn("__key", -F.log(u) / F.col("__d"))
+            # proven bound: some candidates a round
+            found += [[float(r[c]) for c in columns] for r in far.orderBy("__key", *columns).limit(OVERSAMPLED * k).collect()]
+        counts = {r["state"]: r["count"] for r in neuro.states(rows, columns, found).groupBy("state").count().collect()}
+        now = _first_centres(np.array(found), np.array([counts.get(i, 0) for i in range(len(found))], float), min(k, len(found)), seed)
+        for _ in range(steps):
+            sums = neuro.states(rows, columns, now.tolist()).groupBy("state").agg(F.count("*").alias("n"), *[F.sum(F.round(F.col(c) * unit).cast("long")).alias(c) for c in columns]).collect()
+            moved = now.copy()
+            for r in sums:
+                moved[r["state"]] = [r[c] / unit / r["n"] for c in columns]
+            far, now = float(np.abs(moved - now).max()), moved
+            if far <= tolerance * max(facts["top"], 1e-300):
+                break
+    return [[float(v) for v in c] for c in now]
 
 
 def _shares(features: DataFrame, columns: list[str], k: int) -> DataFrame:
     """Score of the shares of clusters, of each sequence and of all."""
-    features = features.dropna(subset=columns).persist()
+    features = features.dropna(subset=columns)
     empty = T.StructType([features.schema[SEQ], T.StructField("score", T.DoubleType()), T.StructField("weight", T.LongType())])
     if features.limit(2 * k).count() < 2 * k:
         return features.sparkSession.createDataFrame([], empty)
@@ -52,25 +116,21 @@ def latent_states(paired: DataFrame, values: list[str], occupancies: tuple[int,
     and projected on its three main directions; states are the nearest of the
     centres fitted on the ground truth.
     """
-    rows = sides(paired, values)
-    rows = rows.persist()
-    scale = linear.middles(rows.filter("side = 'gt'"), values)
-    scaled = rows.select("side", SEQ, TIME, *[((F.col(v) - scale[v][0]) / scale[v][1]).alias(v) for v in values])
-    n, mean, _, products = linear.moments(scaled.filter("side = 'gt'"), values, values)
-    vectors = np.linalg.eigh(products)[1][:, ::-1][:, :3]
-    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), range(vectors.shape[1])])
-    names = [f"z{j}" for j in range(vectors.shape[1])]
-    project = lambda j: sum(((F.col(v) - F.lit(float(m))) * F.lit(float(vectors[i, j])) for i, (v, m) in enumerate(zip(values, mean, strict=True))), F.lit(0.0))
-    latent = scaled.dropna(subset=values).select("side", SEQ, TIME, *[project(j).alias(z) for j, z in enumerate(names)]).persist()
-    scores = []
-    name = lambda df, metric: df.select(F.lit(metric).alias("metric"), F.col("score").alias("value"))
-    for k in sorted({*occupancies, moving}):
-        assigned = neuro.states(latent, names, centres(latent.filter("side = 'gt'"), names, k, seed=k))
-        if k in occupancies:
-            scores.append(name(neuro.histogram_similarity(neuro.occupancy(assigned, k)), f"LatentStateOccupancyK{k}_score"))
-        if k == moving:
-            scores += [name(neuro.histogram_similarity(neuro.transitions(assigned, k, lag)), f"LatentStateTransitionLag{lag}K{k}_score") for lag in lags]
-    out = scores[0]
-    for s in scores[1:]:
-        out = out.unionByName(s)
-    return out
+    with Kept(paired.sparkSession) as keep:
+        rows = keep(sides(paired, values))
+        scale = linear.middles(rows.filter("side = 'gt'"), values)
+        scaled = rows.select("side", SEQ, TIME, *[((F.col(v) - scale[v][0]) / scale[v][1]).alias(v) for v in values])
+        n, mean, _, products = linear.moments(scaled.filter("side = 'gt'"), values, values)
+        vectors = np.linalg.eigh(products)[1][:, ::-1][:, :3]
+        vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), range(vectors.shape[1])])
+        names = [f"z{j}" for j in range(vectors.shape[1])]
+        project = lambda j: sum(((F.col(v) - F.lit(float(m))) * F.lit(float(vectors[i, j])) for i, (v, m) in enumerate(zip(values, mean, strict=True))), F.lit(0.0))
+        latent = keep(scaled.dropna(subset=values).select("side", SEQ, TIME, *[project(j).alias(z) for j, z in enumerate(names)]))
+        scores: list[tuple[str, float | None]] = []
+        for k in sorted({*occupancies, moving}):
+            assigned = keep(neuro.states(latent, names, centres(latent.filter("side = 'gt'"), names, k, seed=k)).select("side", SEQ, TIME, "state"))
+            if k in occupancies:
+                scores.append((f"LatentStateOccupancyK{k}_score", neuro.histogram_similarity(neuro.occupancy(assigned, k)).first()["score"]))
+            if k == moving:
+                scores += [(f"LatentStateTransitionLag{lag}K{k}_score", neuro.histogram_similarity(neuro.transitions(assigned, k, lag)).first()["score"]) for lag in lags]
+    return paired.sparkSession.createDataFrame(scores, "metric string, value double")

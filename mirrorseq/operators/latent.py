@@ -16,7 +16,7 @@ from ..functions.quantiles import quantiles
 from ..functions.stats import correlation01, from_distance, norm
 from ..plans.align import SEQ, TIME, sides
 from .groupwise import _thinned
-from .linear import _row, moments, pooled_lead
+from .linear import _row, evenly, moments, pooled_lead
 
 _EPS = 1e-8
 #: Quantiles that a distribution is compared at, and weights.
@@ -223,12 +223,7 @@ def stratified_cloud(paired: DataFrame, values: list[str], per_sequence: int = 2
         return None
     rows = complete(paired, values)
     ids = rows.groupBy(SEQ).agg(F.count("*").alias("n")).filter(F.col("n") >= max(8, per_sequence + 1))
-    if ids.limit(most + 1).count() > most:
-        if isinstance(rows.schema[SEQ].dataType, T.NumericType):
-            picks = ids.agg(F.percentile_approx(SEQ, [i / (most - 1) for i in range(most)], 1_000_000).alias("p")).select(F.explode("p").alias(SEQ)).distinct()
-            ids = ids.join(F.broadcast(picks), SEQ)
-        else:
-            ids = ids.orderBy(F.xxhash64(SEQ), SEQ).limit(most)
+    ids = evenly(ids, most)
     at = F.row_number().over(Window.partitionBy("side", SEQ).orderBy(TIME)) - 1
     spaced = F.transform(F.sequence(F.lit(0), F.lit(per_sequence - 1)), lambda i: F.floor(i * (F.col("n") - 1) / max(1, per_sequence - 1)))
     z = projected(rows.join(F.broadcast(ids), SEQ), basis).withColumn("at", at).join(F.broadcast(ids), SEQ)

@@ -16,20 +16,76 @@ from ..functions.quantiles import quantiles
 from ..plans.align import SEQ, TIME
 
 
-def pooled_lead(df: DataFrame, columns: list[str], lag: int = 1) -> DataFrame:
+#: Ranges that a table of sequences is cut into where its order matters.
+RANGES = 64
+
+
+def _ranges(ids: DataFrame, ranges: int) -> list:
+    """At most ``ranges`` - 1 ids that cut the sorted ids (one a row) into
+    ranges of about equal size: quantiles of at most some 64 times as many ids,
+    those whose hashes are multiples of a number that follows from the count."""
+    n = ids.count()
+    every = max(1, n // (64 * ranges))
+    some = sorted(r[SEQ] for r in ids.filter(F.pmod(F.xxhash64(SEQ), F.lit(every)) == 0).select(SEQ).collect())
+    return sorted({some[i * len(some) // ranges] for i in range(1, ranges)}) if some else []
+
+
+def evenly(ids: DataFrame, most: int, ranges: int = RANGES) -> DataFrame:
+    """``most`` evenly spaced rows of ``ids`` in the order of their ids (a row
+    an id): those of rank floor(i (n - 1) / (most - 1)); all if there are no
+    more.  Ranks are counted within ranges of ids, and the ranges' sizes added.
+    """
+    n = ids.count()
+    if n <= most:
+        return ids
+    cuts = _ranges(ids, ranges)
+    place = sum((F.when(F.col(SEQ) >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    placed = ids.withColumn("__range", place)
+    sizes = {r["__range"]: r["count"] for r in placed.groupBy("__range").count().collect()}
+    before = np.concatenate([[0], np.cumsum([sizes.get(k, 0) for k in range(len(cuts))])])
+    rank = F.row_number().over(Window.partitionBy("__range").orderBy(SEQ)) - 1 + F.get(F.array(*[F.lit(int(b)) for b in before]), F.col("__range"))
+    wanted = sorted({i * (n - 1) // max(1, most - 1) for i in range(most)})
+    return placed.withColumn("__rank", rank).filter(F.col("__rank").isin(wanted)).select(*ids.columns)
+
+
+def following(heads: DataFrame, lag: int, ranges: int = RANGES) -> DataFrame:
+    """(sequenceId, __next): the first rows of the sequences after each one, as
+    far as ``lag`` rows may reach, from (sequenceId, __head).
+
+    Sequences are cut into ranges of ids.  A range is ordered on its own, and
+    only the first sequences of each range, at most ``lag`` of them, are handed
+    to the ranges before it, so no task orders all sequences.
+    """
+    cuts = _ranges(heads, ranges)
+    place = sum((F.when(F.col(SEQ) >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    placed = heads.withColumn("__range", place)
+    by = Window.partitionBy("__range").orderBy(SEQ)
+    own = placed.select(SEQ, "__range", F.flatten(F.collect_list("__head").over(by.rowsBetween(1, lag))).alias("__own"))
+    firsts = placed.withColumn("__k", F.row_number().over(by)).filter(F.col("__k") <= lag)
+    firsts = firsts.groupBy("__range").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__head"))), lambda x: x["__head"])).alias("__first"))
+    # at most ``ranges`` rows: those after each range, in order
+    table = {r["__range"]: r["__first"] for r in firsts.collect()}
+    later: dict[int, list] = {}
+    for k in range(len(cuts) + 1):
+        later[k] = [x for j in range(k + 1, len(cuts) + 1) for x in table.get(j, [])][:lag]
+    schema = T.StructType([T.StructField("__range", T.IntegerType()), T.StructField("__after", heads.schema["__head"].dataType)])
+    after = heads.sparkSession.createDataFrame([(k, v) for k, v in later.items()], schema)
+    return own.join(F.broadcast(after), "__range").select(SEQ, F.concat("__own", "__after").alias("__next"))
+
+
+def pooled_lead(df: DataFrame, columns: list[str], lag: int = 1, ranges: int = RANGES) -> DataFrame:
     """Adds ``<column>_later``: the value ``lag`` rows on in the order of
     sequence and time, across the borders of sequences.
 
     A sequence looks ahead in its own rows; its last ones meet the first rows
-    of the next sequences that hold enough of them.  Only the table of
-    sequences is ordered as a whole.
+    of the next sequences that hold enough of them, see :func:`following`.
     """
     own = Window.partitionBy(SEQ).orderBy(TIME)
     at = df.withColumn("__at", F.row_number().over(own)).withColumn("__n", F.count("*").over(Window.partitionBy(SEQ)))
-    heads = at.filter(F.col("__at") <= lag).groupBy(SEQ).agg(F.sort_array(F.collect_list(F.struct("__at", *columns))).alias("__head"))
-    ahead = Window.orderBy(SEQ).rowsBetween(1, lag)
-    follows = heads.select(SEQ, F.flatten(F.collect_list("__head").over(ahead)).alias("__next"))
+    heads = at.filter(F.col("__at") <= lag).groupBy(SEQ).agg(F.sort_array(F.collect_list(F.struct("__at", *columns))).alias("__head")).persist()
+    follows = following(heads, lag, ranges)
     led = at.select("*", *[F.lead(c, lag).over(own).alias(f"__{c}") for c in columns]).join(follows, SEQ)
+    heads.unpersist()
     border = F.get("__next", F.col("__at") + lag - F.col("__n") - 1)
     inside = F.col("__at") + lag <= F.col("__n")
     later = [F.when(inside, F.col(f"__{c}")).otherwise(border[c]).alias(f"{c}_later") for c in columns]
@@ -101,11 +157,11 @@ def _row(spark: SparkSession, **values: float) -> DataFrame:
     return spark.createDataFrame([tuple(None if v is None or v != v else float(v) for v in values.values())], schema)
 
 
-def subspace_angle(paired: DataFrame, values: list[str]) -> DataFrame:
+def subspace_angle(paired: DataFrame, values: list[str], share: float = 0.85) -> DataFrame:
     """Mean squared cosine of the angles between both principal subspaces, with
     the effective dimension of either side."""
     covariances = [shrunk_covariance(robust(_side(paired, values, s), values), values) for s in ("gt", "inf")]
-    a, b = map(basis, covariances)
+    a, b = (basis(c, share) for c in covariances)
     k = min(a.shape[1], b.shape[1])
     dimension = [np.trace(c) ** 2 / (c**2).sum() / len(values) for c in covariances]
     return _row(paired.sparkSession, score=((a[:, :k].T @ b[:, :k]) ** 2).sum() / k, dimension_gt=dimension[0], dimension_inf=dimension[1])

@@ -73,9 +73,9 @@ def precision_scores(paired: DataFrame, values: list[str]) -> DataFrame:
     return paired.sparkSession.createDataFrame([(k, None if v is None else float(v)) for k, v in rows.items()], "metric string, value double")
 
 
-def spectrum_shape(paired: DataFrame, values: list[str]) -> DataFrame:
+def spectrum_shape(paired: DataFrame, values: list[str], size: int = 256) -> DataFrame:
     """PSDShape: mean power spectra of both sides, compared in logarithms."""
-    mean = groupwise.band_power(paired, values, least=32).groupBy("frequency").agg(F.avg("gt").alias("gt"), F.avg("inf").alias("inf"))
+    mean = groupwise.band_power(paired, values, size, least=32).groupBy("frequency").agg(F.avg("gt").alias("gt"), F.avg("inf").alias("inf"))
     log = lambda c: F.log(F.col(c) + _EPS)
     parts = mean.agg(correlation01(log("gt"), log("inf")).alias("c"), rmse_similarity(F.col("gt"), F.col("inf")).alias("r"))
     return parts.select(F.when(F.col("c").isNull(), F.col("r")).otherwise(0.55 * F.col("c") + 0.45 * F.col("r")).alias("score"))

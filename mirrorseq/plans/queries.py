@@ -79,9 +79,13 @@ def overlap_ratio(spark, sf_dir):
     return _rounded(align.overlap(gt, frames.predictions(gt)))
 
 
-@query("SELECT seq AS sequenceId, t AS itemPosition, round(r1_gt, 6) AS r1_gt, round(r1_inf, 6) AS r1_inf, round(r3_gt, 6) AS r3_gt, round(r3_inf, 6) AS r3_inf FROM paired")
+@query("SELECT seq AS \"sequenceId\", count(*) AS n, min(t) AS first, max(t) AS last, " + ", ".join(f"round(sum({v}_{s}), 5) AS {v}_{s}" for v in R for s in ("gt", "inf")) + ", round(sum(r1_gt * r1_inf), 4) AS product FROM paired GROUP BY seq")
 def align_inner_join(spark, sf_dir):
-    return _rounded(frames.paired(spark, sf_dir).select(SEQ, TIME, "r1_gt", "r1_inf", "r3_gt", "r3_inf"))
+    """The join of both sides on sequence and time, checked by what each
+    sequence keeps of it."""
+    rows = frames.paired(spark, sf_dir)
+    sums = [F.round(F.sum(f"{v}_{s}"), 5).alias(f"{v}_{s}") for v in R for s in ("gt", "inf")]
+    return rows.groupBy(SEQ).agg(F.count("*").alias("n"), F.min(TIME).alias("first"), F.max(TIME).alias("last"), *sums, F.round(F.sum(F.col("r1_gt") * F.col("r1_inf")), 4).alias("product"))
 
 
 @query("SELECT seq AS \"sequenceId\", count(*) AS n FROM paired GROUP BY 1")
@@ -410,15 +414,51 @@ def mi_score(spark, sf_dir):
     return _rounded(groupwise.mi_score(frames.paired(spark, sf_dir), R))
 
 
-@query()
+#: Windows of 256 rows, half overlapping; sums of the values times cosines and
+#: sines give the spectrum.
+_SPECTRA = """+ c AS (SELECT seq, region, row_number() OVER (PARTITION BY seq, region ORDER BY t) - 1 AS place, count(*) OVER (PARTITION BY seq, region) AS n, g, i FROM cells
+), z AS (SELECT *, least(256, n) AS size, least(256, n) - least(256, n) // 2 AS step FROM c WHERE n >= 64
+), w AS (SELECT seq, region, size, k AS win, place - k * step AS p, g, i FROM z, range(0, 40) r(k) WHERE k <= (n - size) // step AND place BETWEEN k * step AND k * step + size - 1
+), m AS (SELECT seq, region, size, win, p, g - avg(g) OVER o AS g, i - avg(i) OVER o AS i, 0.5 - 0.5 * cos(2 * pi() * p / size) AS h FROM w WINDOW o AS (PARTITION BY seq, region, win)
+), f AS (SELECT seq, region, win, size, freq, sum(g * h * cos(2 * pi() * freq * p / size)) AS gc, sum(g * h * sin(2 * pi() * freq * p / size)) AS gs, sum(i * h * cos(2 * pi() * freq * p / size)) AS ic, sum(i * h * sin(2 * pi() * freq * p / size)) AS ii
+  FROM m, range(1, 129) s(freq) WHERE freq <= size // 2 GROUP BY ALL
+), e AS (SELECT seq, region, freq, avg((gc ** 2 + gs ** 2) * CASE WHEN 2 * freq = size THEN 1 ELSE 2 END) AS g, avg((ic ** 2 + ii ** 2) * CASE WHEN 2 * freq = size THEN 1 ELSE 2 END) AS i FROM f GROUP BY ALL
+), s AS (SELECT seq, region, freq, g / sum(g) OVER o AS g, i / sum(i) OVER o AS i FROM e WINDOW o AS (PARTITION BY seq, region)
+), a AS (SELECT freq, avg(g) AS g, avg(i) AS i FROM s GROUP BY freq)"""
+
+
+@query(_SPECTRA + """, b AS (SELECT g / sum(g) OVER () AS g, i / sum(i) OVER () AS i, sum(g) OVER (ORDER BY freq) / sum(g) OVER () AS c FROM a)
+SELECT round(1 - 0.5 * sum(abs(g - i)), 6) AS score FROM (SELECT CASE WHEN c <= 1 / 3 THEN 0 WHEN c <= 2 / 3 THEN 1 ELSE 2 END AS band, sum(g) AS g, sum(i) AS i FROM b GROUP BY band)""")
 def bandpower(spark, sf_dir):
     return _rounded(groupwise.band_power_score(frames.paired(spark, sf_dir), R))
 
 
-@query()
+@query(_SPECTRA + " SELECT freq::INT AS frequency, round(g, 6) AS gt, round(i, 6) AS inf FROM a")
+def spectra(spark, sf_dir):
+    """Mean shares of power by frequency."""
+    shares = groupwise.band_power(frames.paired(spark, sf_dir), R)
+    return _rounded(shares.groupBy("frequency").agg(F.avg("gt").alias("gt"), F.avg("inf").alias("inf")))
+
+
+#: The main direction of two traces lies at half the angle of their covariance.
+_LEAD_LAG = """+ z AS (SELECT side, seq, t, r3 - avg(r3) OVER o AS x, r4 - avg(r4) OVER o AS y, coalesce(sqrt(dx * dx + dy * dy), 0) AS speed, row_number() OVER (PARTITION BY side, seq ORDER BY t) AS k, count(*) OVER o AS n FROM moves WINDOW o AS (PARTITION BY side, seq)
+), d AS (SELECT side, seq, cos(a) AS u, sin(a) AS v FROM (SELECT side, seq, 0.5 * atan2(2 * sum(x * y), sum(x * x) - sum(y * y)) AS a FROM z GROUP BY ALL)
+), m AS (SELECT z.side, z.seq, k, speed, (x * u + y * v) * sign(CASE WHEN abs(u) >= abs(v) THEN u ELSE v END) AS main FROM z JOIN d ON z.side = d.side AND z.seq = d.seq WHERE n >= 33
+), c AS (SELECT a.side, a.seq, a.k - b.k AS lag, corr(a.main, b.speed) AS r FROM m a JOIN m b ON a.side = b.side AND a.seq = b.seq AND abs(a.k - b.k) <= 30 GROUP BY ALL
+), l AS (SELECT lag::INT AS lag, avg(r) FILTER (side = 'gt') AS gt, avg(r) FILTER (side = 'inf') AS inf FROM c GROUP BY lag)"""
+
+
+@query(_LEAD_LAG + " SELECT lag, round(gt, 6) AS gt, round(inf, 6) AS inf FROM l")
+def lead_lag_curve(spark, sf_dir):
+    rows = frames.paired(spark, sf_dir)
+    both = rows.select("*", *[F.col(f"{r}_{s}").alias(f"CENTER_{a}_{s}") for r, a in (("r1", "X"), ("r2", "Y")) for s in ("gt", "inf")])
+    return _rounded(groupwise.lead_lag(both, ["r3", "r4"]))
+
+
+@query(_LEAD_LAG + ", p AS (SELECT arg_max(lag, {'r': abs(gt), 'l': -lag}) AS gt, arg_max(lag, {'r': abs(inf), 'l': -lag}) AS inf FROM l) SELECT gt, inf, round(1 - least(1, abs(gt - inf) / 30), 6) AS score FROM p")
 def lead_lag(spark, sf_dir):
     rows = frames.paired(spark, sf_dir)
-    both = rows.join(frames.pose(rows).select(SEQ, TIME, *[f"CENTER_{a}_{s}" for a in "XY" for s in ("gt", "inf")]), [SEQ, TIME])
+    both = rows.select("*", *[F.col(f"{r}_{s}").alias(f"CENTER_{a}_{s}") for r, a in (("r1", "X"), ("r2", "Y")) for s in ("gt", "inf")])
     return _rounded(groupwise.lead_lag_score(groupwise.lead_lag(both, ["r3", "r4"])))
 
 
@@ -557,9 +597,13 @@ def sliding_states(spark, sf_dir):
     return _rounded(structure.sliding_states(frames.paired(spark, sf_dir), R))
 
 
-@query("SELECT p.seq AS \"sequenceId\", p.t AS \"itemPosition\", " + ", ".join(f"round(({v}_{s} - m_{v}) / s_{v}, 6) AS {v}_{s}" for s in ("gt", "inf") for v in R) + " FROM paired p, (SELECT " + ", ".join(f"avg({v}_gt) AS m_{v}, stddev_pop({v}_gt) AS s_{v}" for v in R) + " FROM paired)")
+@query("SELECT seq AS \"sequenceId\", count(*) AS n, " + ", ".join(f"round(avg(({v}_{s} - m_{v}) / s_{v}), 6) AS {v}_{s}, round(stddev_pop(({v}_{s} - m_{v}) / s_{v}), 6) AS spread_{v}_{s}" for s in ("gt", "inf") for v in R) + " FROM paired p, (SELECT " + ", ".join(f"avg({v}_gt) AS m_{v}, stddev_pop({v}_gt) AS s_{v}" for v in R) + " FROM paired) GROUP BY seq")
 def standardised(spark, sf_dir):
-    return _rounded(structure.standardised(frames.paired(spark, sf_dir), R))
+    """Rows in units of the ground truth, checked by each sequence's mean and
+    deviation."""
+    rows = structure.standardised(frames.paired(spark, sf_dir), R)
+    names = [f"{v}_{s}" for s in ("gt", "inf") for v in R]
+    return _rounded(rows.groupBy(SEQ).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in names], *[F.stddev_pop(c).alias(f"spread_{c}") for c in names]))
 
 
 _QS = [0.001, 0.1, 0.25, 0.5, 0.9, 0.999]
@@ -620,9 +664,11 @@ def report_embedding(spark, sf_dir):
     return _rounded(reports.embedding(frames.paired(spark, sf_dir), R))
 
 
-@query()
+@query("+ o AS (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT seq FROM paired)) SELECT seq AS \"sequenceId\", t AS \"itemPosition\", region, round(g, 9) AS gt, round(i, 9) AS inf FROM cells JOIN o USING (seq) WHERE k IN (0, (n - 1) // 3, 2 * (n - 1) // 3, n - 1)")
 def report_traces(spark, sf_dir):
-    return _rounded(reports.traces(frames.paired(spark, sf_dir), R))
+    """Values have up to seven decimals, so they are rounded beyond those."""
+    rows = reports.traces(frames.paired(spark, sf_dir), R)
+    return rows.select(SEQ, TIME, "region", *[(F.round(s, 9) + 0.0).alias(s) for s in ("gt", "inf")])
 
 
 def _matrix(spark: SparkSession, cells: dict[tuple[str, ...], float], names: list[str]) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.quantiles import quantiles
+from ..functions.shared import Kept
 from ..functions.stats import bin_of
-from ..operators import etho, latent, movement
+from ..operators import etho, latent, linear, movement, rollup
+from ..operators.embedding import embed
 from ..operators.groupwise import _thinned
 from .align import KEYS, SEQ, long_form, sides
 
@@ -24,11 +25,7 @@ def _binned(rows: DataFrame, value: str, by: list[str], ends: DataFrame, bins: i
 
 def traces(paired: DataFrame, values: list[str], sequences: int = 4) -> DataFrame:
     """Long form of evenly spaced sequences."""
-    ids = paired.select(SEQ).distinct()
-    if isinstance(paired.schema[SEQ].dataType, T.NumericType):
-        picks = ids.agg(F.percentile_approx(SEQ, [i / (sequences - 1) for i in range(sequences)], 1_000_000).alias("p")).select(F.explode("p").alias(SEQ)).distinct()
-    else:
-        picks = ids.orderBy(F.xxhash64(SEQ), SEQ).limit(sequences)
+    picks = linear.evenly(paired.select(SEQ).distinct(), sequences)
     return long_form(paired.join(F.broadcast(picks), SEQ), values)
 
 
@@ -39,15 +36,57 @@ def region_histograms(paired: DataFrame, values: list[str], bins: int = 59, trim
     return _binned(cells, "v", ["region"], ends, bins)
 
 
-def embedding(paired: DataFrame, values: list[str], most: int = 3000) -> DataFrame:
-    """(side, keys, e0, e1): at most ``most`` rows a side in the two main
-    directions of the ground truth."""
+def embedding(paired: DataFrame, values: list[str], most: int | None = 3000, method: str = "neighbours") -> DataFrame:
+    """(side, keys, e0, e1): at most ``most`` rows a side (None: all rows) in the
+    plane.
+
+    method: ``neighbours`` lays out the graph of nearest neighbours of the
+    standardised rows, from the two main directions of the ground truth on;
+    ``components`` gives these directions themselves.
+    """
     basis = latent.gt_basis(paired, values, 2, least=2)
     if basis is None or basis.k < 2:
         return sides(paired, values).limit(0).select("side", *KEYS, F.lit(0.0).alias("e0"), F.lit(0.0).alias("e1"))
-    z = latent.projected(paired, basis)
-    every = _thinned(z.filter("side = 'gt'"), most).unionByName(_thinned(z.filter("side = 'inf'"), most))
-    return every.select("side", *KEYS, F.col("z0").alias("e0"), F.col("z1").alias("e1"))
+    rows = sides(latent.complete(paired, values), values)
+    z = rows.select("side", *KEYS, F.array(*[basis.standardised(v, i) for i, v in enumerate(values)]).alias("p"), basis.projection(0).alias("e0"), basis.projection(1).alias("e1"))
+    every = z if most is None else _thinned(z.filter("side = 'gt'"), most).unionByName(_thinned(z.filter("side = 'inf'"), most))
+    if method == "components":
+        return every.drop("p")
+    with Kept(paired.sparkSession) as keep:
+        held = keep(every.withColumn("id", F.xxhash64("side", *KEYS)))
+        places = embed(held.select("id", "p"), held.select("id", "e0", "e1"), keep)
+        return keep.result(held.select("side", *KEYS, "id").join(places, "id").select("side", *KEYS, "e0", "e1"))
+
+
+def dose_figures(scores: DataFrame, oracle: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The data of the dose-response lines and of the heat map of drops, from
+    score records (perturbation, level, metric, value): ``dose`` has the mean of
+    each point, ``heat`` a row a perturbation and a column a metric.
+
+    oracle: the records that drops are measured from; those of level 0 else.
+    """
+    drops = rollup.selectivity(scores, scores.filter("level = 0") if oracle is None else oracle)
+    metrics = sorted(r["metric"] for r in drops.select("metric").distinct().collect())  # a name a metric
+    heat = drops.groupBy("perturbation").pivot("metric", metrics).agg(F.first("drop")) if metrics else drops.select("perturbation")
+    return {"dose": rollup.dose_response(scores), "heat": heat}
+
+
+def scenario_tables(records: DataFrame) -> dict[str, DataFrame]:
+    """Tables of scenario score records (scenario_name, scenario_group,
+    noise_sigma, metric, value).
+
+    ``results``: a row a scenario with a column a metric; ``monotonicity``: how
+    each group's mean scores fall with the noise; ``saturation``: shares of
+    scores at or above .90 and .95 in each group; ``summary``: mean and spread
+    in each group.
+    """
+    metrics = sorted(r["metric"] for r in records.select("metric").distinct().collect())  # a name a metric
+    keys = ["scenario_name", "scenario_group", "noise_sigma"]
+    results = records.groupBy(*keys).pivot("metric", metrics).agg(F.avg("value")) if metrics else records.select(*keys).distinct()
+    as_doses = records.filter("noise_sigma is not null").select(F.col("scenario_group").alias("perturbation"), F.col("noise_sigma").alias("level"), "metric", "value")
+    falls = rollup.monotonicity(as_doses).withColumnRenamed("perturbation", "scenario_group")
+    by = ["scenario_group", "metric"]
+    return {"results": results, "monotonicity": falls, "saturation": rollup.saturation(records, by), "summary": rollup.spread(records, by)}
 
 
 def load_stats(gt: DataFrame, pred: DataFrame) -> DataFrame:
@@ -88,8 +127,6 @@ def cross_bars(scores: DataFrame) -> DataFrame:
 
 
 def neuro_report(paired: DataFrame, values: list[str], scores: DataFrame) -> dict[str, DataFrame]:
-    from ..operators import rollup
-
     return {"traces": traces(paired, values), "histograms": region_histograms(paired, values), "embedding": embedding(paired, values), "metrics": rollup.metric_table(scores), "families": rollup.family_table(scores)}
 
 

@@ -88,13 +88,21 @@ def load_pairs(spark: SparkSession, gt_path: str, pred_path: str, sequence_key:
     return tagged(both[0], sequence_key), tagged(both[1], sequence_key)
 
 
-def legacy_positions(df: DataFrame, sequence_key: str = SEQ) -> DataFrame:
-    """Adds the position of each row in its sequence, in the order of the file.
+def in_file_order(df: DataFrame, out: str = "__at") -> DataFrame:
+    """``df``, which must be read from text files, with ``out``, which orders its
+    rows as they stand in their files.
 
-    ``df`` must come from one file read in one partition, as only there the
-    order of rows is known.
+    A file may be read in many splits, in any tasks: rows are ordered by file,
+    by where their split begins, and within a split by how they were read.
     """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return df.select("*", place.alias(out))
+
+
+def legacy_positions(df: DataFrame, sequence_key: str = SEQ) -> DataFrame:
+    """Adds the position of each row in its sequence, in the order of the file
+    that ``df`` was read from; the first column is the sequence's id."""
     first, *rest = df.columns
-    named = df.coalesce(1).withColumn("__at", F.monotonically_increasing_id()).withColumnRenamed(first, sequence_key)
+    named = in_file_order(df).withColumnRenamed(first, sequence_key)
     at = F.row_number().over(Window.partitionBy(sequence_key).orderBy("__at")) - 1
     return named.withColumn(TIME, at.cast("long")).select(sequence_key, TIME, *rest)

@@ -34,6 +34,19 @@ def write_tables(tables: dict[str, DataFrame], folder: str, metadata: dict | Non
         some.createDataFrame([(json.dumps(_plain(metadata)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/metadata.json")
 
 
+def write_scenarios(tables: dict[str, DataFrame], folder: str) -> Path:
+    """Scenario tables as CSV folders, the results as JSON records too, and
+    ``diagnostics.json`` with what the other tables say of each group and metric
+    (a row each)."""
+    write_tables(tables, folder)
+    tables["results"].write.mode("overwrite").json(f"{folder}/results.json")
+    found: dict = {}
+    for name in ("monotonicity", "saturation", "summary"):
+        for r in tables[name].collect():
+            found.setdefault(str(r["scenario_group"]), {}).setdefault(r["metric"], {})[name] = {k: v for k, v in r.asDict().items() if k not in ("scenario_group", "metric")}
+    return write_json(found, Path(folder) / "diagnostics.json")
+
+
 def write_frame(df: DataFrame, path: str, form: str = "csv") -> None:
     """A sequence frame, as it can be loaded again."""
     df.write.mode("overwrite").option("header", True).format(form).save(path)
