@@ -48,7 +48,7 @@ def chosen_config(given: str | None, ask=input) -> str | None:
         print(f"  [{k}] {name}")
     try:
         answer = ask("configuration file: ").strip()
-    except EOFError:
+    except (EOFError, OSError):  # nobody to ask
         answer = ""
     if answer.isdigit() and 0 < int(answer) <= len(found):
         return found[int(answer) - 1]
