@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,17 +71,30 @@ def shingle_array(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose sets have the Jaccard similarity.
+    """The pairs (a, b) of ``pairs`` whose sets have the Jaccard similarity."""
+    left, right = sets.select(F.col("h").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("h").alias("b"), F.col("grams").alias("gb"))
+    both = F.size(F.array_intersect("ga", "gb"))
+    return pairs.join(left, "a").join(right, "b").filter(both / (F.size("ga") + F.size("gb") - both) >= similar - 1e-12).select("a", "b")
+
 
-    Lengths are compared before the second join, so grams move for the pairs
-    that can be similar alone.
+def facts(sets: DataFrame) -> DataFrame:
+    """(h, n, bits): number of grams of each set, and 256 bits, of which a gram
+    turns one over.
+
+    Two sets that differ in d grams differ in at most d bits (Sandes et al.,
+    2020), so pairs whose bits differ in too many places aren't similar, and
+    their grams need not meet.
     """
-    sized = sets.select("h", F.size("grams").alias("n"), "grams")
-    left, right = sized.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga")), sized.select(F.col("h").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    fits = F.least("na", "nb") >= similar * F.greatest("na", "nb") - 1e-9
-    likely = pairs.join(sized.select(F.col("h").alias("a"), F.col("n").alias("na")), "a").join(sized.select(F.col("h").alias("b"), F.col("n").alias("nb")), "b").filter(fits).select("a", "b")
-    both = F.size(F.array_intersect("ga", "gb"))
-    return likely.join(left, "a").join(right, "b").filter(both / (F.col("na") + F.col("nb") - both) >= similar - 1e-12).select("a", "b")
+    one = lambda j: F.aggregate("grams", F.lit(0).cast("long"), lambda x, g: F.when(F.shiftright(g, 6).bitwiseAND(F.lit(3)) == j, x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), g.bitwiseAND(F.lit(63)).cast("int")))).otherwise(x))
+    return sets.select("h", F.size("grams").alias("n"), F.array(*[one(j) for j in range(4)]).alias("bits"))
+
+
+def _may_be(a: str, b: str, similar: float) -> Column:
+    """Whether the sets of the columns n<a>, bits<a> and n<b>, bits<b> can have
+    the similarity: neither length nor bits say no."""
+    na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+    differ = sum((F.bit_count(F.get(f"bits{a}", F.lit(j)).bitwiseXOR(F.get(f"bits{b}", F.lit(j)))) for j in range(4)), F.lit(0))
+    return (F.least(na, nb) >= similar * F.greatest(na, nb) - 1e-9) & (differ <= (1 - similar) / (1 + similar) * (na + nb) + 1e-9)
 
 
 def shared_bands(members: DataFrame) -> DataFrame:
@@ -104,15 +117,17 @@ def links(members: DataFrame, sets: DataFrame, similar: float = SIMILAR, pairwis
     hold several components, all pairs of different components meet by their
     prefixes, be they near a hub or not, see :func:`across`.
     """
+    known = stored(facts(sets))
     reach = members.groupBy("h").agg(F.sum("size").alias("reach"))
     large = stored(members.filter(F.col("size") > pairwise).select("key", "h").join(reach, "h"))
     if large.isEmpty():
-        return _near_pairs_of(members.select("key", "h", F.col("h").alias("root")), sets, similar)
+        return _near_pairs_of(members.select("key", "h", F.col("h").alias("root")), known, sets, similar)
     rest, stars = large, None
     for _ in range(_HUBS):
         hubs = stored(rest.groupBy("key").agg(F.max_by("h", F.struct("reach", "h")).alias("a")))
-        tried = rest.join(F.broadcast(hubs) if hubs.count() <= _FEW_BANDS else hubs, "key").filter("a <> h").select("a", F.col("h").alias("b"))
-        near = stored(verified(tried.distinct(), sets, similar).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        tried = rest.join(F.broadcast(hubs) if hubs.count() <= _FEW_BANDS else hubs, "key").filter("a <> h").select("a", F.col("h").alias("b")).distinct()
+        tried = tried.join(_of("a", known), "a").join(_of("b", known), "b").filter(_may_be("a", "b", similar)).select("a", "b")
+        near = stored(verified(tried, sets, similar).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         stars = near if stars is None else stars.unionByName(near)
         met = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(hubs, "a").select("key", F.col("b").alias("h"))
         rest = stored(rest.join(met.unionByName(hubs.select("key", F.col("a").alias("h"))).distinct(), ["key", "h"], "left_anti"))
@@ -120,23 +135,29 @@ def links(members: DataFrame, sets: DataFrame, similar: float = SIMILAR, pairwis
             break
     roots = stored(components(stars).select(F.col("node").alias("h"), "root"))
     rooted = stored(members.join(roots, "h", "left").select("key", "h", "size", F.coalesce("root", "h").alias("root")))
-    edges = stars.unionByName(_near_pairs_of(rooted.filter(F.col("size") <= pairwise), sets, similar))
+    edges = stars.unionByName(_near_pairs_of(rooted.filter(F.col("size") <= pairwise), known, sets, similar))
     labelled = rooted.filter(F.col("size") > pairwise)
     ends = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
     apart = stored(labelled.join(ends.select("key"), "key", "left_semi").select("h", "root").distinct())
     if apart.isEmpty():
         return edges
-    return edges.unionByName(stored(verified(across(apart, sets, similar), sets, similar)))
+    return edges.unionByName(stored(verified(across(apart, known, sets, similar), sets, similar)))
+
+
+def _of(x: str, known: DataFrame) -> DataFrame:
+    """The facts of the sets, under the name x."""
+    return known.select(F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
 
 
-def _near_pairs_of(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+def _near_pairs_of(members: DataFrame, known: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """Edges between the members (key, h, root) of a band that have different roots."""
-    left, right = (members.select("key", F.col("h").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b")
-    return stored(verified(stored(pairs.distinct()), sets, similar))
+    told = members.join(known, "h")
+    left, right = (told.select("key", *[F.col(c).alias(x if c == "h" else f"{c}{x}") for c in ("h", "root", "n", "bits")]) for x in "ab")
+    pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & _may_be("a", "b", similar)).select("a", "b")
+    return stored(verified(pairs.distinct(), sets, similar))
 
 
-def across(parts: DataFrame, sets: DataFrame, similar: float = SIMILAR, block: int = BLOCK) -> DataFrame:
+def across(parts: DataFrame, known: DataFrame, sets: DataFrame, similar: float = SIMILAR, block: int = BLOCK) -> DataFrame:
     """Candidate pairs (a, b) of the sets (h, root) of different roots; no pair
     of the similarity is missing.
 
@@ -146,7 +167,7 @@ def across(parts: DataFrame, sets: DataFrame, similar: float = SIMILAR, block: i
     too few grams can follow is no candidate, so copies that differ in grams of
     their own don't meet over what all of them share.  Grams that one root has
     alone are left out before the join, so a group of copies doesn't meet
-    itself, and a gram of many sets is dealt to one task for each ``block`` of
+    itself, pairs whose bits differ in too many places are none (:func:`facts`), and a gram of many sets is dealt to one task for each ``block`` of
     them.
     """
     each = parts.join(sets, "h").select("h", "root", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
@@ -154,10 +175,10 @@ def across(parts: DataFrame, sets: DataFrame, similar: float = SIMILAR, block: i
     ordered = each.join(counted, "gram", "left").groupBy("h", "root", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "gram", F.coalesce("open", F.lit(False)).alias("open")))).alias("o"))
     length = (F.col("n") - F.ceil(similar * F.col("n") - 1e-9) + 1).cast("int")
     prefix = ordered.select("h", "root", "n", F.posexplode(F.slice("o", F.lit(1), length)).alias("at", "g")).filter("g.open").select("h", "root", "n", "at", "g.gram", F.ceil(F.col("g.f") / block).cast("int").alias("salts"))
-    prefix = stored(prefix)
-    dealt = prefix.select("gram", F.pmod(F.xxhash64("h"), F.col("salts")).cast("int").alias("salt"), F.col("h").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ix"))
-    whole = prefix.select("gram", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("h").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("at").alias("iy"))
+    prefix = stored(prefix.join(known.select("h", "bits"), "h"))
+    dealt = prefix.select("gram", F.pmod(F.xxhash64("h"), F.col("salts")).cast("int").alias("salt"), F.col("h").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ix"), F.col("bits").alias("bitsx"))
+    whole = prefix.select("gram", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("h").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("at").alias("iy"), F.col("bits").alias("bitsy"))
     left_over = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
     enough = left_over >= similar / (1 + similar) * (F.col("nx") + F.col("ny")) - 1e-9
-    fits = (F.col("rx") < F.col("ry")) & (F.least("nx", "ny") >= similar * F.greatest("nx", "ny") - 1e-9) & enough
+    fits = (F.col("rx") < F.col("ry")) & enough & _may_be("x", "y", similar)
     return dealt.join(whole, ["gram", "salt"]).filter(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

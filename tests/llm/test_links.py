@@ -87,7 +87,7 @@ def test_a_gram_of_many_sets_is_dealt(spark):
         sets[k], sets[k + 1] = frozenset([1, *own]), frozenset([1, *own[:-1], 9_000_000 + k])
     df = spark.createDataFrame([(h, sorted(g)) for h, g in sets.items()], "h long, grams array<long>")
     parts = df.select("h", F.col("h").alias("root"))
-    got = {(r.a, r.b) for r in similar.across(parts, df, block=7).collect()}
+    got = {(r.a, r.b) for r in similar.across(parts, similar.facts(df), df, block=7).collect()}
     assert {(a, b) for a, b in all_pairs(sets)} <= got and len(got) < 1000
 
 
@@ -133,3 +133,18 @@ def _mins(words):
     for k in range(paragraphs.SHINGLE):
         grams += hashed[k : n - paragraphs.SHINGLE + 1 + k] * paragraphs._MIX[k]
     return [paragraphs._mixed(grams, b).min().view(np.int64) for b in range(paragraphs.BANDS)]
+
+
+def test_bits_never_turn_similar_sets_away(spark):
+    g = random.Random(4)
+    rows = []
+    for k in range(3000):
+        a = {g.getrandbits(63) - 2**62 for _ in range(g.choice([1, 5, 30, 200]))}
+        b = set(g.sample(sorted(a), max(1, round(len(a) * g.choice([1, 0.95, 0.9, 0.85, 0.5]))))) | {g.getrandbits(62) for _ in range(g.choice([0, 0, 1, 3, 20]))}
+        rows += [(2 * k, sorted(a)), (2 * k + 1, sorted(b))]
+    known = similar.facts(spark.createDataFrame(rows, "h long, grams array<long>"))
+    pairs = spark.range(3000).select((2 * F.col("id")).alias("a"), (2 * F.col("id") + 1).alias("b"))
+    kept = {r.a for r in pairs.join(similar._of("a", known), "a").join(similar._of("b", known), "b").filter(similar._may_be("a", "b", 0.8)).collect()}
+    sets = {h: set(s) for h, s in rows}
+    near = {2 * k for k in range(3000) if len(sets[2 * k] & sets[2 * k + 1]) >= 0.8 * len(sets[2 * k] | sets[2 * k + 1])}
+    assert near <= kept and 300 < len(near) and len(kept) < 1.2 * len(near) + 200
