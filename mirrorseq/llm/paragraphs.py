@@ -278,6 +278,22 @@ def _merged(spans: DataFrame) -> DataFrame:
     return runs.groupBy("id", "th", "run").agg(F.min("at").alias("at"), (F.max(F.col("at") + F.col("n")) - F.min("at")).alias("n"), all_of("classes"), all_of("kept_in")).drop("run")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(id, th, v): the texts of the ids that have several, numbered from 0."""
+    texts = rows.filter("id is not null").select("id", "th").distinct()
+    several = texts.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    return texts.join(several, "id", "left_semi").withColumn("v", F.row_number().over(Window.partitionBy("id").orderBy("th")) - 1)
+
+
+def _with_number(rows: DataFrame, numbered: DataFrame) -> DataFrame:
+    """``rows`` with the number of the text among those of its id as ``th``, 0
+    for all ids with one text: a hash of eight bytes in each of many rows is
+    most of what these rows weigh.  ``numbered`` is stored and mostly empty, so
+    its known size decides how it is joined."""
+    told = rows.join(numbered, ["id", "th"], "left").withColumn("th", F.coalesce("v", F.lit(0)))
+    return told.select(*rows.columns)
+
+
 def band_members(distinct: DataFrame) -> DataFrame:
     """(key, h, size, hub) of distinct paragraphs that share one of the bands."""
     from .similar import shared_bands
@@ -309,6 +325,9 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", similar:
 
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     scanned = stored(_scanned(docs))
+    numbered = stored(_numbered(scanned))
+    scanned = _with_number(scanned.withColumn("text_hash", F.col("th")), numbered)
+    docs = _with_number(docs, numbered)
     cut = scanned.select("id", "th", F.inline("paragraphs"))
     distinct = stored(cut.groupBy("h").agg(*[F.min(m).alias(m) for m in _MINS], F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("rows")))
     members = stored(band_members(distinct))
@@ -334,8 +353,8 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", similar:
     spans = runs.groupBy("id", "th", "run").agg(F.min("at").alias("at"), (F.max(F.col("at") + F.col("n")) - F.min("at")).alias("n"), F.collect_set("root").alias("classes"), F.collect_set("keeper").alias("kept_in")).filter(F.col("n") >= passage)
     spans = _merged(spans.drop("run").unionByName(_repeated_windows(docs, scanned.select("id", "th", F.inline("anchors")))))
     removed = spans.groupBy("id", "th").agg(F.sum("n").cast("long").alias("n_removed"), F.sort_array(F.collect_list(F.struct("at", "n"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("classes")))).alias("classes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kept_in")))).alias("kept_in"))
-    out = scanned.select("id", "th", "n_words").join(removed, ["id", "th"], "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long")))
-    return out.withColumnsRenamed({"id": id_col, "th": "text_hash"})
+    out = scanned.select("id", "th", "text_hash", "n_words").join(removed, ["id", "th"], "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long")))
+    return out.drop("th").select(F.col("id").alias(id_col), "text_hash", "n_words", "n_removed", "spans", "classes", "kept_in")
 
 
 def remove(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
