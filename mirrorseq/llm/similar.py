@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import stored
 from .components import components
@@ -168,11 +169,13 @@ def across(parts: DataFrame, known: DataFrame, sets: DataFrame, similar: float =
     their own don't meet over what all of them share.  Grams that one root has
     alone are left out before the join, so a group of copies doesn't meet
     itself, pairs whose bits differ in too many places are none (:func:`facts`), and a gram of many sets is dealt to one task for each ``block`` of
-    them.
+    them.  The count of a gram is a window over its rows, which spill: a gram of
+    very many sets is one task's narrow rows there.
     """
     each = parts.join(sets, "h").select("h", "root", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    counted = each.groupBy("gram").agg(F.count("*").alias("f"), F.min("root").alias("least"), F.max("root").alias("most")).filter("f > 1").select("gram", "f", (F.col("least") != F.col("most")).alias("open"))
-    ordered = each.join(counted, "gram", "left").groupBy("h", "root", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "gram", F.coalesce("open", F.lit(False)).alias("open")))).alias("o"))
+    of_gram = Window.partitionBy("gram")
+    told = each.select("*", F.count("*").over(of_gram).alias("f"), (F.min("root").over(of_gram) != F.max("root").over(of_gram)).alias("open"))
+    ordered = told.groupBy("h", "root", "n").agg(F.sort_array(F.collect_list(F.struct("f", "gram", "open"))).alias("o"))
     length = (F.col("n") - F.ceil(similar * F.col("n") - 1e-9) + 1).cast("int")
     prefix = ordered.select("h", "root", "n", F.posexplode(F.slice("o", F.lit(1), length)).alias("at", "g")).filter("g.open").select("h", "root", "n", "at", "g.gram", F.ceil(F.col("g.f") / block).cast("int").alias("salts"))
     prefix = stored(prefix.join(known.select("h", "bits"), "h"))
