@@ -33,7 +33,7 @@ def _paired(sf: str) -> pd.DataFrame:
     return gt[gt[KEYS[1]] % 97 != 0]
 
 
-@pytest.mark.parametrize("name", ["align_inner_join"])
+@pytest.mark.parametrize("name", ["align_inner_join", "standardised"])
 def test_every_row_and_value(spark, sf, duck, name):
     want = _paired(sf)
     if name == "standardised":
