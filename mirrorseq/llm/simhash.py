@@ -20,6 +20,9 @@ from .similar import links, shared_bands, shingle_array, sketch
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Buckets up to this size are compared pair by pair, larger ones by bit.
 PAIRWISE = 64
+#: Radius of the SimHashes of five-word sets: 63 masks, each of which keeps 32
+#: or 33 bits.
+WIDE = 5
 
 
 def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -99,6 +102,42 @@ def near_pairs(prints: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE
     return pairs.unionByName(stars).distinct()
 
 
+def close_pairs(prints: DataFrame, radius: int = WIDE, pairwise: int = 8) -> DataFrame:
+    """Pairs (a, b) of distinct 64-bit values within the radius.
+
+    prints: one column ``fp`` of distinct values.  Buckets of up to ``pairwise``
+    values give all their pairs, each in the first mask that holds it.  At a
+    wide radius the bits of larger buckets can't be cleared set by set as in
+    :func:`near_pairs`; their values meet the bucket's least one alone, so the
+    caller needs another way to the other pairs.
+    """
+    tables = F.array(*[F.lit(_signed(m)) for m in masks(radius)])
+    key = F.xxhash64("t", "m").alias("key")
+    keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks(radius)])).alias("t", "m")).select("fp", key)
+    sized = stored(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
+    two = sized.filter("n = 2").select("a", "b")
+    members = stored(keyed.join(sized.filter("n > 2").select("key", "n", F.col("a").alias("least")), "key"))
+    stars = members.filter((F.col("n") > pairwise) & (F.col("fp") != F.col("least"))).select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    groups = members.filter(F.col("n") <= pairwise).groupBy("key").agg(F.sort_array(F.collect_set("fp")).alias("fps"))
+    pairs = groups.select("key", F.posexplode("fps").alias("at", "a"), "fps").select("key", "a", F.explode(F.slice("fps", F.col("at") + 2, F.size("fps"))).alias("b"))
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    table = F.array_position(F.transform(tables, lambda m: differ.bitwiseAND(m) == 0), True) - 1
+    mask = F.get(tables, table.cast("int"))
+    once = pairs.filter(F.bit_count(differ) <= radius).filter(F.xxhash64(table.cast("int"), F.col("a").bitwiseAND(mask)) == F.col("key")).select("a", "b")
+    return two.unionByName(stars).filter(F.bit_count(differ) <= radius).unionByName(once).distinct()
+
+
+def candidates(prints: DataFrame, radius: int = WIDE) -> DataFrame:
+    """Pairs (a, b) of the sets (h, fp) whose SimHashes are within the radius;
+    sets of one SimHash meet its least set, which stands for them."""
+    of_print = stored(prints.groupBy("fp").agg(F.min("h").alias("least"), F.count("*").alias("n")))
+    pairs = close_pairs(of_print.select("fp"), radius)
+    left, right = (of_print.select(F.col("fp").alias(x), F.col("least").alias(f"h{x}")) for x in "ab")
+    between = pairs.join(left, "a").join(right, "b").select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    inside = prints.join(of_print.filter("n > 1").select("fp", "least"), "fp").filter("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b"))
+    return between.unionByName(inside)
+
+
 def near_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, fp, component_id, *carry) for each row of ``df``.
 
@@ -124,9 +163,11 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", similar:
     with the least id stays, nulls last, then the least hash of the row.
 
     Two texts are near duplicates if the sets of their shingles of five words
-    have Jaccard similarity 0.8.  Pairs that share one of 20 bands of four
-    MinHashes are verified by their exact similarity; no fingerprint of 64 bits
-    tells such pairs from others within a radius that masks can cover.  Texts
+    have Jaccard similarity 0.8.  Sets whose SimHashes differ in at most 5 bits
+    meet over covering masks and are verified by their exact similarity.  Pairs
+    at 0.8 lie up to 11 bits and more apart, which masks can't cover; so what
+    SimHash leaves in different components is also verified where it shares one
+    of 20 bands of four MinHashes.  Components of all links are groups.  Texts
     with equal sets count once, texts without words are equal to each other,
     and of rows that are repeated in full one stays.  Texts move once for the
     verified pairs and once to meet the chosen rows, whose place in ``df`` is
@@ -135,11 +176,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", similar:
     hashed = df.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
     slim = stored(hashed.select(F.col(f"`{id_col}`").alias("id"), "__row", sketch(F.col(text)).alias("s")).select("id", "__row", "s.*"))
     distinct = slim.groupBy("h").agg(F.min("__row").alias("__row"))
+    close = stored(candidates(slim.filter("h <> 0").select("h", "fp").distinct()))
     bands = slim.join(distinct, ["h", "__row"]).dropDuplicates(["h"]).select("h", F.explode("bands").alias("key"))
     members = stored(shared_bands(bands))
-    wanted = distinct.join(members.select("h").distinct(), "h", "left_semi")
+    met = members.select("h").unionByName(close.select(F.col("a").alias("h"))).unionByName(close.select(F.col("b").alias("h"))).distinct()
+    wanted = distinct.join(met, "h", "left_semi")
     sets = stored(hashed.select("__row", text).join(wanted, "__row").dropDuplicates(["h"]).select("h", shingle_array(F.col(text)).alias("grams")))
-    roots = components(links(members, sets, similar)).withColumnRenamed("node", "h")
+    roots = components(links(members, sets, similar, first=close)).withColumnRenamed("node", "h")
 
     rows = slim.groupBy("h", "id", "__row").agg(F.count("*").alias("n"))
     of_set = rows.groupBy("h").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "__row", "n")).alias("m"))

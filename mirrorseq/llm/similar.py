@@ -55,14 +55,23 @@ def _bands(grams: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-@F.pandas_udf(T.StructType([T.StructField("h", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+def _simhash(grams: np.ndarray) -> int:
+    """64-bit SimHash of a set of hashes; a bit is set if it is in over half."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(grams), 65536):
+        ones += np.unpackbits(grams[at : at + 65536].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(grams)).view(">i8")[0])
+
+
+@F.pandas_udf(T.StructType([T.StructField("h", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
 def sketch(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Hash of the set of shingles (0 without words) and its MinHash bands."""
+    """Hash of the set of shingles (0 without words), its SimHash and its
+    MinHash bands."""
     for texts in parts:
         found = [shingles(t) for t in texts]
         places = [np.arange(len(g), dtype=np.uint64) for g in found]
         h = [int(_mixed(_mixed(g + p * _MIX[3], 1).sum(keepdims=True, dtype=np.uint64), 3).view(np.int64)[0]) if len(g) else 0 for g, p in zip(found, places, strict=True)]
-        yield pd.DataFrame({"h": h, "bands": [_bands(g) if len(g) else np.zeros(0, np.int64) for g in found]})
+        yield pd.DataFrame({"h": h, "fp": [_simhash(g) for g in found], "bands": [_bands(g) if len(g) else np.zeros(0, np.int64) for g in found]})
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -104,12 +113,13 @@ def shared_bands(members: DataFrame) -> DataFrame:
     return members.join(sized, "key")
 
 
-def links(members: DataFrame, sets: DataFrame, similar: float = SIMILAR, pairwise: int = PAIRWISE) -> DataFrame:
+def links(members: DataFrame, sets: DataFrame, similar: float = SIMILAR, pairwise: int = PAIRWISE, first: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) between sets of at least the similarity, with the same
-    components as all such pairs that share a band.
+    components as all such pairs that share a band or are in ``first``.
 
     members: (key, h, size, hub) of :func:`shared_bands`; sets: (h, grams) with
-    the distinct grams of each.  In bands of more than ``pairwise`` sets all are
+    the distinct grams of each; first: candidates (a, b) found otherwise, which
+    are verified before the bands.  In bands of more than ``pairwise`` sets all are
     verified against a hub, the set that shares bands with most others, as the
     least edited of a group of copies does; those that it isn't similar to have
     a hub of their own, and once more.  What these edges connect, also through
@@ -119,19 +129,26 @@ def links(members: DataFrame, sets: DataFrame, similar: float = SIMILAR, pairwis
     prefixes, be they near a hub or not, see :func:`across`.
     """
     known = stored(facts(sets))
-    reach = members.groupBy("h").agg(F.sum("size").alias("reach"))
-    large = stored(members.filter(F.col("size") > pairwise).select("key", "h").join(reach, "h"))
+    stars = None if first is None else stored(verified(_possible(first, known, similar), sets, similar))
+    roots = None if stars is None else stored(components(stars).select(F.col("node").alias("h"), "root"))
+    if roots is None:
+        rooted = members.withColumn("root", F.col("h"))
+    else:
+        rooted = stored(members.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")))
+    reach = rooted.groupBy("h").agg(F.sum("size").alias("reach"))
+    large = stored(rooted.filter(F.col("size") > pairwise).select("key", "h", "root").join(reach, "h"))
     if large.isEmpty():
-        return _near_pairs_of(members.select("key", "h", F.col("h").alias("root")), known, sets, similar)
-    rest, stars = large, None
+        pairs = _near_pairs_of(rooted.select("key", "h", "root"), known, sets, similar)
+        return pairs if stars is None else stars.unionByName(pairs)
+    rest = large
     for _ in range(_HUBS):
-        hubs = stored(rest.groupBy("key").agg(F.max_by("h", F.struct("reach", "h")).alias("a")))
-        tried = rest.join(F.broadcast(hubs) if hubs.count() <= _FEW_BANDS else hubs, "key").filter("a <> h").select("a", F.col("h").alias("b")).distinct()
-        tried = tried.join(_of("a", known), "a").join(_of("b", known), "b").filter(_may_be("a", "b", similar)).select("a", "b")
-        near = stored(verified(tried, sets, similar).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        hubs = stored(rest.groupBy("key").agg(F.max_by(F.struct("h", "root"), F.struct("reach", "h")).alias("m")).select("key", F.col("m.h").alias("a"), F.col("m.root").alias("roota")))
+        facing = rest.join(F.broadcast(hubs) if hubs.count() <= _FEW_BANDS else hubs, "key")
+        tried = facing.filter("roota <> root").select("a", F.col("h").alias("b")).distinct()
+        near = stored(verified(_possible(tried, known, similar), sets, similar).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         stars = near if stars is None else stars.unionByName(near)
         met = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(hubs, "a").select("key", F.col("b").alias("h"))
-        rest = stored(rest.join(met.unionByName(hubs.select("key", F.col("a").alias("h"))).distinct(), ["key", "h"], "left_anti"))
+        rest = stored(rest.join(met.unionByName(facing.filter("roota = root").select("key", "h")).distinct(), ["key", "h"], "left_anti"))
         if rest.isEmpty():
             break
     roots = stored(components(stars).select(F.col("node").alias("h"), "root"))
@@ -150,6 +167,11 @@ def _of(x: str, known: DataFrame) -> DataFrame:
     return known.select(F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
 
 
+def _possible(pairs: DataFrame, known: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) that neither lengths nor bits turn away."""
+    return pairs.join(_of("a", known), "a").join(_of("b", known), "b").filter(_may_be("a", "b", similar)).select("a", "b")
+
+
 def _near_pairs_of(members: DataFrame, known: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """Edges between the members (key, h, root) of a band that have different roots."""
     told = members.join(known, "h")
