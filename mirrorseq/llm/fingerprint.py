@@ -19,6 +19,8 @@ _MOST, _STEPS = 63.999, float(1 << 34)
 _COARSE, _ROWS, _FINE = 256, 32, 1024
 #: Bits by which rows that share one very frequent id are dealt on.
 _SUB_BITS = 10
+#: Buckets whose first rows are found by a broadcast of their ids and ties.
+_FEW_BUCKETS = 1_000_000
 
 
 def _exponential(value: Column, shift: int, width: int) -> Column:
@@ -97,9 +99,11 @@ def as_text(signature: str) -> Column:
     return F.concat(*[F.coalesce(F.lower(F.lpad(F.hex(F.get(signature, F.lit(j))), 6, "0")), F.lit("------")) for j in range(SAMPLES)])
 
 
-def in_order(df: DataFrame, id_col: str, tie: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+def in_order(df: DataFrame, id_col: str, tie: str, columns: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows dealt to buckets that follow the order of (id, tie), and which
-    bucket is next: (bucket, *columns) and (bucket, next_bucket).
+    bucket is next: (bucket, *columns), (bucket, next_bucket), and the least (id,
+    tie) of each bucket.  All but the first come from ids and ties alone, which
+    are stored, so texts aren't read for them.
 
     The ids are cut at 256 quantiles, and each part at further quantiles of its
     own, as many as the number of rows asks for up to 1024, so a bucket has some
@@ -108,29 +112,34 @@ def in_order(df: DataFrame, id_col: str, tie: str, columns: list[str]) -> tuple[
     (a long >= 0), so that one id of very many rows is split.  Null ids come
     first.  The last bucket is followed by the first.
     """
-    stats = df.agg(F.count("*").alias("n"), F.percentile_approx(id_col, [k / _COARSE for k in range(1, _COARSE)]).alias("q")).first()
+    slim = stored(df.select(F.col(id_col).alias("id"), F.col(tie).alias("tie")))
+    stats = slim.agg(F.count("*").alias("n"), F.percentile_approx("id", [k / _COARSE for k in range(1, _COARSE)]).alias("q")).first()
     fine = min(_FINE, max(2, -(-stats["n"] // (_COARSE * _ROWS))))
     edges = sorted(set(stats["q"] or []))
     outer = F.array(*[F.lit(int(x)) for x in edges]).cast("array<bigint>")
-    coarse = F.when(F.col(id_col).isNull(), 0).otherwise(F.size(F.filter(outer, lambda x: x <= F.col(id_col))) + 1)
-    out = df.withColumn("__c", coarse)
+
+    def coarse(i: str) -> Column:
+        return F.when(F.col(i).isNull(), 0).otherwise(F.size(F.filter(outer, lambda x: x <= F.col(i))) + 1)
+
     # at most 257 rows of 1024 ids
-    cuts = out.filter(F.col(id_col).isNotNull()).groupBy("__c").agg(F.array_distinct(F.percentile_approx(id_col, [k / fine for k in range(fine)])).alias("__q"))
-    out = out.join(F.broadcast(cuts), "__c", "left")
-    at = F.coalesce(F.array_contains("__q", F.col(id_col)), F.lit(True))
-    inside = F.coalesce(F.size(F.filter("__q", lambda x: x < F.col(id_col))), F.lit(0)) * 2 + at.cast("int")
-    sub = F.when(at, F.shiftright(tie, 63 - _SUB_BITS)).otherwise(0)
-    bucket = (F.col("__c").cast("long") * (4 * _FINE) + inside) * (1 << _SUB_BITS) + sub
-    dealt = out.withColumn("bucket", bucket).select("bucket", *columns)
-    used = dealt.select("bucket").distinct().withColumn("__c", F.floor(F.col("bucket") / (4 * _FINE << _SUB_BITS)))
-    used = stored(used)
+    cuts = stored(slim.filter("id is not null").groupBy(coarse("id").alias("__c")).agg(F.array_distinct(F.percentile_approx("id", [k / fine for k in range(fine)])).alias("__q")))
+
+    def dealt(rows: DataFrame, i: str, t: str) -> DataFrame:
+        out = rows.withColumn("__c", coarse(i)).join(F.broadcast(cuts), "__c", "left")
+        at = F.coalesce(F.array_contains("__q", F.col(i)), F.lit(True))
+        inside = F.coalesce(F.size(F.filter("__q", lambda x: x < F.col(i))), F.lit(0)) * 2 + at.cast("int")
+        sub = F.when(at, F.shiftright(t, 63 - _SUB_BITS)).otherwise(0)
+        return out.withColumn("bucket", (F.col("__c").cast("long") * (4 * _FINE) + inside) * (1 << _SUB_BITS) + sub)
+
+    least = stored(dealt(slim, "id", "tie").groupBy("bucket").agg(F.min(F.struct("id", "tie")).alias("m")).select("bucket", "m.*"))
+    used = least.select("bucket", F.floor(F.col("bucket") / (4 * _FINE << _SUB_BITS)).alias("__c"))
     parts = used.groupBy("__c").agg(F.min("bucket").alias("__first"))
     every = Window.orderBy("__c")  # at most 257 rows
     first = F.first("__first").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     parts = parts.select("__c", F.coalesce(F.lead("__first").over(every), first).alias("__next"))
     ahead = F.lead("bucket").over(Window.partitionBy("__c").orderBy("bucket"))
     follows = used.withColumn("__ahead", ahead).join(F.broadcast(parts), "__c").select("bucket", F.coalesce("__ahead", "__next").alias("next_bucket"))
-    return dealt, stored(follows)
+    return dealt(df, id_col, tie).select("bucket", *columns), stored(follows), least
 
 
 def next_value(rows: DataFrame, follows: DataFrame, firsts: DataFrame, value: str, out: str) -> DataFrame:
@@ -163,11 +172,12 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     """
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     docs = docs.withColumn("tie", F.shiftrightunsigned(F.xxhash64("text"), 1))
-    dealt, follows = in_order(docs, "id", "tie", ["id", "text", "tie"])
+    dealt, follows, least = in_order(docs, "id", "tie", ["id", "text", "tie"])
     by_id = Window.partitionBy("bucket").orderBy("id", "tie")
-    least = dealt.groupBy("bucket").agg(F.min(F.struct("id", "tie")).alias("m")).select("bucket", "m.*")
+    if least.count() <= _FEW_BUCKETS:  # or all texts would be shuffled to find some
+        least = F.broadcast(least)
     same = (F.col("d.bucket") == F.col("l.bucket")) & F.col("d.id").eqNullSafe(F.col("l.id")) & (F.col("d.tie") == F.col("l.tie"))
-    firsts = dealt.alias("d").join(stored(least).alias("l"), same, "left_semi").dropDuplicates(["bucket"]).select("bucket", "text")
+    firsts = dealt.alias("d").join(least.alias("l"), same, "left_semi").dropDuplicates(["bucket"]).select("bucket", "text")
     rows = dealt.withColumn("rank", F.row_number().over(by_id)).drop("tie")
     rows = next_value(rows, follows, stored(firsts), "text", "next")
 
