@@ -38,6 +38,8 @@ PASSAGE = 24
 #: Any window of 51 equal words holds an anchor: of 28 runs of 24 words in a row
 #: the one with the least hash.
 WINDOW, ANCHOR = 51, 24
+#: Narrow rows of one window that a task sorts and spills.
+IN_ONE_TASK = 1_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -250,17 +252,35 @@ def _with_facts(rows: DataFrame, facts: DataFrame, key: str, hot: int = HOT) ->
     return apart.unionByName(others)
 
 
+def _later(spread: DataFrame, most: int, in_one_task: int = IN_ONE_TASK) -> DataFrame:
+    """The rows (id, th, at, w) of hashes that a lesser id has, with the least
+    such id as ``keeper``; no hash has more than ``most`` rows.
+
+    One shuffle by hash finds it, and nothing is stored.  If a hash may have
+    more rows than a task shall sort, hashes are counted first, so that the
+    hot ones are no key of a shuffle.  Both ways give the same rows.
+    """
+    if most <= in_one_task:
+        found = spread.withColumn("keeper", F.min("id").over(Window.partitionBy("w")))
+    else:
+        spread = stored(spread)
+        found = _with_facts(spread, stored(_shared(spread)), "w")
+    return found.filter(F.col("id") > F.col("keeper"))
+
+
 def _repeated_windows(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """(id, th, at, n, classes, kept_in) of the runs of windows of 51 words that
     occur in a document with a lesser id, however they lie to paragraphs.
 
     Windows are hashed around anchors (id, th, at, w) that several documents
-    hold, and only counted by hash: this equals the extension of each anchor
-    word by word against all lesser documents, without pairs.
+    hold, and only met by hash: this equals the extension of each anchor word by
+    word against all lesser documents, without pairs.  A window holds the same
+    anchor wherever it stands, so none is in more rows than the commonest anchor.
     """
-    places = _with_facts(marks, stored(_shared(marks)), "w").groupBy("id", "th").agg(F.collect_set("at").alias("places"))
-    spread = stored(_around(docs.join(places, ["id", "th"]))).select("id", "th", F.inline("windows"))
-    hits = _with_facts(spread, stored(_shared(spread)), "w").filter(F.col("id") > F.col("keeper"))
+    shared = stored(_shared(marks))
+    places = _with_facts(marks, shared, "w").groupBy("id", "th").agg(F.collect_set("at").alias("places"))
+    spread = _around(docs.join(places, ["id", "th"])).select("id", "th", F.inline("windows"))
+    hits = _later(spread, shared.agg(F.max("rows")).first()[0] or 0)
     order = Window.partitionBy("id", "th").orderBy("at")
     gap = F.col("at") - F.lag("at").over(order)
     runs = hits.withColumn("starts", F.coalesce((gap > WINDOW).cast("int"), F.lit(1))).withColumn("run", F.sum("starts").over(order))
@@ -328,6 +348,8 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", similar:
     numbered = stored(_numbered(scanned))
     scanned = _with_number(scanned.withColumn("text_hash", F.col("th")), numbered)
     docs = _with_number(docs, numbered)
+    # first of all and stored, so that its shuffles are gone before the others
+    by_window = stored(_repeated_windows(docs, scanned.select("id", "th", F.inline("anchors"))))
     cut = scanned.select("id", "th", F.inline("paragraphs"))
     distinct = stored(cut.groupBy("h").agg(*[F.min(m).alias(m) for m in _MINS], F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("rows")))
     members = stored(band_members(distinct))
@@ -351,7 +373,7 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text", similar:
     starts = (F.col("at") > F.coalesce(F.lag(F.col("at") + F.col("n")).over(order), F.lit(-1))).cast("int")
     runs = found.withColumn("starts", starts).withColumn("run", F.sum("starts").over(order))
     spans = runs.groupBy("id", "th", "run").agg(F.min("at").alias("at"), (F.max(F.col("at") + F.col("n")) - F.min("at")).alias("n"), F.collect_set("root").alias("classes"), F.collect_set("keeper").alias("kept_in")).filter(F.col("n") >= passage)
-    spans = _merged(spans.drop("run").unionByName(_repeated_windows(docs, scanned.select("id", "th", F.inline("anchors")))))
+    spans = _merged(spans.drop("run").unionByName(by_window))
     removed = spans.groupBy("id", "th").agg(F.sum("n").cast("long").alias("n_removed"), F.sort_array(F.collect_list(F.struct("at", "n"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("classes")))).alias("classes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kept_in")))).alias("kept_in"))
     out = scanned.select("id", "th", "text_hash", "n_words").join(removed, ["id", "th"], "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long")))
     return out.drop("th").select(F.col("id").alias(id_col), "text_hash", "n_words", "n_removed", "spans", "classes", "kept_in")
