@@ -86,44 +86,59 @@ def split(text: str | None) -> np.ndarray:
 
 
 def _split(hashed: np.ndarray) -> np.ndarray:
-    n = len(hashed)
+    return _split_all([hashed])[1]
+
+
+def _split_all(hashed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of paragraphs of each text, and those of all as the rows of an
+    integer array; arrays of many texts at once cost less than many small ones."""
+    words = np.concatenate([*hashed, np.zeros(0, np.uint64)])
+    begins = np.cumsum([0, *map(len, hashed)])
+    n = len(words)
     if not n:
-        return np.zeros((0, 3 + BANDS), np.int64)
-    pairs = _mixed(hashed[:-1] * _MIX[0] + hashed[1:] * _MIX[1], 3)
-    starts, last = [0], 0
-    for e in [*(np.flatnonzero(pairs % np.uint64(ENDS) == 0) + 1).tolist(), n]:
-        while e - last > MOST:
-            last += MOST
-            starts.append(last)
-        if LEAST <= e - last and e < n:
-            last = e
+        return np.zeros(len(hashed), np.int64), np.zeros((0, 3 + BANDS), np.int64)
+    pairs = _mixed(words[:-1] * _MIX[0] + words[1:] * _MIX[1], 3)
+    ends = np.flatnonzero(pairs % np.uint64(ENDS) == 0) + 1
+    bounds = zip(begins[:-1].tolist(), begins[1:].tolist(), np.searchsorted(ends, begins[:-1], "right").tolist(), np.searchsorted(ends, begins[1:], "left").tolist(), strict=True)
+    ends = ends.tolist()
+    starts, counts = [], []
+    for last, end, lo, hi in bounds:
+        before = len(starts)
+        if last < end:
             starts.append(last)
+            for e in [*ends[lo:hi], end]:
+                while e - last > MOST:
+                    last += MOST
+                    starts.append(last)
+                if LEAST <= e - last and e < end:
+                    last = e
+                    starts.append(last)
+        counts.append(len(starts) - before)
     at = np.array(starts)
     size = np.diff(np.append(at, n))
     place = (np.arange(n) - np.repeat(at, size)).astype(np.uint64)
     out = np.empty((len(at), 2 + 1 + BANDS), np.int64)
-    out[:, 0], out[:, 1] = at, size
+    out[:, 0], out[:, 1] = at - np.repeat(begins[:-1], counts), size
     # a sum of the mixed (word, place) pairs; the length is part of the hash
-    sums = np.add.reduceat(_mixed(hashed + place * _MIX[4], 1), at)
+    sums = np.add.reduceat(_mixed(words + place * _MIX[4], 1), at)
     out[:, 2] = _mixed(sums + size.astype(np.uint64) * _MIX[2], 0).view(np.int64)
     grams = np.zeros(n, np.uint64)
     for k in range(min(SHINGLE, n)):
-        grams[: n - k] += hashed[k:] * _MIX[k]
+        grams[: n - k] += words[k:] * _MIX[k]
     inside = place + np.uint64(SHINGLE) <= np.repeat(size, size).astype(np.uint64)
     for b in range(BANDS):
         least = np.minimum.reduceat(np.where(inside, _mixed(grams, b), np.uint64(2**64 - 1)), at)
         out[:, 3 + b] = np.where(size >= SHINGLE, least.view(np.int64), out[:, 2])
-    return out
+    return np.array(counts), out
 
 
 _PARAGRAPH = {"at": pa.int32(), "n": pa.int32(), "h": pa.int64(), **{m: pa.int64() for m in _MINS}}
 _PLACE = {"at": pa.int32(), "w": pa.int64()}
 
 
-def _lists(tables: list[np.ndarray], fields: dict[str, pa.DataType]) -> pa.ListArray:
-    """A list of structs for each table of integers."""
-    ends = np.cumsum([0, *map(len, tables)]).astype(np.int32)
-    flat = np.concatenate(tables)
+def _lists(counts: np.ndarray | list[int], flat: np.ndarray, fields: dict[str, pa.DataType]) -> pa.ListArray:
+    """Lists of structs, each of the next ``counts`` rows of integers."""
+    ends = np.cumsum([0, *counts]).astype(np.int32)
     columns = [pa.array(flat[:, i]).cast(kind) for i, kind in enumerate(fields.values())]
     return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, list(fields)))
 
@@ -148,7 +163,7 @@ def _scanned(docs: DataFrame) -> DataFrame:
             used = [h if known else h[:0] for h, known in zip(hashed, few.column("id").is_valid().to_pylist(), strict=True)]
             columns = [few.column("id"), few.column("th"), pa.array([len(h) for h in hashed], pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [*columns, _lists([_split(h) for h in used], _PARAGRAPH), _lists([_anchors(h) for h in used], _PLACE)],
+                [*columns, _lists(*_split_all(used), _PARAGRAPH), _lists(*_anchors_all(used), _PLACE)],
                 ["id", "th", "n_words", "paragraphs", "anchors"],
             )
 
@@ -208,6 +223,46 @@ def _anchors(hashed: np.ndarray) -> np.ndarray:
     return np.stack([at, grams[at].view(np.int64)], 1)
 
 
+def _slid(values: np.ndarray, width: int, least_or_most: np.ufunc) -> np.ndarray:
+    """The least or most of each ``width`` values in a row."""
+    size = 1
+    while 2 * size <= width:
+        values = least_or_most(values[:-size], values[size:])
+        size *= 2
+    return least_or_most(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
+
+
+def _anchors_all(hashed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of anchors of each text, and those of all as :func:`_anchors` has
+    them.
+
+    A run is an anchor if it is the least of a window that holds it, that is,
+    if it equals the most of the leasts of these windows.  Where equal runs
+    meet in a window, the text is done by :func:`_anchors`, which takes the first.
+    """
+    words = np.concatenate([*hashed, np.zeros(0, np.uint64)])
+    sizes = np.fromiter(map(len, hashed), np.int64, len(hashed))
+    begins = np.cumsum(sizes) - sizes
+    grams = _runs(words, ANCHOR)
+    width = WINDOW - ANCHOR + 1
+    if len(grams) < width:
+        return np.zeros(len(hashed), np.int64), np.zeros((0, 2), np.int64)
+    here, end = np.arange(len(grams)), np.repeat(begins + sizes, sizes)[: len(grams)]
+    least = _slid(grams, width, np.minimum)
+    whole = here[: len(least)] + WINDOW <= end[: len(least)]
+    edge = np.zeros(width - 1, np.uint64)
+    most = _slid(np.concatenate([edge, np.where(whole, least, np.uint64(0)), edge]), width, np.maximum)
+    held = (here + ANCHOR <= end) & np.repeat(sizes >= WINDOW, sizes)[: len(grams)]
+    at = np.flatnonzero((most == grams) & held)
+    text = np.searchsorted(begins, at, "right") - 1
+    again = np.unique(text[1:][(np.diff(at) < width) & (np.diff(text) == 0) & (grams[at[1:]] == grams[at[:-1]])])
+    if len(again):
+        one_by_one = [begins[t] + _anchors(hashed[t])[:, 0] for t in again.tolist()]
+        at = np.sort(np.concatenate([at[~np.isin(text, again)], *one_by_one]))
+        text = np.searchsorted(begins, at, "right") - 1
+    return np.bincount(text, minlength=len(hashed)), np.stack([at - begins[text], grams[at].view(np.int64)], 1)
+
+
 def windows(text: str | None, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first words, hashes) of the windows that hold an anchor at the places."""
     found = _runs(_hashed(text), WINDOW)
@@ -222,7 +277,7 @@ def _around(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for few in _chunks(batches):
             found = [np.stack(windows(t, p), 1) for t, p in zip(few.column("text").to_pylist(), few.column("places").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([few.column("id"), few.column("th"), _lists(found, _PLACE)], ["id", "th", "windows"])
+            yield pa.RecordBatch.from_arrays([few.column("id"), few.column("th"), _lists([len(f) for f in found], np.concatenate(found), _PLACE)], ["id", "th", "windows"])
 
     fields = [docs.schema["id"], docs.schema["th"], T.StructField("windows", _structs(_PLACE))]
     return docs.select("id", "th", "text", "places").mapInArrow(rows, T.StructType(fields))

@@ -30,3 +30,26 @@ def test_windows_are_shuffled_once_and_not_stored(spark, monkeypatch):
     monkeypatch.setattr(paragraphs, "stored", lambda df: stored.append(df) or df)
     plan = paragraphs._later(_rows(spark)[1], 1000)._jdf.queryExecution().executedPlan().toString()
     assert not stored and plan.count("Exchange hashpartitioning") == 1
+
+
+def _texts():
+    """Texts of few and many words, of repeats of all lengths, short and empty."""
+    rng = random.Random(3)
+    for _ in range(150):
+        words = [str(rng.getrandbits(40)) for _ in range(rng.choice([1, 2, 20, 5000]))]
+        text = [rng.choice(words) for _ in range(rng.choice([0, 1, 4, 5, 24, 28, 50, 51, 52, 100, 700]))]
+        yield " ".join(text[: rng.choice([3, 20, 27, 28, 40])] * 6 if rng.random() < 0.2 else text)
+
+
+def test_texts_at_once_are_as_each_alone():
+    texts = [*_texts()]
+    hashed = [paragraphs._hashed(t) for t in texts]
+    for at in range(0, len(texts), 7):
+        few = hashed[at : at + 7]
+        counts, rows = paragraphs._anchors_all(few)
+        alone = [paragraphs._anchors(h) for h in few]
+        assert counts.tolist() == [len(a) for a in alone] and rows.tolist() == [r for a in alone for r in a.tolist()]
+        counts, rows = paragraphs._split_all(few)
+        alone = [paragraphs._split(h) for h in few]
+        assert counts.tolist() == [len(a) for a in alone] and rows.tolist() == [r for a in alone for r in a.tolist()]
+    assert sum(len(paragraphs._anchors(h)) for h in hashed) > 500
