@@ -50,3 +50,13 @@ def test_band_power_of_gaps_and_lengths_equals_numpy(spark):
                 assert [got[s, region, f + 1][k] for f in range(len(want))] == pytest.approx((want / want.sum()).tolist(), rel=1e-9)
             n_cells += size // 2
     assert len(got) == n_cells and KEYS == [SEQ, TIME]
+
+
+def test_spectra_take_as_many_rows_as_there_are(spark):
+    """Each row must not become a row for each frequency."""
+    x = np.random.default_rng(9).standard_normal(50_000)
+    df = spark.createDataFrame([("a", t, float(v)) for t, v in enumerate(x)], "s string, at int, v double")
+    found = groupwise.spectra(df, ["s"], "v", F.lit(256))
+    assert plan(found).count("Generate") == 1  # the result's frequencies only
+    got = [r.power for r in found.orderBy("frequency").collect()]
+    assert got == pytest.approx(groupwise.welch(x)[1:].tolist(), rel=1e-9)
