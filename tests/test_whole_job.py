@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mirrorseq.operators import groupwise
+from mirrorseq.functions.quantiles import column_quantiles
+from mirrorseq.operators import groupwise, linear
 from mirrorseq.plans import frames
 from mirrorseq.plans.align import KEYS, SEQ, TIME
 
@@ -15,6 +16,23 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+REGIONS = ["r1", "r2", "r3", "r4"]
+
+
+@pytest.fixture
+def counted(spark, sf):
+    """The paired rows, their number, and how often rows were read so far."""
+    rows = frames.paired(spark, sf).toPandas()
+    df, seen = spark.createDataFrame(rows), spark.sparkContext.accumulator(0)
+
+    def read(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    return df.mapInPandas(read, df.schema), len(rows), lambda: seen.value / len(rows)
+
+
 def test_paired_rows_equal_the_join(spark, sf, tmp_path):
     items = spark.read.parquet(f"{sf}/lineitem.parquet")
     items.unionByName(items.limit(50).withColumn("l_suppkey", F.lit(None).cast("long"))).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
@@ -60,3 +78,31 @@ def test_spectra_take_as_many_rows_as_there_are(spark):
     assert plan(found).count("Generate") == 1  # the result's frequencies only
     got = [r.power for r in found.orderBy("frequency").collect()]
     assert got == pytest.approx(groupwise.welch(x)[1:].tolist(), rel=1e-9)
+
+
+def test_lagged_moments_read_rows_once(spark, counted):
+    rows, _, reads = counted
+    found = linear.lagged(rows, REGIONS, (1, 2, 4))
+    assert reads() == 1
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+    table = rows.toPandas().sort_values(KEYS)
+    for s in ("gt", "inf"):
+        x = table[[f"{v}_{s}" for v in REGIONS]].to_numpy()
+        low, middle, high = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+        x = (x - middle) / (high - low)
+        for k in (1, 2, 4):
+            n, mx, my, products = found[s, k]
+            assert n == len(x) - k and mx == pytest.approx(x[:-k].mean(0)) and my == pytest.approx(x[k:].mean(0))
+            assert products == pytest.approx((x[:-k] - mx).T @ (x[k:] - my), abs=1e-6)
+
+
+@pytest.mark.parametrize("few", [3, 5000])
+def test_quantiles_of_columns_equal_numpy(spark, few):
+    g = np.random.default_rng(10)
+    x = np.stack([g.standard_normal(4000), g.integers(0, 5, 4000), np.full(4000, 2.5), g.standard_cauchy(4000) * 1e200], 1)
+    rows = [(*map(float, r), None) for r in x] + [(None, float("nan"), None, None, None)] * 7
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(7)
+    got = column_quantiles(df, list("abcde"), [0.0, 0.013, 0.5, 0.75, 1.0], bins=16, few=few)
+    assert got.keys() == set("abcd")
+    for i, c in enumerate("abcd"):
+        assert got[c] == pytest.approx(np.quantile(x[:, i], [0.0, 0.013, 0.5, 0.75, 1.0]).tolist(), rel=1e-12)
