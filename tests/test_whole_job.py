@@ -106,3 +106,29 @@ def test_quantiles_of_columns_equal_numpy(spark, few):
     assert got.keys() == set("abcd")
     for i, c in enumerate("abcd"):
         assert got[c] == pytest.approx(np.quantile(x[:, i], [0.0, 0.013, 0.5, 0.75, 1.0]).tolist(), rel=1e-12)
+
+
+def test_covariances_read_rows_once(spark, counted):
+    rows, _, reads = counted
+    got = linear.robust_covariances(rows, REGIONS)
+    assert reads() == 1
+    want = [linear.shrunk_covariance(linear.robust(linear._side(rows, REGIONS, s), REGIONS), REGIONS) for s in ("gt", "inf")]
+    assert np.array(got) == pytest.approx(np.array(want), rel=1e-9, abs=1e-12)
+
+
+def test_linear_prediction_reads_rows_once(counted):
+    rows, _, reads = counted
+    df = rows.withColumn("r3_gt", F.when(F.col(TIME) % 11 != 0, F.col("r3_gt")))
+    models = [([f"r1_{s}", f"r2_{s}"], [f"r3_{s}", f"r4_{s}"]) for s in ("gt", "inf")]
+    got = linear.predictive_r2s(df, models)
+    assert reads() == 1
+    table = df.withColumn("held", F.pmod(F.xxhash64(SEQ), F.lit(1000)) < 200).toPandas()
+    for (inputs, outputs), r2 in zip(models, got, strict=True):
+        train, test = table[~table["held"]], table[table["held"]].dropna(subset=[*inputs, *outputs])
+        x = train[inputs].to_numpy()
+        whole = train.dropna(subset=[*inputs, *outputs])
+        a, y = whole[inputs].to_numpy(), whole[outputs].to_numpy()
+        w = np.linalg.lstsq((x - x.mean(0)).T @ (x - x.mean(0)), (a - a.mean(0)).T @ (y - y.mean(0)), rcond=None)[0]
+        off = test[outputs].to_numpy() - (test[inputs].to_numpy() @ w + y.mean(0) - x.mean(0) @ w)
+        t = test[outputs].to_numpy()
+        assert r2 == pytest.approx(1 - (off**2).sum() / (((t - t.mean(0)) ** 2).sum() + 1e-12), abs=1e-9)
