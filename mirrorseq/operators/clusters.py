@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -19,9 +21,61 @@ from . import etho, linear, neuro
 DRAWS, OVERSAMPLED = 4, 2
 
 
-def _nearest_square(columns: list[str], centres: list[list[float]]) -> Column:
-    far = [sum(((F.col(c) - v) * (F.col(c) - v) for c, v in zip(columns, centre, strict=True)), F.lit(0.0)) for centre in centres]
-    return F.array_min(F.array(*far))
+def _squares(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances, a row a centre, summed in the order of coordinates."""
+    out = np.zeros((len(centres), len(points)))
+    for i in range(points.shape[1]):
+        out += np.square(points[None, :, i] - centres[:, None, i])
+    return out
+
+
+def _points(batch: pa.RecordBatch, at: slice = slice(None)) -> np.ndarray:
+    return np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[at]], 1)
+
+
+def _farthest(found: np.ndarray, most: int):
+    """Of a task's rows (values, __u) the ``most`` different ones with the least
+    -ln(u) / d2 to the nearest of the found, with that key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.empty((0, found.shape[1] + 1))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _points(batch, slice(0, -1))
+            d = _squares(x, found).min(0)
+            with np.errstate(divide="ignore"):
+                keyed = np.column_stack([-np.log(batch.column(batch.num_columns - 1).to_numpy()) / d, x])[d > 0]
+            # equal rows have equal keys; the first columns order all
+            if len(best) == most:
+                keyed = keyed[keyed[:, 0] <= best[-1, 0]]
+            if len(keyed):
+                if len(keyed) > 50 * most:
+                    few = np.unique(keyed[:, 0])
+                    keyed = keyed[keyed[:, 0] <= few[min(most, len(few)) - 1]]
+                best = np.unique(np.vstack([best, keyed]), axis=0)[:most]
+        yield pa.RecordBatch.from_arrays([pa.array(best[:, i].copy()) for i in range(best.shape[1])], ["__key", *[f"x{i}" for i in range(found.shape[1])]])
+
+    return run
+
+
+def _sums(centres: np.ndarray, unit: float):
+    """(state, n, x...): a task's rows at each centre, the first of equally near
+    ones, and the sums of their values in whole units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, d = centres.shape
+        n, total = np.zeros(k, np.int64), np.zeros((d, k), np.int64)
+        for batch in batches:
+            x = _points(batch)
+            near = _squares(x, centres).argmin(0)
+            n += np.bincount(near, minlength=k)
+            whole = np.rint(x * unit).astype(np.int64)
+            for i in range(d):
+                np.add.at(total[i], near, whole[:, i])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(n), *[pa.array(t) for t in total]], ["state", "n", *[f"x{i}" for i in range(d)]])
+
+    return run
 
 
 def _first_centres(points: np.ndarray, weights: np.ndarray, k: int, seed: int, tries: int = 10) -> np.ndarray:
@@ -67,18 +121,31 @@ def centres(df: DataFrame, columns: list[str], k: int, seed: int = 0, steps: int
         hashed = F.xxhash64(*columns, F.lit(seed))
         first = rows.orderBy(hashed, *columns).limit(1).collect()
         found = [[float(r[c]) for c in columns] for r in first]
+        names = [f"x{i}" for i in range(len(columns))]
+        doubles = ", ".join(f"{c} double" for c in names)
         for t in range(DRAWS):
             u = (F.pmod(F.xxhash64(*columns, F.lit(seed), F.lit(t)), F.lit(2**52)) + 0.5) / 2.0**52
-            far = rows.distinct().withColumn("__d", _nearest_square(columns, found)).filter("__d > 0").withColumn("__key", -F.log(u) / F.col("__d"))
-            # proven bound: some candidates a round
-            found += [[float(r[c]) for c in columns] for r in far.orderBy("__key", *columns).limit(OVERSAMPLED * k).collect()]
-        counts = {r["state"]: r["count"] for r in neuro.states(rows, columns, found).groupBy("state").count().collect()}
-        now = _first_centres(np.array(found), np.array([counts.get(i, 0) for i in range(len(found))], float), min(k, len(found)), seed)
+            # proven bound: some candidates a round, each task's own best among them
+            best = rows.select(*columns, u.alias("__u")).mapInArrow(_farthest(np.array(found), OVERSAMPLED * k), f"__key double, {doubles}")
+            found += [[float(r[c]) for c in names] for r in best.distinct().orderBy("__key", *names).limit(OVERSAMPLED * k).collect()]
+        longs = ", ".join(f"{c} long" for c in names)
+
+        def step(centres: np.ndarray) -> tuple[list[int], list[list[int]]]:
+            """Rows at each centre and their sums; a row a task and centre comes
+            to the driver, which adds whole numbers."""
+            n, total = [0] * len(centres), [[0] * len(names) for _ in centres]
+            for r in rows.mapInArrow(_sums(centres, unit), f"state int, n long, {longs}").filter("n > 0").collect():
+                n[r["state"]] += r["n"]
+                total[r["state"]] = [a + r[c] for a, c in zip(total[r["state"]], names, strict=True)]
+            return n, total
+
+        counts = np.array(step(np.array(found))[0], float)
+        now = _first_centres(np.array(found), counts, min(k, len(found)), seed)
         for _ in range(steps):
-            sums = neuro.states(rows, columns, now.tolist()).groupBy("state").agg(F.count("*").alias("n"), *[F.sum(F.round(F.col(c) * unit).cast("long")).alias(c) for c in columns]).collect()
             moved = now.copy()
-            for r in sums:
-                moved[r["state"]] = [r[c] / unit / r["n"] for c in columns]
+            for state, (n, total) in enumerate(zip(*step(now), strict=True)):
+                if n:
+                    moved[state] = [v / unit / n for v in total]
             far, now = float(np.abs(moved - now).max()), moved
             if far <= tolerance * max(facts["top"], 1e-300):
                 break
@@ -99,9 +166,11 @@ def _shares(features: DataFrame, columns: list[str], k: int) -> DataFrame:
 def syllables(paired: DataFrame, center: str = "CENTER", k: int = 8) -> DataFrame:
     """Clusters of each step's speed and the acceleration that follows."""
     by = Window.partitionBy("side", SEQ).orderBy(TIME)
-    speed = etho.steps(paired, center).select("side", SEQ, TIME, F.lag("size", 1).over(by).alias("speed"))
-    force = etho.steps(paired, center, 2).select("side", SEQ, TIME, F.col("size").alias("acceleration"))
-    return _shares(speed.join(force, ["side", SEQ, TIME]), ["speed", "acceleration"], k)
+    moved = etho.both_steps(paired, center)
+    # the step before is the last one that is known
+    before = F.last("speed", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    features = moved.select("side", SEQ, TIME, before.alias("speed"), F.when(F.col("speed").isNotNull(), F.col("acceleration")).alias("acceleration"))
+    return _shares(features.filter("acceleration is not null"), ["speed", "acceleration"], k)
 
 
 def trajectory_shapes(paired: DataFrame, center: str = "CENTER", k: int = 6) -> DataFrame:
@@ -118,7 +187,7 @@ def latent_states(paired: DataFrame, values: list[str], occupancies: tuple[int,
     """
     with Kept(paired.sparkSession) as keep:
         rows = keep(sides(paired, values))
-        scale = linear.middles(rows.filter("side = 'gt'"), values)
+        scale = linear.stored_middles(rows.filter("side = 'gt'"), values)
         scaled = rows.select("side", SEQ, TIME, *[((F.col(v) - scale[v][0]) / scale[v][1]).alias(v) for v in values])
         n, mean, _, products = linear.moments(scaled.filter("side = 'gt'"), values, values)
         vectors = np.linalg.eigh(products)[1][:, ::-1][:, :3]

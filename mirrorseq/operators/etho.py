@@ -31,6 +31,14 @@ def steps(paired: DataFrame, center: str = "CENTER", order: int = 1, extra: tupl
     return moved.withColumn("size", norm(F.col("dx"), F.col("dy"))).filter("size is not null")
 
 
+def both_steps(paired: DataFrame, center: str = "CENTER") -> DataFrame:
+    """(side, sequenceId, itemPosition, speed, acceleration) of every row, null
+    where there are too few rows before; both from one order of the rows."""
+    x, y = f"{center}_X", f"{center}_Y"
+    size = lambda order: norm(_step(x, order), _step(y, order))
+    return sides(paired, [x, y]).select("side", SEQ, TIME, size(1).alias("speed"), size(2).alias("acceleration"))
+
+
 def _likeness(counts: DataFrame, by: list[str], bins: list[str], n_bins: int) -> DataFrame:
     """Score of counted bins: symmetric divergence of both sides' densities,
     each raised by 1e-12 and scaled to sum to 1.  ``width`` is a bin's size.

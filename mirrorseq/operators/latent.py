@@ -13,10 +13,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.quantiles import quantiles
+from ..functions.shared import Kept
 from ..functions.stats import correlation01, from_distance, norm
 from ..plans.align import SEQ, TIME, sides
 from .groupwise import _thinned
-from .linear import _row, evenly, moments, pooled_lead
+from .linear import _heads, _row, evenly, moments, numbered, pooled_leads
 
 _EPS = 1e-8
 #: Quantiles that a distribution is compared at, and weights.
@@ -129,26 +130,32 @@ def occupancy_velocity(paired: DataFrame, values: list[str]) -> DataFrame:
     over all velocities in the order of sequence and time, so the last one of a
     sequence meets the first of the next, as the score is defined.
     """
-    basis = gt_basis(paired, values, 3)
-    if basis is None:
-        return paired.sparkSession.createDataFrame([], "part string, score double")
-    z = projected(paired, basis)
-    cells = z.select("side", F.explode(F.array(*[F.struct(F.lit(f"occupancy{j}").alias("part"), F.col(f"z{j}").alias("v")) for j in range(basis.k)])).alias("c")).select("side", "c.*")
-    by = Window.partitionBy("side", SEQ).orderBy(TIME)
-    raw = projected(paired, basis, raw=True)
-    moved = raw.select("side", SEQ, TIME, *[(F.col(f"z{j}") - F.lag(f"z{j}").over(by)).alias(f"v{j}") for j in range(basis.k)]).dropna()
-    names = [f"v{j}" for j in range(basis.k)]
-    moved = moved.withColumn("speed", norm(*map(F.col, names))).persist()
-    turns = None
-    for s in ("gt", "inf"):
-        led = pooled_lead(moved.filter(F.col("side") == s).select(SEQ, TIME, *names, "speed"), [*names, "speed"], 1)
-        dot = sum((F.col(v) * F.col(f"{v}_later") for v in names), F.lit(0.0))
-        side = led.select(F.lit(s).alias("side"), (dot / (F.col("speed") * F.col("speed_later") + _EPS)).alias("turn"))
-        turns = side if turns is None else turns.unionByName(side)
-    speed = quantile_distance(moved.withColumn("part", F.lit("speed")), "speed", ["part"])
-    turn = quantile_distance(turns.withColumn("part", F.lit("turn")), "turn", ["part"], (0.1, 0.3, 0.5, 0.7, 0.9))
-    moves = speed.unionByName(turn).select("part", from_distance(F.col("distance")).alias("score"))
-    return clipped_histogram(cells, "v", ["part"]).unionByName(moves)
+    schema = "part string, score double"
+    with Kept(paired.sparkSession) as keep:
+        rows = keep(complete(paired, values).select(SEQ, TIME, *[f"{v}_{s}" for v in values for s in ("gt", "inf")]))
+        basis = gt_basis(rows, values, 3)
+        if basis is None:
+            return paired.sparkSession.createDataFrame([], schema)
+        z = projected(rows, basis)
+        cells = z.select("side", F.explode(F.array(*[F.struct(F.lit(f"occupancy{j}").alias("part"), F.col(f"z{j}").alias("v")) for j in range(basis.k)])).alias("c")).select("side", "c.*")
+        parts = clipped_histogram(cells, "v", ["part"]).collect()
+        names = [f"v{j}" for j in range(basis.k)]
+        raw = lambda s, j: sum((F.col(f"{v}_{s}") * F.lit(float(basis.vectors[i, j])) for i, v in enumerate(values)), F.lit(0.0))
+        by = Window.partitionBy(SEQ).orderBy(TIME)
+        moved = rows.select(SEQ, TIME, *[raw(s, j).alias(f"z{j}_{s}") for s in ("gt", "inf") for j in range(basis.k)])
+        # both sides have the same rows, so they move side by side
+        moved = moved.select(SEQ, TIME, *[(F.col(f"z{j}_{s}") - F.lag(f"z{j}_{s}").over(by)).alias(f"v{j}_{s}") for s in ("gt", "inf") for j in range(basis.k)]).dropna()
+        moved = keep(numbered(moved.select("*", *[norm(*[F.col(f"{v}_{s}") for v in names]).alias(f"speed_{s}") for s in ("gt", "inf")])))
+        columns = [f"{c}_{s}" for s in ("gt", "inf") for c in (*names, "speed")]
+        heads = keep(_heads(moved, columns, 1))
+        dot = lambda s: sum((F.col(f"{v}_{s}") * F.col(f"{v}_{s}_later_1") for v in names), F.lit(0.0))
+        turn = lambda s: dot(s) / (F.col(f"speed_{s}") * F.col(f"speed_{s}_later_1") + _EPS)
+        led = pooled_leads(moved, heads, columns, (1,)).filter("__some_1")
+        turns = sides(keep(led.select(SEQ, TIME, *[turn(s).alias(f"turn_{s}") for s in ("gt", "inf")])), ["turn"])
+        speed = quantile_distance(sides(moved, ["speed"]).withColumn("part", F.lit("speed")), "speed", ["part"])
+        turned = quantile_distance(turns.withColumn("part", F.lit("turn")), "turn", ["part"], (0.1, 0.3, 0.5, 0.7, 0.9))
+        parts += speed.unionByName(turned).select("part", from_distance(F.col("distance")).alias("score")).collect()
+    return paired.sparkSession.createDataFrame(parts, schema)  # a row a direction, and two
 
 
 def latent_path_features(paired: DataFrame, values: list[str], least: int = 5) -> DataFrame:

@@ -137,11 +137,12 @@ def matrix_similarity(pairs: DataFrame) -> DataFrame:
 
 def states(df: DataFrame, columns: list[str], centres: list[list[float]], out: str = "state") -> DataFrame:
     """Nearest of the given centres; the first of equally near ones."""
-    given = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
-    square = lambda a, b: (a - b) * (a - b)
-    near = df.withColumn("__p", F.array(*columns))
-    near = near.withColumn("__d", F.transform(given, lambda c: F.aggregate(F.zip_with("__p", c, square), F.lit(0.0), lambda x, y: x + y)))
-    return near.withColumn(out, (F.array_position("__d", F.array_min("__d")) - 1).cast("int")).drop("__p", "__d")
+    far = [sum(((F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v))) for c, v in zip(columns, centre, strict=True)), F.lit(0.0)) for centre in centres]
+    names = [f"__d{j}" for j in range(len(far))]
+    near = df.withColumns(dict(zip(names, far, strict=True)))
+    least = F.least(*names) if len(names) > 1 else F.col(names[0])
+    state = F.coalesce(*[F.when(F.col(d) == least, F.lit(j)) for j, d in enumerate(names)])
+    return near.withColumn(out, state.cast("int")).drop(*names)
 
 
 def occupancy(assigned: DataFrame, n_states: int) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mirrorseq.functions.quantiles import column_quantiles
-from mirrorseq.operators import groupwise, linear
+from mirrorseq.operators import clusters, etho, groupwise, linear
 from mirrorseq.plans import frames
 from mirrorseq.plans.align import KEYS, SEQ, TIME
 
@@ -132,3 +132,31 @@ def test_linear_prediction_reads_rows_once(counted):
         off = test[outputs].to_numpy() - (test[inputs].to_numpy() @ w + y.mean(0) - x.mean(0) @ w)
         t = test[outputs].to_numpy()
         assert r2 == pytest.approx(1 - (off**2).sum() / (((t - t.mean(0)) ** 2).sum() + 1e-12), abs=1e-9)
+
+
+def test_centres_take_two_jobs_a_round_at_most(spark):
+    g = np.random.default_rng(11)
+    df = spark.createDataFrame(g.standard_normal((2000, 2)).tolist(), "a double, b double")
+    spark.sparkContext.setJobGroup("centres", "")
+    try:
+        found = clusters.centres(df, ["a", "b"], 4, steps=3)
+        stages = sum(len(spark.sparkContext.statusTracker().getJobInfo(j).stageIds) for j in spark.sparkContext.statusTracker().getJobIdsForGroup("centres"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(found) == 4
+    # three steps and the weights of the candidates are one stage each
+    assert stages <= 30
+
+
+def test_syllables_order_rows_once(spark, sf):
+    rows = frames.pose(frames.paired(spark, sf)).withColumn("CENTER_X_inf", F.when(F.col(TIME) % 50 != 7, F.col("CENTER_X_inf")))
+    moved = etho.both_steps(rows)
+    assert plan(moved).count("Exchange hashpartitioning") == 1
+    by = ["side", *KEYS]
+    window = groupwise.Window.partitionBy("side", SEQ).orderBy(TIME)
+    speed = etho.steps(rows).select(*by, F.lag("size", 1).over(window).alias("speed"))
+    force = etho.steps(rows, order=2).select(*by, F.col("size").alias("acceleration"))
+    want = speed.join(force, by).dropna()
+    last = F.last("speed", ignorenulls=True).over(window.rowsBetween(groupwise.Window.unboundedPreceding, -1))
+    got = moved.select(*by, last.alias("before"), "speed", "acceleration").dropna().select(*by, "before", "acceleration")
+    assert got.count() == want.count() > 10_000 and got.exceptAll(want).count() == 0
