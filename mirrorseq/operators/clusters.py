@@ -21,16 +21,27 @@ from . import etho, linear, neuro
 DRAWS, OVERSAMPLED = 4, 2
 
 
-def _squares(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Squared distances, a row a centre, summed in the order of coordinates."""
-    out = np.zeros((len(centres), len(points)))
-    for i in range(points.shape[1]):
-        out += np.square(points[None, :, i] - centres[:, None, i])
-    return out
-
-
-def _points(batch: pa.RecordBatch, at: slice = slice(None)) -> np.ndarray:
-    return np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[at]], 1)
+def _nearest(points: list[np.ndarray], centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of points given by coordinate, the first of equally
+    near ones, and its squared distance."""
+    state, least = np.zeros(len(points[0]), np.int16), None
+    for j, centre in enumerate(centres):
+        d = points[0] - centre[0]
+        d *= d
+        for x, v in zip(points[1:], centre[1:], strict=True):
+            off = x - v
+            off *= off
+            d += off
+        if least is None:
+            least = d
+        else:
+            state[d < least] = j
+            np.minimum(least, d, out=least)
+    return state, least
+
+
+def _points(batch: pa.RecordBatch, at: slice = slice(None)) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in batch.columns[at]]
 
 
 def _farthest(found: np.ndarray, most: int):
@@ -43,9 +54,9 @@ def _farthest(found: np.ndarray, most: int):
             if not batch.num_rows:
                 continue
             x = _points(batch, slice(0, -1))
-            d = _squares(x, found).min(0)
+            d = _nearest(x, found)[1]
             with np.errstate(divide="ignore"):
-                keyed = np.column_stack([-np.log(batch.column(batch.num_columns - 1).to_numpy()) / d, x])[d > 0]
+                keyed = np.column_stack([-np.log(batch.column(batch.num_columns - 1).to_numpy()) / d, *x])[d > 0]
             # equal rows have equal keys; the first columns order all
             if len(best) == most:
                 keyed = keyed[keyed[:, 0] <= best[-1, 0]]
@@ -68,11 +79,10 @@ def _sums(centres: np.ndarray, unit: float):
         n, total = np.zeros(k, np.int64), np.zeros((d, k), np.int64)
         for batch in batches:
             x = _points(batch)
-            near = _squares(x, centres).argmin(0)
+            near = _nearest(x, centres)[0]
             n += np.bincount(near, minlength=k)
-            whole = np.rint(x * unit).astype(np.int64)
             for i in range(d):
-                np.add.at(total[i], near, whole[:, i])
+                np.add.at(total[i], near, np.rint(x[i] * unit).astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(n), *[pa.array(t) for t in total]], ["state", "n", *[f"x{i}" for i in range(d)]])
 
     return run
