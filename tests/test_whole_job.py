@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from mirrorseq.functions.quantiles import column_quantiles
-from mirrorseq.operators import clusters, etho, groupwise, linear
+from mirrorseq.operators import clusters, embedding, etho, groupwise, linear
 from mirrorseq.plans import frames
 from mirrorseq.plans.align import KEYS, SEQ, TIME
 
@@ -160,3 +163,27 @@ def test_syllables_order_rows_once(spark, sf):
     last = F.last("speed", ignorenulls=True).over(window.rowsBetween(groupwise.Window.unboundedPreceding, -1))
     got = moved.select(*by, last.alias("before"), "speed", "acceleration").dropna().select(*by, "before", "acceleration")
     assert got.count() == want.count() > 10_000 and got.exceptAll(want).count() == 0
+
+
+def test_pairs_of_blocks_leave_in_parts():
+    """One Arrow batch of blocks has millions of pairs; they must not be held."""
+    g = np.random.default_rng(12)
+    blocks, size = 300, 200
+    x = g.standard_normal((blocks * size, embedding.AXES + 4))
+    cuts = pa.array(np.arange(0, blocks * size + 1, size, dtype=np.int32))
+    points = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cuts, pa.array(np.arange(blocks * size))), pa.ListArray.from_arrays(cuts, points)], ["ids", "ps"])
+    tracemalloc.start()
+    n = 0
+    for part in embedding._inside(15)(iter([batch.slice(1)])):
+        n += part.num_rows
+        if n == part.num_rows:
+            first = {c: part.column(c).to_numpy() for c in "ijd"}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == (blocks - 1) * size * 15 and peak < 60e6
+    own = x[size : 2 * size, embedding.AXES :]
+    d = np.sqrt(((own[:, None] - own[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert first["i"][:30].tolist() == [size] * 15 + [size + 1] * 15
+    assert first["j"][:15].tolist() == (size + d[0].argsort(kind="stable")[:15]).tolist() and first["d"][:15] == pytest.approx(np.sort(d[0])[:15])
