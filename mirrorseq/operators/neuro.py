@@ -187,12 +187,19 @@ def autocorrelations(paired: DataFrame, values: list[str], most: int = 48) -> Da
 
 def sliding_correlations(paired: DataFrame, a: str, b: str, width: int = 45, step: int = 15) -> DataFrame:
     """(sequenceId, start, gt, inf): correlation in full windows of the sequence."""
+    found = sliding_pairs(paired, [(a, b)], width, step)
+    return found.select(SEQ, "start", F.col("p0_gt").alias("gt"), F.col("p0_inf").alias("inf"))
+
+
+def sliding_pairs(paired: DataFrame, pairs: list[tuple[str, str]], width: int = 45, step: int = 15) -> DataFrame:
+    """(sequenceId, start, p0_gt, p0_inf, p1_gt, ...): correlations of each pair
+    of regions in full windows of the sequence, all from one order of the rows."""
     at = (F.row_number().over(Window.partitionBy(SEQ).orderBy(TIME)) - 1).alias("at")
-    rows = paired.select(SEQ, at, *[f"{c}_{s}" for c in (a, b) for s in ("gt", "inf")])
+    rows = paired.select(SEQ, at, *[f"{c}_{s}" for c in dict.fromkeys(c for p in pairs for c in p) for s in ("gt", "inf")])
     first = F.greatest(F.lit(0), F.ceil((F.col("at") - width + 1) / step)).cast("long")
     starts = F.transform(F.sequence(first, F.floor(F.col("at") / step)), lambda k: k * step)
     spread = rows.withColumn("start", F.explode(starts))
-    found = spread.groupBy(SEQ, "start").agg(*[correlation(F.col(f"{a}_{s}"), F.col(f"{b}_{s}")).alias(s) for s in ("gt", "inf")], F.count("*").alias("n"))
+    found = spread.groupBy(SEQ, "start").agg(*[correlation(F.col(f"{a}_{s}"), F.col(f"{b}_{s}")).alias(f"p{j}_{s}") for j, (a, b) in enumerate(pairs) for s in ("gt", "inf")], F.count("*").alias("n"))
     return found.filter(F.col("n") == width).drop("n")
 
 
