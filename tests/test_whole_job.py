@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mirrorseq.functions.quantiles import column_quantiles
-from mirrorseq.operators import clusters, embedding, etho, groupwise, linear
+from mirrorseq.operators import clusters, embedding, etho, groupwise, linear, movement, neuro, structure
 from mirrorseq.plans import frames
 from mirrorseq.plans.align import KEYS, SEQ, TIME
 
@@ -187,3 +187,27 @@ def test_pairs_of_blocks_leave_in_parts():
     np.fill_diagonal(d, np.inf)
     assert first["i"][:30].tolist() == [size] * 15 + [size + 1] * 15
     assert first["j"][:15].tolist() == (size + d[0].argsort(kind="stable")[:15]).tolist() and first["d"][:15] == pytest.approx(np.sort(d[0])[:15])
+
+
+def test_movement_of_both_sides_in_one_order(spark, sf):
+    rows = frames.pose(frames.paired(spark, sf)).withColumn("CENTER_X_gt", F.when(F.col(TIME) % 40 > 1, F.col("CENTER_X_gt")))
+    for df in (rows, rows.drop("LEFT_EAR_X_inf")):
+        got = movement.wide_features(df)
+        assert plan(got).count("Exchange hashpartitioning") == 1
+        want = movement.beside(movement.movement_features(df), movement.MOVEMENT).select(*got.columns)
+        if "LEFT_EAR_X_inf" in df.columns:
+            assert got.count() == want.count() and got.exceptAll(want).count() == 0
+        else:
+            assert got.dropna().count() == 0
+
+
+def test_windows_of_all_pairs_in_one_order(spark, sf, counted):
+    rows, _, reads = counted
+    pairs = [(a, b) for i, a in enumerate(REGIONS) for b in REGIONS[i + 1 :]]
+    found = neuro.sliding_pairs(rows, pairs)
+    assert plan(found).count("Exchange hashpartitioning") == 1
+    one = neuro.sliding_correlations(rows, "r2", "r4")
+    assert found.select(SEQ, "start", F.round("p4_gt", 9), F.round("p4_inf", 9)).exceptAll(one.select(SEQ, "start", F.round("gt", 9), F.round("inf", 9))).count() == 0
+    before = reads()
+    assert {r.metric for r in structure.sliding_states(rows, REGIONS).collect()} == {"occupancy", "transition"}
+    assert reads() - before == 1
