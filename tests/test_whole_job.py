@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mirrorseq.functions.quantiles import column_quantiles
-from mirrorseq.operators import clusters, embedding, etho, groupwise, linear, movement, neuro, structure
+from mirrorseq.operators import clusters, embedding, etho, groupwise, latent, linear, movement, neuro, structure
 from mirrorseq.plans import frames
 from mirrorseq.plans.align import KEYS, SEQ, TIME
 
@@ -211,3 +211,9 @@ def test_windows_of_all_pairs_in_one_order(spark, sf, counted):
     before = reads()
     assert {r.metric for r in structure.sliding_states(rows, REGIONS).collect()} == {"occupancy", "transition"}
     assert reads() - before == 1
+
+
+def test_occupancy_and_velocity_read_rows_once(spark, counted):
+    rows, _, reads = counted
+    assert len(latent.occupancy_velocity(rows, REGIONS).collect()) >= 4
+    assert reads() == 1 and spark.sparkContext._jsc.getPersistentRDDs().size() == 0
